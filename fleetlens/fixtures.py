@@ -5,7 +5,7 @@ Each is a projection of a whole table: no sampling, no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 EPOCH = "2024-01-01"
 
@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drone_name(number: Column) -> Column:
+    """``drone-`` and the number, zero-padded to at least four digits."""
+    digits = number.cast("string")
+    return F.concat(F.lit("drone-"), F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), F.lit("0")))
+
+
 def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events on a compressed clock: one hour becomes one second. ``us`` is microseconds."""
     since = F.expr(
@@ -23,7 +29,7 @@ def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "events")
         .withColumn("us", since)
         .withColumn("t", F.col("us") / F.lit(1e6))
-        .withColumn("drone_id", F.format_string("drone-%04d", "user_id"))
+        .withColumn("drone_id", drone_name(F.col("user_id")))
         .withColumn("swarm_id", F.concat(F.lit("swarm-"), (F.col("user_id") % 4).cast("string")))
     )
 
@@ -81,7 +87,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         eid.alias("det_id"),
         frame.alias("frame_no"),
         (eid % 8).alias("det_idx"),
-        F.format_string("drone-%04d", frame % 10).alias("drone_id"),
+        drone_name(frame % 10).alias("drone_id"),
         (eid % 10).alias("cls_id"),
         (((eid * 61) % 1000) / F.lit(1000.0)).alias("conf"),
         x1.alias("x1"), y1.alias("y1"),
@@ -89,3 +95,32 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         (y1 + 40 + (eid * 7) % 30).alias("y2"),
         (frame * 100_000).alias("us"),
     )
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per frame, with the timing of its inference."""
+    number = F.col("frame_no")
+    modes = F.array(*[F.lit(m) for m in ("ULTRA_FAST", "FAST", "BALANCED", "ACCURATE")])
+    return (
+        detections(spark, sf_dir).groupBy("frame_no", "drone_id").agg(F.min("us").alias("us"))
+        .select(
+            "frame_no", "drone_id", "us",
+            F.lit("yolov26s").alias("model_name"),
+            F.get(modes, (number % 4).cast("int")).alias("speed_mode"),
+            (F.lit(0.01) + (number % 60) * F.lit(0.01)).alias("latency_s"),
+        )
+        .withColumn("fps", F.lit(1.0) / F.col("latency_s"))
+    )
+
+
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mission commands: the purchase events."""
+    names = F.array(*[F.lit(c) for c in ("land", "return_home", "hover", "patrol")])
+    return timed_events(spark, sf_dir).filter("event_type = 'purchase'").select(
+        "event_id", "drone_id", "us", F.get(names, (F.col("event_id") % 4).cast("int")).alias("command")
+    )
+
+
+def command_side_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry the commands are matched against: all other events."""
+    return timed_events(spark, sf_dir).filter("event_type <> 'purchase'").select("event_id", "drone_id", "us")

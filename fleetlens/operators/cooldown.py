@@ -20,9 +20,10 @@ Only times and periods pass through these steps. The alerts join back by time at
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from fleetlens.operators.grouped import Group, map_groups, repeat
+
 KEY = ["drone_id", "alert_type"]
 CRITICAL_S, WARNING_S = 10.0, 30.0
 DEFAULT_SLICE_US = 600_000_000
@@ -64,36 +65,43 @@ def step_function(t: np.ndarray, period: np.ndarray, start: int) -> tuple[list[i
     return bounds, results
 
 
-def _summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("us")
-    head = pdf.iloc[0]
-    bounds, exits = step_function(pdf["us"].to_numpy(), pdf["period"].to_numpy(), int(head["slice_start"]))
-    return pd.DataFrame({
-        "drone_id": [head["drone_id"]], "alert_type": [head["alert_type"]], "slice": [head["slice"]],
-        "bounds": [bounds], "exits": [exits],
-    })
+def _labels(group: Group, n: int) -> Group:
+    return {name: repeat(group[name][0], n) for name in KEY}
+
+
+def _summarise(group: Group) -> Group:
+    bounds, exits = step_function(group["us"], group["period"], int(group["slice_start"][0]))
+    n = len(bounds)
+    return {
+        **_labels(group, n), "slice": np.full(n, group["slice"][0]),
+        "bound": np.asarray(bounds, dtype="int64"), "exit": np.asarray(exits, dtype="int64"),
+    }
 
 
-def _enter(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("slice")
+def _enter(group: Group) -> Group:
+    """Walk the slices of one drone and type; each slice's step function is a run of rows."""
+    starts = np.flatnonzero(np.concatenate(([True], group["slice"][1:] != group["slice"][:-1])))
+    ends = np.append(starts[1:], len(group["slice"]))
     last, entry = 0, []
-    for bounds, exits in zip(pdf["bounds"], pdf["exits"]):
+    for begin, end in zip(starts, ends):
         entry.append(last)
-        i = int(np.searchsorted(np.asarray(bounds), last, side="right"))
-        if i < len(exits):
-            last = int(exits[i])
-    return pdf[["drone_id", "alert_type", "slice"]].assign(entry=entry)
-
-
-def _replay(pdf: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("us")
-    last = int(entries["entry"].iloc[0])
-    times = emission_times(pdf["us"].to_numpy(), pdf["period"].to_numpy(), last)
-    return pd.DataFrame({
-        "drone_id": pdf["drone_id"].iloc[0], "alert_type": pdf["alert_type"].iloc[0],
-        "us": np.asarray(times, dtype="int64"),
+        i = begin + int(np.searchsorted(group["bound"][begin:end], last, side="right"))
+        if i < end:
+            last = int(group["exit"][i])
+    return {
+        **_labels(group, len(starts)), "slice": group["slice"][starts],
+        "entry": np.asarray(entry, dtype="int64"),
+    }
+
+
+def _replay(group: Group) -> Group:
+    """The first row holds the entry time, the others the slice's instants."""
+    last = int(group["entry"][0])
+    times = emission_times(group["us"][1:], group["period"][1:], last)
+    return {
+        **_labels(group, len(times)), "us": np.asarray(times, dtype="int64"),
         "last_us": np.asarray([last, *times][: len(times)], dtype="int64"),
-    })
+    }
 
 
 def cooldown(
@@ -113,14 +121,20 @@ def cooldown(
         F.expr(f"(us div {slice_us}) * {slice_us}").alias("slice_start"),
     )
     by_slice = [*KEY, "slice"]
-    summary = instants.groupBy(*by_slice).applyInPandas(
-        _summarise, "drone_id string, alert_type string, slice bigint, bounds array<bigint>, exits array<bigint>"
+    summary = map_groups(
+        instants, by_slice, ["us"], _summarise,
+        "drone_id string, alert_type string, slice bigint, bound bigint, exit bigint",
     )
-    entries = summary.groupBy(*KEY).applyInPandas(
-        _enter, "drone_id string, alert_type string, slice bigint, entry bigint"
+    entries = map_groups(
+        summary, KEY, ["slice", "bound"], _enter,
+        "drone_id string, alert_type string, slice bigint, entry bigint",
     )
-    emitted = instants.groupBy(*by_slice).cogroup(entries.groupBy(*by_slice)).applyInPandas(
-        _replay, "drone_id string, alert_type string, us bigint, last_us bigint"
+    seeds = entries.select(*by_slice, F.lit(0).cast("bigint").alias("period"), "entry", F.lit(0).alias("kind"),
+                           F.lit(0).cast("bigint").alias("us"))
+    rows = instants.select(*by_slice, "period", F.lit(0).cast("bigint").alias("entry"), F.lit(1).alias("kind"), "us")
+    emitted = map_groups(
+        seeds.unionByName(rows), by_slice, ["kind", "us"], _replay,
+        "drone_id string, alert_type string, us bigint, last_us bigint",
     )
     names = [c for c in alerts.columns if c not in (*KEY, "us")]
     at_instant = alerts.join(emitted, [*KEY, "us"]).filter(F.col("us") - F.col("last_us") > period)
