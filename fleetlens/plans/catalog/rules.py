@@ -223,7 +223,7 @@ def rule_job_restarting(spark, sf_dir):
     return rules.evaluate(grid, rules.RULES["JobRestarting"], ["job_name"])
 
 
-@query("rule_job_down", f"""WITH {COUNTERS}, up AS (SELECT job_name, sample_us, value // 10 AS value FROM counter),
+@query("rule_job_down", f"""WITH {COUNTERS}, up AS (SELECT job_name, sample_us, floor(value / 10) AS value FROM counter),
 {grid_sql("up", "job_name")}, {state_sql("value = 0", "job_name", 30)}
 SELECT job_name, tick, since, state, value FROM stated""")
 def rule_job_down(spark, sf_dir):
