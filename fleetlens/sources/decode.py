@@ -46,7 +46,9 @@ def _good(parsed: DataFrame) -> DataFrame:
 
 def _passed_on(parsed: DataFrame, value: str) -> list[Column]:
     """Columns of the source record (offset, key, ...) that stay beside the decoded fields."""
-    return [F.col(c) for c in parsed.columns if c not in ("record", "error_type", value)]
+    taken = {"record", "error_type", value, "us", "ts", "timestamp_s"}
+    taken |= {f.name for f in parsed.schema["record"].dataType.fields} | {"latitude", "longitude"}
+    return [F.col(c) for c in parsed.columns if c not in taken]
 
 
 def _event_time(ingest_ts: str | None) -> dict[str, Column]:
