@@ -23,18 +23,21 @@ def motor_mean(rpm: ColumnLike) -> Column:
     return F.when(F.size(col(rpm)) == 4, (r[0] + r[1] + r[2] + r[3]) / F.lit(4.0))
 
 
-def motor_cv(rpm: ColumnLike) -> Column:
-    """Coefficient of variation (population form); null when unknown or all motors are off."""
-    mean = motor_mean(rpm)
+def motor_cv(rpm: ColumnLike, mean: ColumnLike | None = None) -> Column:
+    """Coefficient of variation (population form); null when unknown or all motors are off.
+
+    Pass a ready ``mean`` column where there is one: it occurs ten times in the expression.
+    """
+    mean = motor_mean(rpm) if mean is None else col(mean)
     squares = [(F.get(col(rpm), F.lit(i)) - mean) * (F.get(col(rpm), F.lit(i)) - mean) for i in range(4)]
     deviation = F.sqrt((squares[0] + squares[1] + squares[2] + squares[3]) / F.lit(4.0))
     return F.when(mean != 0, deviation / mean)
 
 
-def motor_health(rpm: ColumnLike, cv: ColumnLike | None = None) -> Column:
+def motor_health(rpm: ColumnLike, mean: ColumnLike | None = None, cv: ColumnLike | None = None) -> Column:
     """1 for even speeds, falling to 0 at a variation of 0.3; 0.5 when unknown, 1 when off."""
-    mean = motor_mean(rpm)
-    variation = motor_cv(rpm) if cv is None else col(cv)
+    mean = motor_mean(rpm) if mean is None else col(mean)
+    variation = motor_cv(rpm, mean) if cv is None else col(cv)
     return (
         F.when(mean.isNull(), F.lit(0.5))
         .when(mean == 0, F.lit(1.0))

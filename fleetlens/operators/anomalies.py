@@ -63,10 +63,11 @@ def _conditions() -> dict[str, Column]:
 
 def add_scores(rows: DataFrame, weights: dict[str, float] = health.WEIGHTS) -> DataFrame:
     """Add component scores, ``overall_score`` and ``anomaly_flags`` to rows with delta columns."""
-    rows = rows.withColumn("rpm_cv", health.motor_cv("motor_rpm"))
+    rows = rows.withColumn("rpm_mean", health.motor_mean("motor_rpm"))
+    rows = rows.withColumn("rpm_cv", health.motor_cv("motor_rpm", "rpm_mean"))
     parts = rows.withColumns({
         "_battery": health.battery_health("battery_percent", "battery_voltage"),
-        "_motor": health.motor_health("motor_rpm", "rpm_cv"),
+        "_motor": health.motor_health("motor_rpm", "rpm_mean", "rpm_cv"),
         "_signal": health.signal_health("signal_dbm"),
         "_thermal": health.thermal_health("temperature_c"),
     })
@@ -78,7 +79,7 @@ def add_scores(rows: DataFrame, weights: dict[str, float] = health.WEIGHTS) -> D
         "signal_health": F.round("_signal", 4),
         "thermal_health": F.round("_thermal", 4),
         "anomaly_flags": F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in _conditions().items()])),
-    }).drop("_battery", "_motor", "_signal", "_thermal")
+    }).drop("_battery", "_motor", "_signal", "_thermal", "rpm_mean")
 
 
 def score(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +18,24 @@ from fleetlens.streaming.processor import ADDED, PREV, HealthProcessor
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+@contextmanager
+def data_batches_only(spark: SparkSession) -> Iterator[None]:
+    """Start a query that runs no batches without data.
+
+    A stateful step with expiry by processing time asks for another batch forever, so an
+    ``availableNow`` run would never end. A query copies the settings when it starts.
+    """
+    before = spark.conf.get(NO_DATA_BATCHES, "true")
+    spark.conf.set(NO_DATA_BATCHES, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(NO_DATA_BATCHES, before)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """State beyond memory, with state expiry; needed by the stateful step."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -72,13 +91,14 @@ def write_outputs(target: str) -> Callable[[DataFrame, int], None]:
 def run_health_job(telemetry: DataFrame, target: str, checkpoint: str, ttl_s: int = anomalies.STATE_TTL_S,
                    **trigger) -> StreamingQuery:
     """Start the health job; ``availableNow=True`` processes what is there and stops."""
-    return (
+    writer = (
         health_stream(telemetry, ttl_s).writeStream.queryName("health")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(write_outputs(target))
         .trigger(**(trigger or {"processingTime": "60 seconds"}))
-        .start()
     )
+    with data_batches_only(telemetry.sparkSession):
+        return writer.start()
 
 
 def run_health_to_topics(telemetry: DataFrame, kafka: dict[str, str], checkpoint: str, **trigger) -> StreamingQuery:
@@ -92,10 +112,12 @@ def run_health_to_topics(telemetry: DataFrame, kafka: dict[str, str], checkpoint
         finally:
             batch.unpersist()
 
-    return (
+    writer = (
         health_stream(telemetry).writeStream.queryName("health-topics").option("checkpointLocation", checkpoint)
-        .foreachBatch(write).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+        .foreachBatch(write).trigger(**(trigger or {"processingTime": "60 seconds"}))
     )
+    with data_batches_only(telemetry.sparkSession):
+        return writer.start()
 
 
 def watermarked(df: DataFrame, delay: str = WATERMARK) -> DataFrame:

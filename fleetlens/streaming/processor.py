@@ -13,7 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from fleetlens.operators import anomalies as A
+from fleetlens.operators.anomalies import (
+    CV_CRITICAL, CV_LIMIT, DRAIN_CRITICAL, DRAIN_LIMIT, GPS_MAX_VELOCITY, GPS_SPEED_LIMIT, HEAT_CRITICAL, HEAT_LIMIT,
+    METERS_PER_DEGREE, MIN_STEP_S, STATE_TTL_S,
+)
 from fleetlens.operators.cooldown import CRITICAL_S, WARNING_S
 
 PREV = ["prev_us", "prev_battery", "prev_lat", "prev_lon"]
@@ -27,7 +30,7 @@ class HealthProcessor(StatefulProcessor):
     is late: it is passed on without a previous record and does not change the state.
     """
 
-    def __init__(self, columns: list[str], ttl_ms: int = A.STATE_TTL_S * 1000):
+    def __init__(self, columns: list[str], ttl_ms: int = STATE_TTL_S * 1000):
         self.columns, self.ttl_ms = columns, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -74,20 +77,20 @@ class HealthProcessor(StatefulProcessor):
 
     @staticmethod
     def _drifted(batch, fields, shifted, has_prev) -> np.ndarray:
-        dlat = np.abs(fields[2] - shifted[2]) * A.METERS_PER_DEGREE
-        dlon = np.abs(fields[3] - shifted[3]) * A.METERS_PER_DEGREE
-        dt = np.maximum((fields[0] - shifted[0]) / 1e6, A.MIN_STEP_S)
+        dlat = np.abs(fields[2] - shifted[2]) * METERS_PER_DEGREE
+        dlon = np.abs(fields[3] - shifted[3]) * METERS_PER_DEGREE
+        dt = np.maximum((fields[0] - shifted[0]) / 1e6, MIN_STEP_S)
         speed = np.sqrt(dlat * dlat + dlon * dlon) / dt
-        return has_prev & (speed > A.GPS_SPEED_LIMIT) & (batch["velocity_ms"].to_numpy() < A.GPS_MAX_VELOCITY)
+        return has_prev & (speed > GPS_SPEED_LIMIT) & (batch["velocity_ms"].to_numpy() < GPS_MAX_VELOCITY)
 
     def _cool(self, us, batch, drain, drifted) -> list[list[str]]:
         heat, cv = batch["temperature_c"].to_numpy(), batch["rpm_cv"].to_numpy(dtype=float)
         with np.errstate(invalid="ignore"):
             kinds = {
-                "rapid_battery_drain": (drain > A.DRAIN_LIMIT, drain >= A.DRAIN_CRITICAL),
-                "motor_imbalance": (cv > A.CV_LIMIT, cv >= A.CV_CRITICAL),
+                "rapid_battery_drain": (drain > DRAIN_LIMIT, drain >= DRAIN_CRITICAL),
+                "motor_imbalance": (cv > CV_LIMIT, cv >= CV_CRITICAL),
                 "gps_drift": (drifted, np.zeros(len(us), dtype=bool)),
-                "overheating": (heat > A.HEAT_LIMIT, heat > A.HEAT_CRITICAL),
+                "overheating": (heat > HEAT_LIMIT, heat > HEAT_CRITICAL),
             }
         emitted: list[list[str]] = [[] for _ in us]
         for kind, (raised, critical) in kinds.items():
