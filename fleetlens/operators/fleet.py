@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens.functions.columns import latest
 from fleetlens.functions.health import fleet_member_score
@@ -129,17 +129,58 @@ def service_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def latency_quantiles(
-    df: DataFrame, value: str, keys: Sequence[str] = (), quantiles: Sequence[float] = (0.5, 0.95, 0.99),
-    exact: bool = False, accuracy: int = 10_000,
+def quantiles(
+    df: DataFrame, value: str, keys: Sequence[str] = (), at: Sequence[float] = (0.5, 0.95, 0.99), accuracy: int = 10_000
 ) -> DataFrame:
-    """Quantiles per key: a bounded sketch, or exact values from counts of equal values."""
-    if exact:
-        counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-        found = [F.percentile(value, q, F.col("_n")).alias(f"p{round(q * 100)}") for q in quantiles]
-        return counted.groupBy(*keys).agg(*found)
-    found = [F.percentile_approx(value, q, accuracy).alias(f"p{round(q * 100)}") for q in quantiles]
-    return df.groupBy(*keys).agg(*found)
+    """Quantiles per key from a sketch of bounded size; exact up to about ``accuracy`` rows per key."""
+    return df.groupBy(*keys).agg(*[F.percentile_approx(value, q, accuracy).alias(_quantile_name(q)) for q in at])
+
+
+def exact_quantiles(
+    df: DataFrame, value: str, keys: Sequence[str] = (), at: Sequence[float] = (0.5, 0.95, 0.99)
+) -> DataFrame:
+    """Interpolated quantiles per key, exact at any size.
+
+    Equal values are counted first. Values then fall into bands a thousandth wide; from the
+    band totals it is known which bands hold the wanted ranks, and only those are ordered.
+    """
+    keys = list(keys) or ["_all"]
+    if keys == ["_all"]:
+        df = df.withColumn("_all", F.lit(0))
+    v = F.col(value)
+    depth = F.floor(F.log(F.abs(v)) * 1000).cast("bigint") + 1_000_000_000
+    band = F.when(v > 0, depth).when(v < 0, -depth).otherwise(0)
+    counted = (
+        df.filter(v.isNotNull()).groupBy(*keys, v.cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        .withColumnRenamed("_v", value).withColumn("_band", band)
+    )
+    by_band = Window.partitionBy(*keys).orderBy("_band")
+    earlier = by_band.rowsBetween(Window.unboundedPreceding, -1)
+    bands = counted.groupBy(*keys, "_band").agg(F.sum("_n").alias("_size")).select(
+        *keys, "_band", "_size", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_below"),
+        F.sum("_size").over(Window.partitionBy(*keys)).alias("_total"),
+    )
+    places = {q: F.lit(float(q)) * (F.col("_total") - 1) for q in at}
+    wanted = F.lit(False)
+    for place in places.values():
+        wanted = wanted | ((F.col("_below") <= F.ceil(place)) & (F.col("_below") + F.col("_size") > F.floor(place)))
+    near = counted.join(bands.filter(wanted), [*keys, "_band"])
+    smaller = Window.partitionBy(*keys, "_band").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = near.withColumn("_first", F.col("_below") + F.coalesce(F.sum("_n").over(smaller), F.lit(0)))
+
+    def at_rank(rank: Column) -> Column:
+        return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_n")), v))
+
+    def interpolated(place: Column) -> Column:
+        low, high = at_rank(F.floor(place)), at_rank(F.ceil(place))
+        return low + (high - low) * F.first(place - F.floor(place))
+
+    found = ranked.groupBy(*keys).agg(*[interpolated(p).alias(_quantile_name(q)) for q, p in places.items()])
+    return found.drop("_all")
+
+
+def _quantile_name(q: float) -> str:
+    return f"p{round(q * 100)}"
 
 
 def drone_status(df: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def service_summary(spark, sf_dir):
 SELECT speed_mode, R4(quantile_cont(latency_s, 0.5)) AS p50, R4(quantile_cont(latency_s, 0.95)) AS p95,
   R4(quantile_cont(latency_s, 0.99)) AS p99 FROM frame GROUP BY speed_mode""")
 def latency_quantiles(spark, sf_dir):
-    q = fleet.latency_quantiles(fixtures.frames(spark, sf_dir), "latency_s", ["speed_mode"], exact=True)
+    q = fleet.exact_quantiles(fixtures.frames(spark, sf_dir), "latency_s", ["speed_mode"])
     return q.select("speed_mode", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")])
 
 
@@ -100,7 +100,7 @@ def latency_quantiles(spark, sf_dir):
 SELECT speed_mode, R4(quantile_disc(latency_s, 0.5)) AS p50, R4(quantile_disc(latency_s, 0.95)) AS p95,
   R4(quantile_disc(latency_s, 0.99)) AS p99 FROM frame GROUP BY speed_mode""")
 def latency_quantiles_sketch(spark, sf_dir):
-    q = fleet.latency_quantiles(fixtures.frames(spark, sf_dir), "latency_s", ["speed_mode"])
+    q = fleet.quantiles(fixtures.frames(spark, sf_dir), "latency_s", ["speed_mode"])
     return q.select("speed_mode", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")])
 
 
@@ -200,7 +200,7 @@ def command_latency(spark, sf_dir):
 SELECT R3(quantile_cont(latency_ms, 0.95)) AS p95, quantile_cont(latency_ms, 0.95) <= 200 AS met FROM matched""")
 def command_latency_slo(spark, sf_dir):
     m = commands.command_latency(fixtures.commands(spark, sf_dir), fixtures.command_side_telemetry(spark, sf_dir))
-    q = fleet.latency_quantiles(m.filter("latency_ms is not null"), "latency_ms", quantiles=[0.95], exact=True)
+    q = fleet.exact_quantiles(m, "latency_ms", at=[0.95])
     return q.select(F.round("p95", 3).alias("p95"), (F.col("p95") <= 200).alias("met"))
 
 

@@ -158,9 +158,9 @@ def mean_series(df: DataFrame, labels: Sequence[str], value: str, every_s: int =
 def stale_data(df: DataFrame, running: DataFrame, silent_s: int = 60, step_s: int = STEP_S) -> DataFrame:
     """Ticks at which a running drone has been silent for ``silent_s`` or more."""
     seen = (
-        df.join(running.select("drone_id").distinct(), "drone_id", "left_semi")
-        .groupBy("drone_id", ceil_to("us", step_s).alias("_tick"))
-        .agg(F.max("us").alias("sample_us")).withColumn("value", F.col("sample_us").cast("double")).drop("_tick")
+        df.groupBy("drone_id", ceil_to("us", step_s).alias("_tick")).agg(F.max("us").alias("sample_us"))
+        .join(running.select("drone_id").distinct(), "drone_id", "left_semi")
+        .withColumn("value", F.col("sample_us").cast("double")).drop("_tick")
     )
     end = ceil_to(df.agg(F.max("us")).scalar(), step_s)
     grid = on_grid(seen, ["drone_id"], step_s, lookback_s=None, end_us=end)
