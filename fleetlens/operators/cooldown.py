@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from fleetlens.operators.grouped import Group, map_groups, repeat
+from fleetlens.session import written
 
 KEY = ["drone_id", "alert_type"]
 CRITICAL_S, WARNING_S = 10.0, 30.0
@@ -111,8 +112,10 @@ def cooldown(
     """Alerts left after the cooldown, per drone and alert type.
 
     An alert is emitted if strictly more than its own severity's period has passed since the
-    last emitted alert. Before the first emission that time is 0.
+    last emitted alert. Before the first emission that time is 0. The alerts are written out first,
+    since three steps read them and each would otherwise score the telemetry again.
     """
+    alerts = written(alerts, "alerts")
     period = F.when(F.col("severity") == "critical", int(critical_s * 1e6)).otherwise(int(warning_s * 1e6)).cast("bigint")
     # rows of one instant collapse to the easiest of them to emit, before any shuffle
     instants = alerts.groupBy(*KEY, "us").agg(F.min(period).alias("period")).select(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions.boxes import area, dead_zone, iou
 from fleetlens.operators.ordered import DEFAULT_SLICE_US, with_history
+from fleetlens.session import written
 
 CONFIDENCE = 0.25
 IOU_LIMIT = 0.5
@@ -123,7 +124,8 @@ def follow(
     Without target boxes the state is ``lost`` for ``lost_after_s``, then ``searching``, which
     drops the target and its reference area.
 
-    One aggregation reduces boxes to frames; the history of frames is cut into time slices.
+    One aggregation reduces boxes to frames, which are written out, as two passes over their
+    history follow; the history is cut into time slices.
     """
     is_target = F.col("class_name") == target_class
     locked = is_target & (F.col("track_id") == F.lit(locked_id)) if locked_id else F.lit(False)
@@ -133,6 +135,7 @@ def follow(
         F.max(locked).alias("locked_found"),
         *_pick(locked, "locked_"),
     ).withColumn("_seen_us", F.when(F.col("found"), F.col("us")))
+    frames = written(frames, "frames")
 
     limit = F.lit(int(lost_after_s * 1e6))
     history = with_history(

@@ -69,6 +69,12 @@ def connected_samples(df: DataFrame, stale_s: int = ACTIVE_S, every_s: int = SCR
     )
 
 
+def grid_end(df: DataFrame, every_s: int = SCRAPE_S, step_s: int = STEP_S) -> Column:
+    """Last tick for series scraped from ``df``, from one pass over its times and no shuffle."""
+    newest = floor_to(F.max("us"), every_s) + every_s * SECOND
+    return df.agg(ceil_to(newest, step_s).alias("end")).scalar()
+
+
 def on_grid(
     samples: DataFrame, labels: Sequence[str], step_s: int = STEP_S, lookback_s: int | None = LOOKBACK_S,
     end_us: int | Column | None = None,
@@ -76,7 +82,8 @@ def on_grid(
     """Value of every series at every tick: its last sample at or before the tick.
 
     A sample counts for less than ``lookback_s`` (None: until the next one). A sample is
-    copied to the ticks it holds for; no series meets the whole grid.
+    copied to the ticks it holds for; no series meets the whole grid. Give ``end_us`` where it is
+    known more cheaply than from the samples, as by :func:`grid_end`.
     """
     step = step_s * SECOND
     end = ceil_to(samples.agg(F.max("sample_us")).scalar(), step_s) if end_us is None else end_us

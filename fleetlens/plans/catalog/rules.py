@@ -57,8 +57,8 @@ def scraped_series(spark, sf_dir):
 @query("evaluation_grid", f"""WITH {SAMPLES}, {grid_sql("sample", "metric, drone_id, swarm_id", lookback=45)}
 SELECT metric, drone_id, swarm_id, tick, sample_us, R4(value) AS value FROM grid""")
 def evaluation_grid(spark, sf_dir):
-    s = series.scrape(fixtures.telemetry(spark, sf_dir), SAMPLED)
-    g = series.on_grid(s, ["metric", *LABELS], lookback_s=45)
+    t = fixtures.telemetry(spark, sf_dir)
+    g = series.on_grid(series.scrape(t, SAMPLED), ["metric", *LABELS], lookback_s=45, end_us=series.grid_end(t))
     return g.withColumn("value", F.round("value", 4))
 
 
@@ -78,8 +78,9 @@ def _gauge_rule(name, alert, field):
 {grid_sql("one", "drone_id, swarm_id")}, {state_sql(f"value {op} {rule.threshold}", "drone_id, swarm_id", rule.for_s)}
 SELECT drone_id, swarm_id, tick, since, state, R4(value) AS value FROM stated""")
     def run(spark, sf_dir):
-        samples = series.scrape(fixtures.telemetry(spark, sf_dir), [field]).drop("metric")
-        active = rules.evaluate(series.on_grid(samples, LABELS), rule, LABELS)
+        t = fixtures.telemetry(spark, sf_dir)
+        samples = series.scrape(t, [field]).drop("metric")
+        active = rules.evaluate(series.on_grid(samples, LABELS, end_us=series.grid_end(t)), rule, LABELS)
         return active.withColumn("value", F.round("value", 4))
 
 
@@ -152,7 +153,8 @@ dev AS (SELECT drone_id, swarm_id, motor_id, tick, CASE WHEN mu <> 0 THEN abs(va
 SELECT drone_id, swarm_id, motor_id, tick, since, state, R4(value) AS value FROM stated""")
 def rule_motor_anomaly(spark, sf_dir):
     labels = [*LABELS, "motor_id"]
-    grid = series.on_grid(series.scrape_motors(fixtures.telemetry(spark, sf_dir)), labels)
+    t = fixtures.telemetry(spark, sf_dir)
+    grid = series.on_grid(series.scrape_motors(t), labels, end_us=series.grid_end(t))
     active = rules.evaluate(rules.motor_deviation(grid), rules.RULES["DroneMotorAnomaly"], labels)
     return active.withColumn("value", F.round("value", 4))
 
@@ -165,7 +167,8 @@ SELECT drone_id, swarm_id, tick, since, state, R4(value) AS value FROM stated"""
 def rule_health_score_low(spark, sf_dir):
     scores = scored(spark, sf_dir).withColumn("drone_health_score", F.col("overall_score") * 100)
     samples = series.scrape(scores, ["drone_health_score"]).drop("metric")
-    active = rules.evaluate(series.on_grid(samples, LABELS), rules.RULES["DroneHealthScoreLow"], LABELS)
+    end = series.grid_end(fixtures.telemetry(spark, sf_dir))
+    active = rules.evaluate(series.on_grid(samples, LABELS, end_us=end), rules.RULES["DroneHealthScoreLow"], LABELS)
     return active.withColumn("value", F.round("value", 4))
 
 
@@ -188,8 +191,9 @@ SELECT alert, drone_id, swarm_id, tick, state, severity, team,
 FROM stated""")
 def all_threshold_rules(spark, sf_dir):
     chosen = [rules.RULES[n] for n in THRESHOLD_RULES]
-    samples = series.scrape(fixtures.telemetry(spark, sf_dir), ["battery_percent", "altitude_m"])
-    grid = series.on_grid(samples, ["metric", *LABELS])
+    t = fixtures.telemetry(spark, sf_dir)
+    samples = series.scrape(t, ["battery_percent", "altitude_m"])
+    grid = series.on_grid(samples, ["metric", *LABELS], end_us=series.grid_end(t))
     active = rules.evaluate_all(grid, chosen, LABELS)
     return active.select("alert", *LABELS, "tick", "state", "severity", "team", "summary", "description")
 

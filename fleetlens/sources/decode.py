@@ -25,9 +25,10 @@ def parse(df: DataFrame, topic: str, value: str = "value", required: str | None
     if required:
         bad = bad | F.col(f"record.{required}").isNull()
     syntax = F.try_parse_json(value).isNull()
-    return df.withColumn("record", record).withColumn(
-        "error_type", F.when(bad, F.when(syntax, SYNTAX_ERROR).otherwise(PROCESSING_ERROR))
-    )
+    # Through a generator, as Spark would otherwise push the filter on errors below the parsing
+    # and parse every value once more for each condition in it.
+    parsed = df.select("*", F.explode(F.array(record)).alias("record"))
+    return parsed.withColumn("error_type", F.when(bad, F.when(syntax, SYNTAX_ERROR).otherwise(PROCESSING_ERROR)))
 
 
 def quarantine(parsed: DataFrame, value: str = "value") -> DataFrame:
