@@ -10,10 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from fleetlens.functions.health import motor_cv
-from fleetlens.operators import anomalies, windows
+from fleetlens.operators import anomalies, fleet, windows
 from fleetlens.operators.windows import WATERMARK
 from fleetlens.sources import topics
-from fleetlens.streaming.processor import ADDED, PREV, HealthProcessor
+from fleetlens.streaming.processor import ADDED, PREV, FixFilter, HealthProcessor
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -59,6 +59,15 @@ def health_stream(telemetry: DataFrame, ttl_s: int = anomalies.STATE_TTL_S) -> D
     return anomalies.add_scores(anomalies.add_delta_columns(rows, ttl_s))
 
 
+def fix_stream(telemetry: DataFrame, max_speed_ms: float = 30.0, ttl_s: int = anomalies.STATE_TTL_S) -> DataFrame:
+    """Telemetry with ``spoofed``, judged against the last accepted fix; start it inside :func:`data_batches_only`."""
+    use_rocksdb(telemetry.sparkSession)
+    schema = StructType([*telemetry.schema.fields, *StructType.fromDDL("spoofed boolean").fields])
+    return telemetry.groupBy("drone_id").transformWithStateInPandas(
+        FixFilter(telemetry.columns, max_speed_ms, ttl_s * 1000), schema, "Append", "ProcessingTime"
+    )
+
+
 def cooled_alerts(scored: DataFrame) -> DataFrame:
     """Alert rows of scored stream records, kept only where the cooldown let them pass."""
     emitted = scored.select("event_id", "drone_id", "emitted").filter(F.size("emitted") > 0)
@@ -120,6 +129,28 @@ def run_health_to_topics(telemetry: DataFrame, kafka: dict[str, str], checkpoint
         return writer.start()
 
 
+def run_gauges_job(telemetry: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep the latest gauges of the fleet: every batch writes the current table under its id.
+
+    The state is one row per drone, however long the stream runs.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return (
+        fleet.gauges_wide(telemetry).writeStream.queryName("gauges").outputMode("complete")
+        .option("checkpointLocation", checkpoint).foreachBatch(write)
+        .trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+    )
+
+
+def current_gauges(spark: SparkSession, target: str) -> DataFrame:
+    """The gauges as of the last finished batch."""
+    written = spark.read.parquet(target)
+    newest = written.agg(F.max("batch_id")).scalar()
+    return written.filter(F.col("batch_id") == newest).drop("batch_id")
+
+
 def watermarked(df: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return df.withWatermark("ts", delay)
 

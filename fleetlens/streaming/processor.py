@@ -110,3 +110,33 @@ class HealthProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class FixFilter(StatefulProcessor):
+    """Marks fixes that cannot be reached from the last *accepted* fix at the allowed speed."""
+
+    def __init__(self, columns: list[str], max_speed_ms: float, ttl_ms: int = STATE_TTL_S * 1000):
+        self.columns, self.max_speed_ms, self.ttl_ms = columns, max_speed_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.accepted = handle.getValueState("accepted", "us bigint, lat double, lon double", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], ignore_index=True)
+        state = self.accepted.get()
+        last = (int(state[0]), float(state[1]), float(state[2])) if state is not None else None
+        spoofed = []
+        for us, lat, lon in zip(batch["us"], batch["latitude"], batch["longitude"]):
+            bad = False
+            if last is not None:
+                jump = np.hypot((lat - last[1]) * METERS_PER_DEGREE, (lon - last[2]) * METERS_PER_DEGREE)
+                bad = bool(jump / max((us - last[0]) / 1e6, MIN_STEP_S) > self.max_speed_ms)
+            if not bad and (last is None or us >= last[0]):
+                last = (int(us), float(lat), float(lon))
+            spoofed.append(bad)
+        if last is not None:
+            self.accepted.update(last)
+        yield batch[self.columns].assign(spoofed=spoofed)
+
+    def close(self) -> None:
+        pass

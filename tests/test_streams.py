@@ -87,3 +87,38 @@ def test_state_reaches_over_restarts_like_batch(spark, tmp_path):
     columns = ["event_id", "overall_score", "drain_rate", "anomaly_flags"]
     streamed = sorted(tuple(r) for r in spark.read.parquet(f"{out}/scores").select(columns).collect())
     assert streamed == sorted(tuple(r) for r in anomalies.score(frame(spark, rows)).select(columns).collect())
+
+
+def test_gauges_follow_the_stream(spark, tmp_path):
+    out = str(tmp_path / "out")
+    batches = [[(1, "d", 1, 90, 20), (2, "e", 1, 70, 20)], [(3, "d", 2, 80, 20)]]
+    feed(spark, tmp_path, batches, lambda s: jobs.run_gauges_job(s, out, str(tmp_path / "ck"), availableNow=True))
+    got = {r.drone_id: r.drone_battery_percent for r in jobs.current_gauges(spark, out).collect()}
+    assert got == {"d": 80.0, "e": 70.0}
+
+
+def test_fixes_are_judged_by_the_last_accepted_one(spark, tmp_path):
+    out = str(tmp_path / "out")
+
+    def start(stream):
+        moved = stream.withColumn("latitude", F.when(F.col("event_id").isin(2, 3, 4), 1.0).otherwise(0.0))
+        with jobs.data_batches_only(spark):
+            return jobs.run_append(jobs.fix_stream(moved), out, str(tmp_path / "ck"), availableNow=True)
+
+    # 1 is accepted; 2 to 4 sit 111 km away and stay rejected; 5 is back where 1 was
+    feed(spark, tmp_path, [[(1, "d", 1, 90, 20), (2, "d", 2, 90, 20)], [(3, "d", 3, 90, 20)], [(4, "d", 4, 90, 20), (5, "d", 5, 90, 20)]], start)
+    got = {r.event_id: r.spoofed for r in spark.read.parquet(out).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: True, 5: False}
+
+
+def test_stream_with_a_static_lookup(spark, tmp_path):
+    from fleetlens.operators import lookups
+
+    out = str(tmp_path / "out")
+
+    def start(stream):
+        named = lookups.with_class_name(stream.withColumn("cls_id", F.col("event_id")), lookups.class_table(spark))
+        return jobs.run_append(named.select("event_id", "class_name"), out, str(tmp_path / "ck"), availableNow=True)
+
+    feed(spark, tmp_path, [[(3, "d", 1, 90, 20)], [(77, "d", 2, 90, 20)]], start)
+    assert {r.event_id: r.class_name for r in spark.read.parquet(out).collect()} == {3: "car", 77: "unknown"}
