@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens.functions.boxes import area, dead_zone, iou
 from fleetlens.operators.ordered import DEFAULT_SLICE_US, with_history
@@ -10,6 +12,8 @@ from fleetlens.session import written
 
 CONFIDENCE = 0.25
 IOU_LIMIT = 0.5
+LARGE_FRAME = 20_000  # boxes of a frame that are gathered in one task
+ROUND = 64  # boxes a cell passes on per round when a frame is larger
 PUBLISH_EVERY = 3
 LOST_AFTER_S = 2.0
 BOX = ["x1", "y1", "x2", "y2"]
@@ -58,28 +62,105 @@ def to_frame(local: DataFrame, tile_table: DataFrame, keys: list[str]) -> DataFr
     }).drop("tile_x1", "tile_y1")
 
 
-def nms(dets: DataFrame, frame: list[str], limit: float = IOU_LIMIT, extra: list[str] | None = None) -> DataFrame:
+def nms(
+    dets: DataFrame, frame: list[str], limit: float = IOU_LIMIT, extra: list[str] | None = None,
+    large_frame: int = LARGE_FRAME,
+) -> DataFrame:
     """Greedy suppression per frame, across classes: keep a box unless it overlaps a better kept one.
 
     Better means higher ``conf``, then lower ``det_idx``. An undefined overlap (two empty boxes)
     suppresses as well. Exact copies of a box collapse to the best of them in a partial
-    aggregation before frames are gathered, so what is gathered is a frame's distinct boxes.
+    aggregation before frames are gathered. A frame of more than ``large_frame`` boxes is first
+    thinned by :func:`_thin`, cell by cell, until it is small enough to be gathered.
     """
     rest = ["det_id", *(extra or [])]
     best = F.min(F.struct((-F.col("conf")).alias("neg"), "det_idx", *rest)).alias("best")
-    distinct = dets.groupBy(*frame, *BOX).agg(best)
-    candidate = F.struct("best.neg", "best.det_idx", *[F.col(f"best.{r}") for r in rest], *BOX)
-    ranked = distinct.groupBy(*frame).agg(F.sort_array(F.collect_list(candidate)).alias("ranked"))
+    distinct = dets.groupBy(*frame, *BOX).agg(best).select(*frame, "best.*", *BOX)
+    sizes = dets.groupBy(*frame).agg(F.count(F.lit(1)).alias("n"))
+    large = written(sizes.filter(F.col("n") > large_frame).select(*frame), "large-frames")
+    if large.isEmpty():
+        kept = _suppress(distinct, frame, limit)
+    else:
+        undecided = written(distinct.join(large, frame, "left_semi"), "large-boxes")
+        decided, undecided = _thin(undecided, frame, limit, large_frame)
+        gathered = distinct.join(large, frame, "left_anti").unionByName(undecided)
+        kept = _suppress(gathered, frame, limit).unionByName(decided)
+    return kept.select(*frame, *rest, "det_idx", *BOX, (-F.col("neg")).alias("conf"))
+
+
+def _covers(better: Column, box: Column, limit: float) -> Column:
+    return ~F.coalesce(iou(better, box) <= limit, F.lit(False))
+
+
+def _candidate(df: DataFrame, frame: list[str]) -> Column:
+    """A box as a struct that sorts best first."""
+    first = ["neg", "det_idx"]
+    others = [c for c in df.columns if c not in (*frame, *first) and not c.startswith("_")]
+    return F.struct(*first, *others)
+
+
+def _suppress(distinct: DataFrame, frame: list[str], limit: float) -> DataFrame:
+    """The greedy rule on gathered frames."""
+    ranked = distinct.groupBy(*frame).agg(F.sort_array(F.collect_list(_candidate(distinct, frame))).alias("ranked"))
 
     def step(kept: Column, box: Column) -> Column:
-        covered = F.exists(kept, lambda k: ~F.coalesce(iou(k, box) <= limit, F.lit(False)))
+        covered = F.exists(kept, lambda k: _covers(k, box, limit))
         return F.when(covered, kept).otherwise(F.concat(kept, F.array(box)))
 
     kept = F.aggregate("ranked", F.slice("ranked", 1, 0), step)
-    return (
-        ranked.select(*frame, F.explode(kept).alias("b"))
-        .select(*frame, *[F.col(f"b.{c}") for c in [*rest, "det_idx", *BOX]], (-F.col("b.neg")).alias("conf"))
-    )
+    return ranked.select(*frame, F.explode(kept).alias("b")).select(*frame, "b.*").select(distinct.columns)
+
+
+def _thin(boxes: DataFrame, frame: list[str], limit: float, large_frame: int) -> tuple[DataFrame, DataFrame]:
+    """Decide boxes of large frames in rounds; returns the kept ones and those still undecided.
+
+    Cells are as wide as the frame's longest box side, so boxes that overlap lie in the same or
+    in neighbouring cells. Each cell passes on its ``ROUND`` best boxes left. A box that no better
+    one left covers is kept for certain, and the boxes it covers are dropped. That can be told as
+    far down the ranking as the lists of its cell and the eight around it are complete, which
+    always includes the best box there, so every round gets ahead. No round gathers a frame.
+    Of empty boxes only the best of a frame survives; they touch no others.
+    """
+    columns = boxes.columns
+    box = _candidate(boxes, frame)
+    empty = area(F.struct(*BOX)) == 0
+    kept = [boxes.filter(empty).groupBy(*frame).agg(F.min(box).alias("b")).select(*frame, "b.*").select(columns)]
+    side = F.max(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("_side")
+    solid = boxes.filter(~empty)
+    undecided = written(solid.join(solid.groupBy(*frame).agg(side), frame).withColumns({
+        "_cx": F.floor((F.col("x1") + F.col("x2")) / 2 / F.col("_side")),
+        "_cy": F.floor((F.col("y1") + F.col("y2")) / 2 / F.col("_side")),
+    }).drop("_side"), "undecided-boxes")
+    cell = [*frame, "_cx", "_cy"]
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+
+    def spread(df: DataFrame, *carried: str) -> DataFrame:
+        moved = df.withColumn("_d", F.explode(steps))
+        return moved.select(*frame, (F.col("_cx") + F.col("_d.dx")).alias("_cx"),
+                            (F.col("_cy") + F.col("_d.dy")).alias("_cy"), *carried)
+
+    in_cell = Window.partitionBy(*cell).orderBy("neg", "det_idx")
+    while not undecided.groupBy(*frame).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large_frame).isEmpty():
+        top = undecided.withColumn("_rank", F.row_number().over(in_cell)).filter(F.col("_rank") <= ROUND)
+        lists = top.groupBy(*cell).agg(F.sort_array(F.collect_list(box)).alias("best")).withColumn(
+            "cut", F.when(F.size("best") == ROUND, F.element_at("best", ROUND))
+        )
+        around = spread(lists, "best", "cut").groupBy(*cell).agg(
+            F.flatten(F.collect_list("best")).alias("near"), F.min("cut").alias("known_to")
+        )
+
+        def certain(b: Column) -> Column:
+            known = F.col("known_to").isNull() | (b <= F.col("known_to"))
+            return known & ~F.exists("near", lambda o: (o < b) & _covers(o, b, limit))
+
+        won = lists.drop("cut").join(around, cell).select(*cell, F.explode(F.filter("best", certain)).alias("b"))
+        winners = written(won, "kept-boxes")
+        reach = spread(winners, "b").groupBy(*cell).agg(F.collect_list("b").alias("_near"))  # at most 9 * ROUND
+        left = undecided.join(reach, cell, "left")
+        covered = F.exists("_near", lambda w: _covers(w, F.struct(*BOX), limit))
+        undecided = written(left.filter(~F.coalesce(covered, F.lit(False))).drop("_near"), "undecided-boxes")
+        kept.append(winners.select(*frame, "b.*").select(columns))
+    return reduce(DataFrame.unionByName, kept), undecided.select(columns)
 
 
 def overlapping(dets: DataFrame, frame: list[str], limit: float = IOU_LIMIT) -> DataFrame:

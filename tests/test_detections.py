@@ -10,8 +10,8 @@ from fleetlens.operators import detections as D
 BOXES = "frame_no bigint, det_idx bigint, det_id bigint, conf double, x1 bigint, y1 bigint, x2 bigint, y2 bigint"
 
 
-def kept(spark, rows, limit=0.5):
-    return {r.det_id for r in D.nms(spark.createDataFrame(rows, BOXES), ["frame_no"], limit).collect()}
+def kept(spark, rows, limit=0.5, large_frame=20_000):
+    return {r.det_id for r in D.nms(spark.createDataFrame(rows, BOXES), ["frame_no"], limit, large_frame=large_frame).collect()}
 
 
 def brute(rows, limit=0.5):
@@ -30,13 +30,15 @@ def brute(rows, limit=0.5):
     return out
 
 
-def test_random_frames(spark):
+@pytest.mark.parametrize("large_frame, passed_on", [(60, 5), (60, 64), (20_000, 64)])
+def test_random_frames_and_a_hot_one(spark, monkeypatch, large_frame, passed_on):
+    monkeypatch.setattr(D, "ROUND", passed_on)
     rng = random.Random(5)
     rows = []
     for i in range(400):
-        x, y = rng.randrange(60), rng.randrange(60)
-        rows.append((rng.randrange(8), i, i, rng.choice([0.3, 0.5, 0.7]), x, y, x + rng.randrange(40), y + rng.randrange(40)))
-    assert kept(spark, rows) == brute(rows)
+        x, y = rng.randrange(160), rng.randrange(160)
+        rows.append((rng.choice([0] * 8 + list(range(8))), i, i, rng.choice([0.3, 0.5, 0.7]), x, y, x + rng.randrange(40), y + rng.randrange(40)))
+    assert kept(spark, rows, large_frame=large_frame) == brute(rows)
 
 
 def test_limit_itself_is_kept_and_copies_collapse(spark):
