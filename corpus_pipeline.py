@@ -1,8 +1,56 @@
-"""The corpus pipeline: raw documents to packed training sequences, stage by stage."""
+"""The corpus pipeline: raw documents to packed training sequences, stage by stage.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; its result is written as Parquet and
+read back as the next stage's documents. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fleetlens.llm import langid, linededup, mixing, packing, simhash
+from fleetlens.session import prepare, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language; those with no language go."""
+    return langid.keep_languages(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the chunks of lines that stand earlier in the table."""
+    return linededup.line_dedup(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: three-word shingles, three bits at most."""
+    return simhash.near_dedup(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
+def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences, with their token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", language_id), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup),
+    ("mixing sources", mixing_sources), ("packing", packing_sequences),
+]
+
+#: Language machines, chunk hashes, fingerprints, sampling and tokens have no SQL form; tests hold
+#: each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read back."""
+    prepare(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

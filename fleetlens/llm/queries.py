@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import mixing, secret_scan, sharding, warc
+from fleetlens.llm import embeddedup, langid, linededup, mixing, neighbours, packing, secret_scan, sharding, simhash, warc
 from fleetlens.llm.common import table
 from fleetlens.session import prepare
 
@@ -37,6 +37,22 @@ def jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_slots(table(spark, sf_dir, "documents"), 24)
 
 
+@query("op3_line_dedup")
+def deduped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op4_language_id")
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op5_simhash_dedup")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.clusters(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query("op6_secret_scan")
 def secrets_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_documents(table(spark, sf_dir, "documents"))
@@ -50,6 +66,25 @@ def secrets_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.listed(F.col("spans")).alias("spans"), F.size(of("literal")).cast("long").alias("n_literal"))
 
 
+@query("op7_prefix_forest")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("int").alias("rank"),
+                        "vec_id", "score")
+
+
+@query("op8_embedding_dedup")
+def embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddedup.clusters(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_retrieval_packing")
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")
+
+
 @query("op10_warc_packages", sql="""
     WITH own AS (
       SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
