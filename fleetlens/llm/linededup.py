@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.llm.common import quoted, row_key
 
@@ -145,7 +146,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
             texts = [_cleaned(text.as_py(), lines.as_py()) for text, lines in zip(batch.column(1), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
-    done = met.mapInArrow(run, f"row {met.schema['row'].dataType.simpleString()}, text string")
+    done = met.mapInArrow(run, T.StructType([met.schema["row"], T.StructField("text", T.StringType())]))
     out = []
     for name in docs.columns:
         if name == "text":
