@@ -45,22 +45,19 @@ _FOLD = bytes(b | 0x20 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 els
 def features(text: bytes) -> np.ndarray:
     """Square roots of the shares of letter pairs and triples, at length one, with a constant at the end."""
     counts = np.zeros(FEATURES, dtype=np.float64)
-    folded_tail = b""
+    tail = np.empty(0, dtype=np.uint32)
     for at in range(0, len(text), BLOCK):
-        block = folded_tail + text[at:at + BLOCK].translate(_FOLD)
-        folded_tail = block[-2:]
-        a = np.frombuffer(block, np.uint8).astype(np.uint32)
+        a = np.concatenate([tail, np.frombuffer(text[at:at + BLOCK].translate(_FOLD), np.uint8)])
         # Capital letters with accents follow the byte C3 in the range 80 to 9E.
-        capital = np.flatnonzero((a[:-1] == 0xC3) & (a[1:] >= 0x80) & (a[1:] <= 0x9E)) + 1
-        a[capital] += 0x20
-        if len(a) > 1:
-            pair = (a[:-1] << 8) | a[1:]
-            pair = pair[pair != 0x2020]
-            counts[:PAIRS] += np.bincount((pair * np.uint32(2654435761)) >> np.uint32(21), minlength=PAIRS)
-        if len(a) > 2:
-            triple = (a[:-2] << 16) | (a[1:-1] << 8) | a[2:]
-            triple = triple[(triple & 0xFFFF) != 0x2020]
-            counts[PAIRS:] += np.bincount((triple * np.uint32(2246822519)) >> np.uint32(19), minlength=TRIPLES)
+        a[np.flatnonzero((a[:-1] == 0xC3) & (a[1:] >= 0x80) & (a[1:] <= 0x9E)) + 1] += 0x20
+        new = a[max(len(tail) - 1, 0):]
+        pair = (new[:-1] << 8) | new[1:]
+        pair = pair[pair != 0x2020]
+        counts[:PAIRS] += np.bincount((pair * np.uint32(2654435761)) >> np.uint32(21), minlength=PAIRS)
+        triple = (a[:-2] << 16) | (a[1:-1] << 8) | a[2:]
+        triple = triple[(triple & 0xFFFF) != 0x2020]
+        counts[PAIRS:] += np.bincount((triple * np.uint32(2246822519)) >> np.uint32(19), minlength=TRIPLES)
+        tail = a[-2:]
     out = np.sqrt(counts)
     length = np.sqrt(out @ out)
     return np.append(out / length if length else out, 1.0).astype(np.float32)

@@ -67,6 +67,8 @@ class Words:
         return ids
 
     def _encode(self, word: str) -> np.ndarray:
+        if not word:
+            return np.empty(0, dtype=np.uint32)
         # Up to U+017F every letter is composed already, and lower case is letter by letter.
         if max(word) < "ƀ" and "<|" not in word and "İ" not in word and word.isprintable():
             low = word.lower()

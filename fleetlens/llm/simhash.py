@@ -18,7 +18,9 @@ from fleetlens.session import written
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 #: Fingerprints that share a variant and are compared pair by pair; more are indexed again by finer variants.
-RUN = 512
+RUN = 4096
+#: Linked pairs that a task holds before it folds them into stars.
+HELD_PAIRS = 500_000
 #: Bytes of a text that are hashed at a time.
 BLOCK = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -88,9 +90,9 @@ def _canonical(x: np.ndarray) -> np.ndarray:
     return np.where(first, 0, 32) + np.where(half > 0, np.bitwise_count(half - np.uint64(1) * (half > 0)), 0)
 
 
-def _stars(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows as stars around the first row of each connected set: one edge a row at most."""
-    parent = np.arange(len(fp))
+def _stars(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between ``n`` rows as stars around the first row of each connected set: one edge a row at most."""
+    parent = np.arange(n)
     while True:
         ra, rb = parent[a], parent[b]
         if (ra == rb).all():
@@ -100,8 +102,8 @@ def _stars(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np
         np.minimum.at(parent, rb, least)
         while (parent[parent] != parent).any():
             parent = parent[parent]
-    rows = np.flatnonzero(parent != np.arange(len(fp)))
-    return fp[rows], fp[parent[rows]]
+    rows = np.flatnonzero(parent != np.arange(n))
+    return rows, parent[rows]
 
 
 def _link_runs(most: int, max_bits: int, keys: int):
@@ -113,7 +115,7 @@ def _link_runs(most: int, max_bits: int, keys: int):
     """
     def links(key: np.ndarray, end: np.ndarray, fp: np.ndarray):
         """end: where each row's run ends."""
-        found, at, step = [], np.arange(len(fp)), 1
+        found, held, at, step = [], 0, np.arange(len(fp)), 1
         while True:
             at = at[at + step < end[at]]
             if not len(at):
@@ -123,10 +125,14 @@ def _link_runs(most: int, max_bits: int, keys: int):
             near[near] = _canonical(x[near]) == ((key[at[near]] >> 32) & 63)
             if near.any():
                 found.append((at[near], at[near] + step))
+                held += len(found[-1][0])
+                if held > HELD_PAIRS:
+                    found, held = [_stars(len(fp), *map(np.concatenate, zip(*found)))], 0
             step += 1
-        if found:
-            return _stars(fp, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-        return None
+        if not found:
+            return None
+        rows, roots = _stars(len(fp), *map(np.concatenate, zip(*found)))
+        return fp[rows], fp[roots]
 
     def rows(hot: bool, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -220,7 +226,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, run: int = RUN) -> DataFrame
         "key", "w", "fp", "shiftrightunsigned(fp, CASE WHEN (shiftrightunsigned(key, 32) & 63) < 32 THEN 32 ELSE 0 END"
         " + CASE WHEN (shiftrightunsigned(key, 42) & 1) = 0 THEN 16 ELSE 0 END + 8 * shiftright(w, 3)) & 255 AS quarter")
     third = quarter.selectExpr("key", "CAST(w AS BIGINT) * 256 + (quarter & ~shiftleft(1L, w % 8)) AS sub", "fp")
-    level3 = _runs(third, 1 << 12, max_bits)
+    level3 = _runs(third, max(run, 1 << 12), max_bits)
     edges = level1.where("NOT hot").unionByName(level2.where("NOT hot")).unionByName(level3.where("NOT hot"))
     return edges.select(F.col("x").alias("a"), F.col("y").alias("b"))
 
