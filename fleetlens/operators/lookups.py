@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.schemas import CLASS_NAMES, SPEED_MODES
+from fleetlens.session import small_table
 
 # Mission mode after a command. Any other command is unknown.
 COMMAND_MODES = {
@@ -17,8 +18,7 @@ COMMAND_MODES = {
 
 
 def class_table(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
-    rows = list(enumerate(names or CLASS_NAMES))
-    return spark.createDataFrame(rows, "cls_id bigint, class_name string")
+    return small_table(spark, list(enumerate(names or CLASS_NAMES)), "cls_id bigint, class_name string")
 
 
 def with_class_name(df: DataFrame, classes: DataFrame, unknown: str | None = "unknown") -> DataFrame:
@@ -31,22 +31,23 @@ def with_class_name(df: DataFrame, classes: DataFrame, unknown: str | None = "un
 
 
 def speed_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        SPEED_MODES, "speed_mode string, imgsz bigint, tile_rows bigint, tile_cols bigint, overlap double, target_fps bigint"
+    return small_table(
+        spark, SPEED_MODES,
+        "speed_mode string, imgsz bigint, tile_rows bigint, tile_cols bigint, overlap double, target_fps bigint",
     )
 
 
 def with_speed_config(df: DataFrame, modes: DataFrame, default: str = "FAST") -> DataFrame:
-    """Add the settings of each row's speed mode; unknown modes get those of ``default``.
+    """Add the settings of each row's speed mode; modes that ``modes`` lacks get those of ``default``.
 
-    One join: an unknown mode is replaced by the default before the lookup.
+    Every mode of the table is known, and no other. The default's settings are scalar values.
     """
-    known = [r[0] for r in SPEED_MODES]
-    effective = F.when(F.col("speed_mode").isin(known), F.col("speed_mode")).otherwise(F.lit(default))
-    return (
-        df.withColumn("config_mode", effective)
-        .join(modes.withColumnRenamed("speed_mode", "config_mode"), "config_mode", "left")
-    )
+    settings = [c for c in modes.columns if c != "speed_mode"]
+    fallback = modes.filter(F.col("speed_mode") == default)
+    joined = df.join(modes.withColumnRenamed("speed_mode", "config_mode"), F.col("speed_mode") == F.col("config_mode"), "left")
+    known = F.col("config_mode").isNotNull()
+    filled = {c: F.when(known, F.col(c)).otherwise(fallback.select(c).scalar()) for c in settings}
+    return joined.withColumns(filled).withColumn("config_mode", F.coalesce("config_mode", F.lit(default)))
 
 
 def insert_if_absent(existing: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

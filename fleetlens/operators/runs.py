@@ -109,19 +109,20 @@ def compare_runs(
 
 
 def promote(versions: DataFrame, requests: DataFrame) -> DataFrame:
-    """Stages after applying ``requests`` (model, version, stage) in version order.
+    """Stages after applying ``requests`` (model, version, stage, asked_at) in the order of ``asked_at``.
 
-    A version moved to Production archives every other version that was in Production.
+    A version's last request decides its stage. A request for Production archives every other version
+    that is in Production then; so of a model's versions only the one asked for last, if its last
+    request is that one, stays there. A rollback is a later request for an older version.
     """
-    asked = versions.join(requests.withColumnRenamed("stage", "_asked"), ["model_name", "version"], "left")
-    moved = asked.withColumn("stage", F.coalesce("_asked", "stage"))
-    winner = moved.filter(F.col("_asked") == PRODUCTION).groupBy("model_name").agg(F.max("version").alias("_winner"))
+    last = requests.groupBy("model_name", "version").agg(
+        F.max_by("stage", "asked_at").alias("_asked"))
+    latest = requests.filter(F.col("stage") == PRODUCTION).groupBy("model_name").agg(
+        F.max_by("version", "asked_at").alias("_winner"))
+    moved = versions.join(last, ["model_name", "version"], "left").join(latest, "model_name", "left")
+    moved = moved.withColumn("stage", F.coalesce("_asked", "stage"))
     overtaken = (F.col("stage") == PRODUCTION) & F.col("_winner").isNotNull() & (F.col("version") != F.col("_winner"))
-    return (
-        moved.join(winner, "model_name", "left")
-        .withColumn("stage", F.when(overtaken, ARCHIVED).otherwise(F.col("stage")))
-        .select(versions.columns)
-    )
+    return moved.withColumn("stage", F.when(overtaken, ARCHIVED).otherwise(F.col("stage"))).select(versions.columns)
 
 
 def production(versions: DataFrame) -> DataFrame:

@@ -172,29 +172,52 @@ def rule_health_score_low(spark, sf_dir):
     return active.withColumn("value", F.round("value", 4))
 
 
-THRESHOLD_RULES = ["DroneBatteryCritical", "DroneBatteryLow", "DroneAltitudeExceeded"]
+# Metrics of all thirteen rules: those that drones report, and others derived from them by a factor.
+REPORTED = ["battery_percent", "altitude_m", "connected"]
+DERIVED = {
+    "connected_drones": ("drone_battery_percent", 0.05), "inference_latency_seconds": ("drone_altitude_meters", 0.003),
+    "drone_motor_deviation": ("drone_altitude_meters", 0.002), "consumer_lag": ("drone_altitude_meters", 90.0),
+    "job_restarts": ("drone_battery_percent", 0.03), "job_uptime": ("drone_connected", 1.0),
+    "checkpoint_failures_increase": ("drone_connected", 2.0), "disk_usage_ratio": ("drone_battery_percent", 0.01),
+    "drone_health_score": ("drone_battery_percent", 0.8),
+}
+ALL_LABELS = ["drone_id", "swarm_id", "motor_id", "group", "job_name"]
+
+
+def _text(value):
+    return "'" + value.replace("'", "''") + "'"
+
+
 _RULE_VALUES = "(VALUES " + ", ".join(
-    f"('{r.alert}', '{r.metric}', '{r.op}', {r.threshold}, {r.for_s}, '{r.severity}', '{r.team}')"
-    for r in (rules.RULES[n] for n in THRESHOLD_RULES)
-) + ") AS r(alert, metric, op, threshold, for_s, severity, team)"
+    f"('{r.alert}', '{r.metric}', '{r.op}', {r.threshold}, {r.for_s}, '{r.severity}', '{r.team}', {_text(r.summary)}, {_text(r.description)})"
+    for r in rules.RULES.values()
+) + ") AS r(alert, metric, op, threshold, for_s, severity, team, summary_template, description_template)"
+_DERIVED_VALUES = "(VALUES " + ", ".join(f"('{m}', '{source}', {factor}::DOUBLE)" for m, (source, factor) in DERIVED.items()) + \
+    ") AS d(derived, metric, factor)"
+_FILLED = """replace(replace(replace(replace(replace(replace(replace({t}, '{{drone_id}}', drone_id), '{{swarm_id}}', swarm_id),
+  '{{motor_id}}', 'motor_1'), '{{group}}', 'group ' || swarm_id), '{{job_name}}', 'job ' || swarm_id),
+  '{{percentage}}', R2(value * 100)::VARCHAR || '%'), '{{value}}', R2(value)::VARCHAR)"""
 
 
 @query("all_threshold_rules", f"""WITH {SAMPLES}, {grid_sql("sample", "metric, drone_id, swarm_id")},
-ruled AS (SELECT g.*, r.* EXCLUDE (metric) FROM grid g JOIN {_RULE_VALUES} ON g.metric = r.metric),
-{state_sql("(op = '<' AND value < threshold) OR (op = '>' AND value > threshold)", "alert, drone_id, swarm_id", "for_s", "ruled")}
-SELECT alert, drone_id, swarm_id, tick, state, severity, team,
-  CASE alert WHEN 'DroneBatteryCritical' THEN 'Drone ' || drone_id || ' battery critically low'
-    WHEN 'DroneBatteryLow' THEN 'Drone ' || drone_id || ' battery low' ELSE 'Drone ' || drone_id || ' altitude breach' END AS summary,
-  CASE alert WHEN 'DroneBatteryCritical' THEN 'Drone ' || drone_id || ' battery at ' || R2(value)::VARCHAR || '%. Immediate RTH (Return-To-Home) required.'
-    WHEN 'DroneBatteryLow' THEN 'Drone ' || drone_id || ' battery at ' || R2(value)::VARCHAR || '%. Plan RTH.'
-    ELSE 'Drone at ' || R2(value)::VARCHAR || 'm — exceeds 120m ceiling.' END AS description
+every AS (
+  SELECT metric, drone_id, swarm_id, tick, value FROM grid
+  UNION ALL SELECT derived, drone_id, swarm_id, tick, value * factor FROM grid JOIN {_DERIVED_VALUES} USING (metric)),
+ruled AS (SELECT g.*, r.* EXCLUDE (metric) FROM every g JOIN {_RULE_VALUES} ON g.metric = r.metric),
+{state_sql("(op = '<' AND value < threshold) OR (op = '>' AND value > threshold) OR (op = '==' AND value = threshold)", "alert, drone_id, swarm_id", "for_s", "ruled")}
+SELECT alert, drone_id, swarm_id, tick, state, severity, team, {_FILLED.format(t="summary_template")} AS summary,
+  {_FILLED.format(t="description_template")} AS description
 FROM stated""")
 def all_threshold_rules(spark, sf_dir):
-    chosen = [rules.RULES[n] for n in THRESHOLD_RULES]
     t = fixtures.telemetry(spark, sf_dir)
-    samples = series.scrape(t, ["battery_percent", "altitude_m"])
-    grid = series.on_grid(samples, ["metric", *LABELS], end_us=series.grid_end(t))
-    active = rules.evaluate_all(grid, chosen, LABELS)
+    grid = series.on_grid(series.scrape(t, REPORTED), ["metric", *LABELS], end_us=series.grid_end(t))
+    entries = [F.struct(F.lit(m).alias("metric"), F.lit(source).alias("source"), F.lit(factor).alias("factor"))
+               for m, (source, factor) in DERIVED.items()]
+    derived = grid.withColumn("_d", F.explode(F.filter(F.array(*entries), lambda e: e["source"] == F.col("metric")))).withColumns(
+        {"metric": F.col("_d.metric"), "value": F.col("value") * F.col("_d.factor")}).drop("_d")
+    labelled = grid.unionByName(derived).withColumns({
+        "motor_id": F.lit("motor_1"), "group": F.concat(F.lit("group "), "swarm_id"), "job_name": F.concat(F.lit("job "), "swarm_id")})
+    active = rules.evaluate_all(labelled, list(rules.RULES.values()), ALL_LABELS)
     return active.select("alert", *LABELS, "tick", "state", "severity", "team", "summary", "description")
 
 

@@ -148,14 +148,24 @@ def dataset_info(spark, sf_dir):
     return info.select("name", "total_images", "num_classes")
 
 
+# Requests in order: one or none a version; then, newest version first, a second one for some (a rollback
+# for the older ones); and the first of all repeated.
 VERSIONS = """
 ver AS (
-  SELECT p_brand AS model_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS version, p_size % 3 AS want FROM part),
-staged AS (
-  SELECT *, max(CASE WHEN want = 1 THEN version END) OVER (PARTITION BY model_name) AS winner FROM ver),
+  SELECT p_brand AS model_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS version, p_size FROM part),
+ask AS (
+  SELECT model_name, version, CASE p_size % 3 WHEN 0 THEN 'Staging' ELSE 'Production' END AS stage, version AS asked_at
+  FROM ver WHERE p_size % 3 < 2
+  UNION ALL SELECT model_name, version, CASE p_size % 3 WHEN 0 THEN 'Staging' ELSE 'Production' END, version - 1000000
+  FROM ver WHERE p_size % 3 < 2
+  UNION ALL SELECT model_name, version, CASE p_size % 2 WHEN 0 THEN 'Production' ELSE 'None' END, 1000000 - version
+  FROM ver WHERE p_size % 10 = 4 OR p_size % 10 = 7),
+stepped AS (
+  SELECT v.model_name, v.version, arg_max(a.stage, a.asked_at) AS stage,
+    max(CASE WHEN a.stage = 'Production' THEN a.asked_at END) AS up_at FROM ver v LEFT JOIN ask a USING (model_name, version) GROUP BY ALL),
 final AS (
-  SELECT model_name, version, CASE want WHEN 0 THEN 'Staging' WHEN 2 THEN 'None' ELSE
-    CASE WHEN version = winner THEN 'Production' ELSE 'Archived' END END AS stage FROM staged)"""
+  SELECT model_name, version, CASE WHEN stage = 'Production' AND up_at < max(up_at) OVER (PARTITION BY model_name) THEN 'Archived'
+    ELSE coalesce(stage, 'None') END AS stage FROM stepped)"""
 
 
 def promoted(spark, sf_dir):
@@ -164,9 +174,15 @@ def promoted(spark, sf_dir):
         position="version", width=100_000,
     )
     versions = numbered.select(F.col("p_brand").alias("model_name"), "version", F.lit("None").alias("stage"), "p_size")
-    wanted = F.when(F.col("p_size") % 3 == 0, "Staging").when(F.col("p_size") % 3 == 1, "Production")
-    requests = versions.select("model_name", "version", wanted.alias("stage")).filter("stage is not null")
-    return runs.promote(versions.drop("p_size"), requests)
+    size = F.col("p_size")
+    once = versions.filter(size % 3 < 2).select(
+        "model_name", "version", F.when(size % 3 == 0, "Staging").otherwise("Production").alias("stage"),
+        F.col("version").alias("asked_at"))
+    again = versions.filter((size % 10).isin(4, 7)).select(
+        "model_name", "version", F.when(size % 2 == 0, "Production").otherwise("None").alias("stage"),
+        (1_000_000 - F.col("version")).alias("asked_at"))
+    repeated = once.withColumn("asked_at", F.col("asked_at") - 1_000_000)
+    return runs.promote(versions.drop("p_size"), once.unionByName(repeated).unionByName(again))
 
 
 @query("model_stages", f"WITH {VERSIONS} SELECT model_name, version, stage FROM final")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fleetlens.operators.series import SECOND, STEP_S, ceil_to, on_grid
 from fleetlens.operators.windows import fixed_sum
+from fleetlens.session import small_table
 
 
 @dataclass(frozen=True)
@@ -24,7 +25,8 @@ class Rule:
     description: str = ""
 
 
-# Names, limits, durations and texts of the alert rules.
+# Limits, durations, severities, teams and the texts for drones. Names of metrics, and the
+# names and texts of rules on the platform itself, are our own, without product names.
 RULES = {r.alert: r for r in [
     Rule("DroneBatteryCritical", "drone_battery_percent", "<", 15.0, 30, "critical", "drone-ops",
          "Drone {drone_id} battery critically low",
@@ -32,7 +34,7 @@ RULES = {r.alert: r for r in [
     Rule("DroneBatteryLow", "drone_battery_percent", "<", 30.0, 60, "warning", "drone-ops",
          "Drone {drone_id} battery low", "Drone {drone_id} battery at {value}%. Plan RTH."),
     Rule("DroneConnectionLost", "drone_connected", "==", 0.0, 15, "critical", "drone-ops",
-         "Drone {drone_id} connection lost", "Lost telemetry from drone {drone_id}."),
+         "Drone {drone_id} connection lost", "Lost telemetry from drone {drone_id}. Last seen {value}s ago."),
     Rule("DroneAltitudeExceeded", "drone_altitude_meters", ">", 120.0, 10, "warning", "drone-ops",
          "Drone {drone_id} altitude breach", "Drone at {value}m — exceeds 120m ceiling."),
     Rule("SwarmDroneCountLow", "connected_drones", "<", 3.0, 60, "warning", "drone-ops",
@@ -49,7 +51,7 @@ RULES = {r.alert: r for r in [
     Rule("CheckpointFailed", "checkpoint_failures_increase", ">", 0.0, 0, "warning", "platform",
          "Checkpoint failed", "Checkpoint failure detected for job {job_name}."),
     Rule("DiskUsageHigh", "disk_usage_ratio", ">", 0.85, 300, "warning", "platform",
-         "Disk usage above 85%", "Storage usage at {value}."),
+         "Disk usage above 85%", "Storage usage at {percentage}."),
     Rule("DroneHealthScoreLow", "drone_health_score", "<", 50.0, 60, "warning", "drone-ops",
          "Drone {drone_id} health score low ({value})"),
 ]}
@@ -87,7 +89,8 @@ def evaluate(grid: DataFrame, rule: Rule, labels: Sequence[str], step_s: int = S
 
 
 def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         [(r.alert, r.metric, r.op, r.threshold, r.for_s, r.severity, r.team, r.summary, r.description) for r in rules],
         "alert string, metric string, op string, threshold double, for_s bigint, severity string, team string, "
         "summary_template string, description_template string",
@@ -108,12 +111,13 @@ def evaluate_all(
 
 
 def annotate(alerts: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Fill ``{label}`` and ``{value}`` of the text templates."""
+    """Fill ``{label}``, ``{value}`` and ``{percentage}`` of the text templates."""
 
     def fill(template: str) -> Column:
         text = F.col(template)
         for name in labels:
             text = F.replace(text, F.lit("{%s}" % name), F.coalesce(F.col(name), F.lit("")))
+        text = F.replace(text, F.lit("{percentage}"), percentage("value"))
         return F.replace(text, F.lit("{value}"), F.round("value", 2).cast("string"))
 
     return alerts.withColumns({

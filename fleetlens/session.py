@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: str = "8", app: str = "fleetlens", **conf: str) -> SparkSession:
@@ -30,6 +32,17 @@ def local_session(cores: str = "8", app: str = "fleetlens", **conf: str) -> Spar
     return spark
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
+    """A table of rows given in the program. Spark knows its size, so that a join broadcasts it by its own check.
+
+    A frame made of Python rows would count as unboundedly large.
+    """
+    names = [field.split()[0] for field in ddl.split(",")]
+    table = pa.table({name: pa.array([row[i] for row in rows]) for i, name in enumerate(names)})
+    return spark.createDataFrame(table).select(*[
+        F.col(name).cast(kind).alias(name) for name, kind in (field.split() for field in ddl.split(","))])
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings the library's results depend on: epoch arithmetic is done in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
