@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from fleetlens.functions.boxes import area, dead_zone, iou
+from fleetlens.functions.boxes import area, dead_zone
+from fleetlens.operators.grouped import Group, map_groups
 from fleetlens.operators.ordered import DEFAULT_SLICE_US, with_history
 from fleetlens.session import written
 
 CONFIDENCE = 0.25
 IOU_LIMIT = 0.5
-LARGE_FRAME = 20_000  # boxes of a frame that are gathered in one task
-ROUND = 64  # boxes a cell passes on per round when a frame is larger
 PUBLISH_EVERY = 3
 LOST_AFTER_S = 2.0
 BOX = ["x1", "y1", "x2", "y2"]
@@ -62,114 +60,66 @@ def to_frame(local: DataFrame, tile_table: DataFrame, keys: list[str]) -> DataFr
     }).drop("tile_x1", "tile_y1")
 
 
-def nms(
-    dets: DataFrame, frame: list[str], limit: float = IOU_LIMIT, extra: list[str] | None = None,
-    large_frame: int = LARGE_FRAME,
-) -> DataFrame:
+def nms(dets: DataFrame, frame: list[str], limit: float = IOU_LIMIT, extra: list[str] | None = None) -> DataFrame:
     """Greedy suppression per frame, across classes: keep a box unless it overlaps a better kept one.
 
     Better means higher ``conf``, then lower ``det_idx``. An undefined overlap (two empty boxes)
     suppresses as well. Exact copies of a box collapse to the best of them in a partial
-    aggregation before frames are gathered. A frame of more than ``large_frame`` boxes is first
-    thinned by :func:`_thin`, cell by cell, until it is small enough to be gathered.
+    aggregation before frames come together. One plan for frames of any size: rows are dealt out by
+    frame and streamed, and a frame is the group in memory, at some tens of bytes a box. Columns must be non-null.
     """
     rest = ["det_id", *(extra or [])]
     best = F.min(F.struct((-F.col("conf")).alias("neg"), "det_idx", *rest)).alias("best")
     distinct = dets.groupBy(*frame, *BOX).agg(best).select(*frame, "best.*", *BOX)
-    sizes = dets.groupBy(*frame).agg(F.count(F.lit(1)).alias("n"))
-    large = written(sizes.filter(F.col("n") > large_frame).select(*frame), "large-frames")
-    if large.isEmpty():
-        kept = _suppress(distinct, frame, limit)
-    else:
-        undecided = written(distinct.join(large, frame, "left_semi"), "large-boxes")
-        decided, undecided = _thin(undecided, frame, limit, large_frame)
-        gathered = distinct.join(large, frame, "left_anti").unionByName(undecided)
-        kept = _suppress(gathered, frame, limit).unionByName(decided)
-    return kept.select(*frame, *rest, "det_idx", *BOX, (-F.col("neg")).alias("conf"))
-
 
-def _covers(better: Column, box: Column, limit: float) -> Column:
-    return ~F.coalesce(iou(better, box) <= limit, F.lit(False))
+    def keep(group: Group) -> Group:
+        rows = np.lexsort((group["det_idx"], group["neg"]))
+        rows = rows[_greedy(_corners(group)[:, rows], limit)]
+        return {name: values[rows] for name, values in group.items()}
 
+    kept = map_groups(distinct, frame, ["neg", "det_idx"], keep, _ddl(distinct))
+    return kept.select(*frame, *rest, "det_idx", *BOX, (-F.col("neg")).alias("conf"))
 
-def _candidate(df: DataFrame, frame: list[str]) -> Column:
-    """A box as a struct that sorts best first."""
-    first = ["neg", "det_idx"]
-    others = [c for c in df.columns if c not in (*frame, *first) and not c.startswith("_")]
-    return F.struct(*first, *others)
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
-def _suppress(distinct: DataFrame, frame: list[str], limit: float) -> DataFrame:
-    """The greedy rule on gathered frames."""
-    ranked = distinct.groupBy(*frame).agg(F.sort_array(F.collect_list(_candidate(distinct, frame))).alias("ranked"))
 
-    def step(kept: Column, box: Column) -> Column:
-        covered = F.exists(kept, lambda k: _covers(k, box, limit))
-        return F.when(covered, kept).otherwise(F.concat(kept, F.array(box)))
+def _corners(group: Group) -> np.ndarray:
+    return np.stack([group[c].astype(np.float64) for c in BOX])
 
-    kept = F.aggregate("ranked", F.slice("ranked", 1, 0), step)
-    return ranked.select(*frame, F.explode(kept).alias("b")).select(*frame, "b.*").select(distinct.columns)
 
+def _overlap(boxes: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """Intersection over union of ``boxes`` with one box; NaN where the union is empty."""
+    x1, y1, x2, y2 = boxes
+    inter = np.maximum(np.minimum(x2, box[2]) - np.maximum(x1, box[0]), 0) * np.maximum(
+        np.minimum(y2, box[3]) - np.maximum(y1, box[1]), 0)
+    union = (x2 - x1) * (y2 - y1) + (box[2] - box[0]) * (box[3] - box[1]) - inter
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return inter / union
 
-def _thin(boxes: DataFrame, frame: list[str], limit: float, large_frame: int) -> tuple[DataFrame, DataFrame]:
-    """Decide boxes of large frames in rounds; returns the kept ones and those still undecided.
 
-    Cells are as wide as the frame's longest box side, so boxes that overlap lie in the same or
-    in neighbouring cells. Each cell passes on its ``ROUND`` best boxes left. A box that no better
-    one left covers is kept for certain, and the boxes it covers are dropped. That can be told as
-    far down the ranking as the lists of its cell and the eight around it are complete, which
-    always includes the best box there, so every round gets ahead. No round gathers a frame.
-    Of empty boxes only the best of a frame survives; they touch no others.
-    """
-    columns = boxes.columns
-    box = _candidate(boxes, frame)
-    empty = area(F.struct(*BOX)) == 0
-    kept = [boxes.filter(empty).groupBy(*frame).agg(F.min(box).alias("b")).select(*frame, "b.*").select(columns)]
-    side = F.max(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("_side")
-    solid = boxes.filter(~empty)
-    undecided = written(solid.join(solid.groupBy(*frame).agg(side), frame).withColumns({
-        "_cx": F.floor((F.col("x1") + F.col("x2")) / 2 / F.col("_side")),
-        "_cy": F.floor((F.col("y1") + F.col("y2")) / 2 / F.col("_side")),
-    }).drop("_side"), "undecided-boxes")
-    cell = [*frame, "_cx", "_cy"]
-    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-
-    def spread(df: DataFrame, *carried: str) -> DataFrame:
-        moved = df.withColumn("_d", F.explode(steps))
-        return moved.select(*frame, (F.col("_cx") + F.col("_d.dx")).alias("_cx"),
-                            (F.col("_cy") + F.col("_d.dy")).alias("_cy"), *carried)
-
-    in_cell = Window.partitionBy(*cell).orderBy("neg", "det_idx")
-    while not undecided.groupBy(*frame).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large_frame).isEmpty():
-        top = undecided.withColumn("_rank", F.row_number().over(in_cell)).filter(F.col("_rank") <= ROUND)
-        lists = top.groupBy(*cell).agg(F.sort_array(F.collect_list(box)).alias("best")).withColumn(
-            "cut", F.when(F.size("best") == ROUND, F.element_at("best", ROUND))
-        )
-        around = spread(lists, "best", "cut").groupBy(*cell).agg(
-            F.flatten(F.collect_list("best")).alias("near"), F.min("cut").alias("known_to")
-        )
+def _greedy(boxes: np.ndarray, limit: float) -> np.ndarray:
+    """Columns of ``boxes``, best first, that stay."""
+    left, kept = np.arange(boxes.shape[1]), []
+    while len(left):
+        kept.append(left[0])
+        left = left[1:]
+        left = left[_overlap(boxes[:, left], boxes[:, kept[-1]]) <= limit]
+    return np.array(kept, dtype=np.int64)
 
-        def certain(b: Column) -> Column:
-            known = F.col("known_to").isNull() | (b <= F.col("known_to"))
-            return known & ~F.exists("near", lambda o: (o < b) & _covers(o, b, limit))
 
-        won = lists.drop("cut").join(around, cell).select(*cell, F.explode(F.filter("best", certain)).alias("b"))
-        winners = written(won, "kept-boxes")
-        reach = spread(winners, "b").groupBy(*cell).agg(F.collect_list("b").alias("_near"))  # at most 9 * ROUND
-        left = undecided.join(reach, cell, "left")
-        covered = F.exists("_near", lambda w: _covers(w, F.struct(*BOX), limit))
-        undecided = written(left.filter(~F.coalesce(covered, F.lit(False))).drop("_near"), "undecided-boxes")
-        kept.append(winners.select(*frame, "b.*").select(columns))
-    return reduce(DataFrame.unionByName, kept), undecided.select(columns)
+def overlapping(dets: DataFrame, frame: list[str], limit: float = IOU_LIMIT) -> DataFrame:
+    """Per detection: how many other boxes of its frame overlap it by more than ``limit``; nothing is paired up."""
+    slim = dets.select(*frame, "det_id", *BOX)
 
+    def count(group: Group) -> Group:
+        boxes = _corners(group)
+        with np.errstate(invalid="ignore"):
+            found = [int((_overlap(boxes, box) > limit).sum() - (_overlap(box[:, None], box)[0] > limit)) for box in boxes.T]
+        return {**{name: group[name] for name in (*frame, "det_id")}, "n_overlapping": np.array(found, dtype=np.int64)}
 
-def overlapping(dets: DataFrame, frame: list[str], limit: float = IOU_LIMIT) -> DataFrame:
-    """Per detection: how many boxes of its frame overlap it by more than ``limit``."""
-    box = F.struct("det_id", *BOX)
-    gathered = dets.groupBy(*frame).agg(F.collect_list(box).alias("boxes"))
-    each = gathered.select(*frame, "boxes", F.explode("boxes").alias("b"))
-    near = F.filter("boxes", lambda o: (o["det_id"] != F.col("b.det_id")) & (iou(o, F.col("b")) > limit))
-    return each.select(*frame, "b.det_id", F.size(near).cast("bigint").alias("n_overlapping"))
+    return map_groups(slim, frame, ["det_id"], count, f"{_ddl(slim.select(*frame, 'det_id'))}, n_overlapping bigint")
 
 
 def formatted(df: DataFrame) -> DataFrame:
@@ -190,10 +140,24 @@ def largest(dets: DataFrame, keys: list[str]) -> DataFrame:
 
 def _pick(where: Column, prefix: str) -> list[Column]:
     box = F.struct(*BOX)
-    key = F.when(where, F.col("det_idx") * F.lit(-1) + area(box).cast("decimal(18,0)") * F.lit(10**9).cast("decimal(10,0)"))
+    # One decimal orders by area, twelve places of it kept, and then by index; a struct would force a sort.
+    ranked = area(box).cast("decimal(24,12)") * F.lit(10**9).cast("decimal(10,0)")
+    key = F.when(where, ranked - F.col("det_idx"))
     return [F.max_by(c, key).alias(f"{prefix}{c}") for c in ["det_id", "track_id", "conf", *BOX]]
 
 
+def geometry() -> dict[str, Column]:
+    """Centre and area of a target's box, whose corners are cut to whole pixels first."""
+    x1, y1, x2, y2 = (F.col(c).cast("bigint") for c in BOX)
+    return {"cx": F.floor((x1 + x2) / 2), "cy": F.floor((y1 + y2) / 2), "area": (x2 - x1) * (y2 - y1)}
+
+
+def frame_errors(width: int, height: int) -> tuple[Column, Column]:
+    """How far ``cx, cy`` are from the middle of the frame, as a share of half its size, with the dead zone."""
+    return (dead_zone((F.col("cx") - width // 2) / F.lit(width / 2)),
+            dead_zone((F.col("cy") - height // 2) / F.lit(height / 2)))
+
+
 def follow(
     tracks: DataFrame, target_class: str = "car", locked_id: int | None = None, width: int = 200, height: int = 160,
     lost_after_s: float = LOST_AFTER_S, slice_us: int = DEFAULT_SLICE_US,
@@ -235,21 +199,19 @@ def follow(
     )
     targets = history.withColumn("_held", held).select(
         "drone_id", "frame_no", "us", state.alias("state"), "_held", "found", *[v.alias(k) for k, v in chosen.items()]
-    ).withColumn("area", F.when(F.col("found"), area(F.struct(*BOX))))
+    ).withColumns({c: F.when(F.col("found"), v) for c, v in geometry().items()})
     fresh = F.when(F.col("found") & ~F.col("_held"), F.col("area"))
     referred = with_history(
         targets.withColumn("_fresh", fresh), ["drone_id"], "us", "frame_no",
         carried={"_reference": "_fresh"}, width=slice_us,
     )
-    cx, cy = F.expr("floor((x1 + x2) / 2)"), F.expr("floor((y1 + y2) / 2)")
-    error_x = (F.col("cx") - width // 2) / F.lit(width / 2)
-    error_y = (F.col("cy") - height // 2) / F.lit(height / 2)
+    error_x, error_y = frame_errors(width, height)
     reference = F.when(F.col("found"), F.col("_reference"))
     return (
-        referred.withColumns({"cx": cx, "cy": cy, "reference_area": reference})
+        referred.withColumn("reference_area", reference)
         .select(
             "drone_id", "frame_no", "us", "state", "det_id", "track_id", "conf", *BOX, "cx", "cy", "area", "reference_area",
-            dead_zone(error_x).alias("error_x"), dead_zone(error_y).alias("error_y"),
+            error_x.alias("error_x"), error_y.alias("error_y"),
             F.try_divide((F.col("reference_area") - F.col("area")).cast("double"), F.col("reference_area").cast("double"))
             .alias("error_distance"),
         )

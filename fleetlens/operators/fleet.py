@@ -27,6 +27,9 @@ LATENCY_BOUNDS = [0.01, 0.025, 0.05, 0.075, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0]
 
 ACTIVE_S = 30
 
+#: Bands per unit of the natural logarithm, level by level, of exact quantiles.
+BAND_SCALES = (1e3, 1e7, 1e12)
+
 
 def gauges_wide(df: DataFrame, tie: str = "event_id") -> DataFrame:
     """Latest non-null value of every field per drone and swarm; one partial aggregation."""
@@ -90,6 +93,32 @@ def last_records(df: DataFrame, tie: str = "event_id") -> DataFrame:
     )
 
 
+def _swarms(state: DataFrame) -> DataFrame:
+    """Active drones and mean health of them per swarm, from rows with ``active``."""
+    scored = state.withColumn("member_score", fleet_member_score("battery_percent", "signal_dbm", "temperature_c"))
+    return scored.groupBy(F.coalesce("swarm_id", F.lit("default")).alias("swarm_id")).agg(
+        F.count_if("active").alias("active_drones"),
+        F.round(F.avg(F.when(F.col("active"), F.col("member_score"))), 3).alias("health_score"),
+    )
+
+
+def swarm_of(last: DataFrame, as_of_us: int | Column | None = None, active_s: float = ACTIVE_S) -> DataFrame:
+    """:func:`swarm_status` of last records that are at hand, as a stream keeps them."""
+    as_of = last.agg(F.max("last_seen_us")).scalar() if as_of_us is None else as_of_us
+    as_of = F.lit(as_of) if isinstance(as_of, int) else as_of
+    return _swarms(last.withColumn("active", as_of - F.col("last_seen_us") < F.lit(int(active_s * 1e6))))
+
+
+def inference_totals(inference: DataFrame, bounds: Sequence[float] = LATENCY_BOUNDS, tie: str = "event_id") -> DataFrame:
+    """Per drone, model and mode in one aggregation: histogram counts, sum, count, latest rate and detections."""
+    sized = inference.withColumn("_n", F.size("detections"))
+    return sized.groupBy("drone_id", "model_name", "speed_mode").agg(
+        *[F.count_if(F.col("latency_s") <= b).alias(f"le_{i}") for i, b in enumerate(bounds)],
+        F.sum("latency_s").alias("latency_sum"), F.count("latency_s").alias("latency_count"),
+        latest("fps", "us", tie, where=F.col("fps").isNotNull()).alias("fps"), F.sum("_n").alias("detections"),
+    )
+
+
 def with_activity(df: DataFrame, as_of_us: int | Column | None = None, active_s: float = ACTIVE_S) -> DataFrame:
     """Last records with ``active``: seen less than ``active_s`` before ``as_of_us`` (default: the newest record)."""
     as_of = df.agg(F.max("us")).scalar() if as_of_us is None else as_of_us
@@ -108,13 +137,7 @@ def connection_state(df: DataFrame, as_of_us: int | Column | None = None, active
 
 def swarm_status(df: DataFrame, as_of_us: int | Column | None = None, active_s: float = ACTIVE_S) -> DataFrame:
     """Active drones and mean health of them per swarm; a silent swarm reports 0 and no health."""
-    state = with_activity(df, as_of_us, active_s).withColumn(
-        "member_score", fleet_member_score("battery_percent", "signal_dbm", "temperature_c")
-    )
-    return state.groupBy(F.coalesce("swarm_id", F.lit("default")).alias("swarm_id")).agg(
-        F.count_if("active").alias("active_drones"),
-        F.round(F.avg(F.when(F.col("active"), F.col("member_score"))), 3).alias("health_score"),
-    )
+    return _swarms(with_activity(df, as_of_us, active_s))
 
 
 def message_counts(records: DataFrame) -> DataFrame:
@@ -132,7 +155,11 @@ def service_summary(df: DataFrame) -> DataFrame:
 def quantiles(
     df: DataFrame, value: str, keys: Sequence[str] = (), at: Sequence[float] = (0.5, 0.95, 0.99), accuracy: int = 10_000
 ) -> DataFrame:
-    """Quantiles per key from a sketch of bounded size; exact up to about ``accuracy`` rows per key."""
+    """Quantiles per key from a sketch of bounded size.
+
+    The contract is a bound: a value's rank is off by no more than a share ``1 / accuracy`` of the key's rows.
+    Where that must be 0, use :func:`exact_quantiles`.
+    """
     return df.groupBy(*keys).agg(*[F.percentile_approx(value, q, accuracy).alias(_quantile_name(q)) for q in at])
 
 
@@ -141,32 +168,37 @@ def exact_quantiles(
 ) -> DataFrame:
     """Interpolated quantiles per key, exact at any size.
 
-    Equal values are counted first. Values then fall into bands a thousandth wide; from the
-    band totals it is known which bands hold the wanted ranks, and only those are ordered.
+    Equal values are counted first. Values then fall into bands by their logarithm, a thousandth wide;
+    from the band totals it is known which bands hold the wanted ranks, and only those are split again,
+    into ever narrower bands. The last are so narrow that a band has some thousands of different doubles
+    at most, whatever the number of rows: only those are ordered.
     """
     keys = list(keys) or ["_all"]
     if keys == ["_all"]:
         df = df.withColumn("_all", F.lit(0))
     v = F.col(value)
-    depth = F.floor(F.log(F.abs(v)) * 1000).cast("bigint") + 1_000_000_000
-    band = F.when(v > 0, depth).when(v < 0, -depth).otherwise(0)
-    counted = (
+    near = (
         df.filter(v.isNotNull()).groupBy(*keys, v.cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumnRenamed("_v", value).withColumn("_band", band)
-    )
-    by_band = Window.partitionBy(*keys).orderBy("_band")
-    earlier = by_band.rowsBetween(Window.unboundedPreceding, -1)
-    bands = counted.groupBy(*keys, "_band").agg(F.sum("_n").alias("_size")).select(
-        *keys, "_band", "_size", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_below"),
-        F.sum("_size").over(Window.partitionBy(*keys)).alias("_total"),
+        .withColumnRenamed("_v", value).withColumn("_below", F.lit(0).cast("bigint"))
     )
+    totals = near.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     places = {q: F.lit(float(q)) * (F.col("_total") - 1) for q in at}
-    wanted = F.lit(False)
-    for place in places.values():
-        wanted = wanted | ((F.col("_below") <= F.ceil(place)) & (F.col("_below") + F.col("_size") > F.floor(place)))
-    near = counted.join(bands.filter(wanted), [*keys, "_band"])
-    smaller = Window.partitionBy(*keys, "_band").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = near.withColumn("_first", F.col("_below") + F.coalesce(F.sum("_n").over(smaller), F.lit(0)))
+    parts = list(keys)
+    for level, scale in enumerate(BAND_SCALES):
+        band = f"_band{level}"
+        depth = F.floor(F.log(F.abs(v)) * scale).cast("bigint") + int(1000 * scale)
+        banded = near.withColumn(band, F.when(v > 0, depth).when(v < 0, -depth).otherwise(0))
+        earlier = Window.partitionBy(*parts).orderBy(band).rowsBetween(Window.unboundedPreceding, -1)
+        bands = banded.groupBy(*parts, band).agg(F.sum("_n").alias("_size"), F.min("_below").alias("_base")).withColumn(
+            "_below", F.col("_base") + F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+        wanted = F.lit(False)
+        for place in places.values():
+            wanted = wanted | ((F.col("_below") <= F.ceil(place)) & (F.col("_below") + F.col("_size") > F.floor(place)))
+        held = bands.join(totals, keys).filter(wanted).select(*parts, band, "_below")
+        parts.append(band)
+        near = banded.drop("_below").join(held, parts)
+    smaller = Window.partitionBy(*parts).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = near.join(totals, keys).withColumn("_first", F.col("_below") + F.coalesce(F.sum("_n").over(smaller), F.lit(0)))
 
     def at_rank(rank: Column) -> Column:
         return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_n")), v))
@@ -191,10 +223,9 @@ def drone_status(df: DataFrame) -> DataFrame:
     )
 
 
-def status_lines(df: DataFrame, line_of: Column | None = None) -> DataFrame:
-    """Status texts joined into lines, by default one line per hundred consecutive drone numbers."""
-    line = F.expr("substring(drone_id, 1, length(drone_id) - 2)") if line_of is None else line_of
-    return drone_status(df).groupBy(line.alias("line")).agg(
+def status_lines(df: DataFrame, line_of: Column) -> DataFrame:
+    """Status texts joined into lines; ``line_of`` names a drone's line, so that a line's length is the caller's choice."""
+    return drone_status(df).groupBy(line_of.alias("line")).agg(
         F.array_join(F.array_sort(F.collect_list("status")), " | ").alias("status_line")
     )
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens import fixtures
-from fleetlens.functions.boxes import dead_zone
 from fleetlens.operators import detections as D, lookups
 from fleetlens.plans.catalog.base import DETECTIONS, query
 from fleetlens.plans.catalog.fleet import _MODES, CLASSES, FRAMES
@@ -112,38 +111,52 @@ def formatted_detections(spark, sf_dir):
     )
 
 
-@query("largest_box", f"""WITH {DETECTIONS}
+# Boxes with fractions of pixels, as decoded ones have; quarters and eighths, so that areas are exact.
+FRACTIONAL = DETECTIONS.replace("det AS (", "whole_det AS (") + """,
+fdet AS (SELECT * REPLACE (x1 + (det_id % 4) * 25e-2 AS x1, y1 + (det_id % 8) * 125e-3 AS y1,
+  x2 + (det_id % 3) * 25e-2 AS x2, y2 + (det_id % 5) * 125e-3 AS y2) FROM whole_det)"""
+
+
+def fractional(d):
+    return d.withColumns({
+        "x1": F.col("x1") + (F.col("det_id") % 4) * F.lit(0.25), "y1": F.col("y1") + (F.col("det_id") % 8) * F.lit(0.125),
+        "x2": F.col("x2") + (F.col("det_id") % 3) * F.lit(0.25), "y2": F.col("y2") + (F.col("det_id") % 5) * F.lit(0.125),
+    })
+
+
+@query("largest_box", f"""WITH {FRACTIONAL}
 SELECT frame_no, det_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY frame_no ORDER BY (x2 - x1) * (y2 - y1) DESC, det_idx) AS rn FROM det) WHERE rn = 1""")
+  SELECT *, row_number() OVER (PARTITION BY frame_no ORDER BY (x2 - x1) * (y2 - y1) DESC, det_idx) AS rn FROM fdet) WHERE rn = 1""")
 def largest_box(spark, sf_dir):
-    d = fixtures.detections(spark, sf_dir).withColumn("track_id", F.col("det_idx"))
+    d = fractional(fixtures.detections(spark, sf_dir)).withColumn("track_id", F.col("det_idx"))
     return D.largest(d, FRAME).select("frame_no", "det_id")
 
 
-@query("target_geometry", f"""WITH {DETECTIONS}
+@query("target_geometry", f"""WITH {FRACTIONAL},
+det AS (SELECT det_id, trunc(x1)::BIGINT AS x1, trunc(y1)::BIGINT AS y1, trunc(x2)::BIGINT AS x2, trunc(y2)::BIGINT AS y2 FROM fdet)
 SELECT det_id, (x1 + x2) // 2 AS cx, (y1 + y2) // 2 AS cy, (x2 - x1) * (y2 - y1) AS area,
   CASE WHEN abs(ex) < 15e-2 THEN 0e0 WHEN abs(ex) < 35e-2 THEN R6(ex * 5e-1) ELSE R6(ex) END AS error_x,
   CASE WHEN abs(ey) < 15e-2 THEN 0e0 WHEN abs(ey) < 35e-2 THEN R6(ey * 5e-1) ELSE R6(ey) END AS error_y
 FROM (SELECT *, ((x1 + x2) // 2 - 100) / 100e0 AS ex, ((y1 + y2) // 2 - 80) / 80e0 AS ey FROM det)""")
 def target_geometry(spark, sf_dir):
-    d = fixtures.detections(spark, sf_dir).withColumns({"cx": F.expr("(x1 + x2) div 2"), "cy": F.expr("(y1 + y2) div 2")})
-    return d.select(
-        "det_id", "cx", "cy", ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"),
-        F.round(dead_zone((F.col("cx") - 100) / F.lit(100.0)), 6).alias("error_x"),
-        F.round(dead_zone((F.col("cy") - 80) / F.lit(80.0)), 6).alias("error_y"),
-    )
+    error_x, error_y = D.frame_errors(200, 160)
+    return fractional(fixtures.detections(spark, sf_dir)).withColumns(D.geometry()).select(
+        "det_id", "cx", "cy", "area", F.round(error_x, 6).alias("error_x"), F.round(error_y, 6).alias("error_y"))
 
 
-# Boxes with tracks: two target boxes per frame, some of them too weak to be seen.
-TRACKS = DETECTIONS + """,
+# Boxes with tracks: two target boxes per frame, some of them too weak to be seen. The larger is chosen
+# by its own area; centre, area and reference are those of the box in whole pixels.
+TRACKS = FRACTIONAL + """,
 track AS (
-  SELECT *, (det_id // 10) % 4 + 1 AS track_id, (x2 - x1) * (y2 - y1) AS area,
-    det_idx % 4 = 3 AND conf >= 6e-1 AS is_target FROM det)"""
+  SELECT * REPLACE (trunc(x1)::BIGINT AS x1, trunc(y1)::BIGINT AS y1, trunc(x2)::BIGINT AS x2, trunc(y2)::BIGINT AS y2),
+    (det_id // 10) % 4 + 1 AS track_id, (x2 - x1) * (y2 - y1) AS own_area,
+    (trunc(x2) - trunc(x1))::BIGINT * (trunc(y2) - trunc(y1))::BIGINT AS area,
+    det_idx % 4 = 3 AND conf >= 6e-1 AS is_target FROM fdet)"""
 
 
 def tracks(spark, sf_dir):
     name = F.when((F.col("det_idx") % 4 == 3) & (F.col("conf") >= 0.6), "car").otherwise("van")
-    return fixtures.detections(spark, sf_dir).withColumns({
+    return fractional(fixtures.detections(spark, sf_dir)).withColumns({
         "track_id": F.expr("(det_id div 10) % 4 + 1"), "class_name": name,
     })
 
@@ -158,8 +171,8 @@ seen AS (SELECT *, lag(us) OVER w AS prev_us, max(CASE WHEN found THEN us END) O
 held AS (SELECT *, coalesce(prev_us - last_us < 2000000, false) AS held,
   CASE WHEN found THEN 'following' WHEN us - last_us < 2000000 THEN 'lost' ELSE 'searching' END AS state FROM seen),
 pick AS (
-  SELECT h.*, t.det_id, t.track_id, t.x1, t.y1, t.x2, t.y2, t.area,
-    row_number() OVER (PARTITION BY h.drone_id, h.frame_no ORDER BY (h.held AND {locked}) DESC, t.area DESC, t.det_idx) AS rn
+  SELECT h.*, t.det_id, t.track_id, t.x1, t.y1, t.x2, t.y2, t.area, t.own_area,
+    row_number() OVER (PARTITION BY h.drone_id, h.frame_no ORDER BY (h.held AND {locked}) DESC, t.own_area DESC, t.det_idx) AS rn
   FROM held h LEFT JOIN track t ON t.frame_no = h.frame_no AND t.drone_id = h.drone_id AND t.is_target),
 one AS (SELECT *, CASE WHEN found AND NOT held THEN 1 ELSE 0 END AS opens FROM pick WHERE rn = 1),
 isle AS (SELECT *, sum(opens) OVER (PARTITION BY drone_id ORDER BY us, frame_no) AS isle FROM one),

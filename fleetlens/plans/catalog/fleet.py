@@ -119,7 +119,8 @@ def drone_status(spark, sf_dir):
 SELECT left(drone_id, len(drone_id) - 2) AS line, string_agg(status, ' | ' ORDER BY status) AS status_line
 FROM status GROUP BY line""")
 def status_lines(spark, sf_dir):
-    return fleet.status_lines(fixtures.telemetry(spark, sf_dir))
+    hundred = F.expr("substring(drone_id, 1, length(drone_id) - 2)")
+    return fleet.status_lines(fixtures.telemetry(spark, sf_dir), hundred)
 
 
 @query("targets_in_view", f"""WITH {DETECTIONS}

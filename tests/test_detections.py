@@ -10,8 +10,8 @@ from fleetlens.operators import detections as D
 BOXES = "frame_no bigint, det_idx bigint, det_id bigint, conf double, x1 bigint, y1 bigint, x2 bigint, y2 bigint"
 
 
-def kept(spark, rows, limit=0.5, large_frame=20_000):
-    return {r.det_id for r in D.nms(spark.createDataFrame(rows, BOXES), ["frame_no"], limit, large_frame=large_frame).collect()}
+def kept(spark, rows, limit=0.5):
+    return {r.det_id for r in D.nms(spark.createDataFrame(rows, BOXES), ["frame_no"], limit).collect()}
 
 
 def brute(rows, limit=0.5):
@@ -30,15 +30,28 @@ def brute(rows, limit=0.5):
     return out
 
 
-@pytest.mark.parametrize("large_frame, passed_on", [(60, 5), (60, 64), (20_000, 64)])
-def test_random_frames_and_a_hot_one(spark, monkeypatch, large_frame, passed_on):
-    monkeypatch.setattr(D, "ROUND", passed_on)
+def test_random_frames_and_a_hot_one(spark):
     rng = random.Random(5)
     rows = []
     for i in range(400):
         x, y = rng.randrange(160), rng.randrange(160)
         rows.append((rng.choice([0] * 8 + list(range(8))), i, i, rng.choice([0.3, 0.5, 0.7]), x, y, x + rng.randrange(40), y + rng.randrange(40)))
-    assert kept(spark, rows, large_frame=large_frame) == brute(rows)
+    assert kept(spark, rows) == brute(rows)
+
+
+def test_a_large_frame_with_a_wide_box(spark):
+    """One plan for all frames: 5,000 disjoint boxes and one as wide as the frame."""
+    rows = [(1, i, i, 0.5, 20 * i, 0, 20 * i + 10, 10) for i in range(5000)] + [(1, 5000, 5000, 0.9, 0, 0, 100_000, 10)]
+    assert kept(spark, rows) == set(range(5001))
+
+
+def test_fractions_decide(spark):
+    rows = [("d", 1, 0, i, i, 1, 0.9, 0.0, 0.0, 10.0, h, "car") for i, h in enumerate((10.10, 10.14, 10.12))]
+    tracks = spark.createDataFrame(rows, TRACKS.replace("x1 bigint, y1 bigint, x2 bigint, y2 bigint", "x1 double, y1 double, x2 double, y2 double"))
+    assert D.largest(tracks, ["drone_id", "frame_no"]).first().det_id == 1
+    box = spark.createDataFrame([("d", 1, 0, 0, 0, 1, 0.9, 10.6, 0.0, 21.6, 10.9, "car")], tracks.schema)
+    row = D.follow(box).first()
+    assert (row.cx, row.cy, row.area, row.reference_area) == (15, 5, 110, 110)
 
 
 def test_limit_itself_is_kept_and_copies_collapse(spark):
