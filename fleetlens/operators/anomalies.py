@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions import health
@@ -90,8 +92,9 @@ def score(
     return add_scores(with_deltas(df, ttl_s, width_us), weights)
 
 
-def alerts(scored: DataFrame) -> DataFrame:
-    """One row per anomaly of a scored record, zero to four per record."""
+# The messages, which readers of the alerts topic match.
+def alerts(scored: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """One row per anomaly of a scored record, zero to four per record; ``also`` names further columns to keep."""
     when = _conditions()
 
     def alert(kind: str, severity: Column, message: Column, value: Column, threshold: float) -> Column:
@@ -134,8 +137,8 @@ def alerts(scored: DataFrame) -> DataFrame:
     ))
     return (
         scored.filter(F.size("anomaly_flags") > 0)
-        .select("drone_id", "swarm_id", "event_id", "us", "timestamp_s", F.explode(kinds).alias("alert"))
-        .select("drone_id", "swarm_id", "event_id", "us", "timestamp_s", "alert.*")
+        .select("drone_id", "swarm_id", "event_id", "us", "timestamp_s", *also, F.explode(kinds).alias("alert"))
+        .select("drone_id", "swarm_id", "event_id", "us", "timestamp_s", *also, "alert.*")
     )
 
 

@@ -30,18 +30,21 @@ CRITICAL_S, WARNING_S = 10.0, 30.0
 DEFAULT_SLICE_US = 600_000_000
 
 
-def emission_times(t: np.ndarray, period: np.ndarray, last: int) -> list[int]:
-    """Greedy emissions of one sorted slice, given the last emission before it."""
+def emission_rows(t: np.ndarray, period: np.ndarray, last: int) -> list[int]:
+    """Rows of one sorted slice that are emitted greedily, given the last emission before it."""
     top = np.maximum.accumulate(t - period)
     out: list[int] = []
     i = int(np.searchsorted(top, last, side="right"))
     while i < len(t):
-        last = int(t[i])
-        out.append(last)
-        i = int(np.searchsorted(top, last, side="right"))
+        out.append(i)
+        i = int(np.searchsorted(top, int(t[i]), side="right"))
     return out
 
 
+def emission_times(t: np.ndarray, period: np.ndarray, last: int) -> list[int]:
+    return t[emission_rows(t, period, last)].tolist() if len(t) else []
+
+
 def step_function(t: np.ndarray, period: np.ndarray, start: int) -> tuple[list[int], list[int]]:
     """Bounds and exits: an entry time below ``bounds[i]`` (and not below the one before) leaves
     the slice with last emission ``exits[i]``; at or above all bounds nothing is emitted."""

@@ -8,9 +8,9 @@ and what a slice needs from earlier ones is a short summary.
    row count), so the shuffle carries one row per slice and map task.
 2. A window over the summaries alone gives each slice what precedes it. A key has
    ``span / width`` of these, however many rows it has.
-3. The summaries join back on ``(key, slice)`` and the window runs inside the slice.
-
-The same ``(key, slice)`` hash partitioning serves the join and the window.
+3. What precedes a slice is put in front of its rows as one more row, and the window runs inside
+   the slice. There is no join, so no row is lost: null keys form a key of their own, and rows
+   without a time keep null history columns.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def with_history(
         summaries.append(F.count(F.lit(1)).alias("_rows"))
 
     sliced = df.withColumn(SLICE, F.expr(f"`{at}` div {width}"))
-    summary = sliced.groupBy(*keys, SLICE).agg(*summaries)
+    summary = sliced.filter(F.col(at).isNotNull()).groupBy(*keys, SLICE).agg(*summaries)
 
     earlier = Window.partitionBy(*keys).orderBy(SLICE)
     earlier_all = earlier.rowsBetween(Window.unboundedPreceding, -1)
@@ -71,22 +71,28 @@ def with_history(
         entering.append(F.last(f"_{name}", ignorenulls=True).over(earlier_all).alias(f"_{name}"))
     if position:
         entering.append(F.coalesce(F.sum("_rows").over(earlier_all), F.lit(0)).alias("_rows"))
-    entering_state = summary.select(*keys, SLICE, *entering)
+    first = summary.select(*keys, SLICE, F.struct(*entering).alias("_entering"), F.lit(0).alias("_row"))
+    stacked = sliced.withColumn("_row", F.lit(1)).unionByName(first, allowMissingColumns=True)
 
-    joined = sliced.join(entering_state, [*keys, SLICE], "inner")
-    inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    inside = Window.partitionBy(*keys, SLICE).orderBy("_row", *order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     strictly = inside.rowsBetween(Window.unboundedPreceding, -1)
+    entered = F.first("_entering").over(upto)
     added: list[Column] = []
     for name, fields in previous.items():
-        added.append(F.coalesce(F.lag(F.struct(*fields)).over(inside), F.col(f"_{name}")).alias(name))
+        in_slice = F.when(F.lag("_row").over(inside) == 1, F.lag(F.struct(*fields)).over(inside))
+        added.append(F.coalesce(in_slice, entered[f"_{name}"]).alias(name))
     for name, source in carried.items():
-        added.append(F.coalesce(F.last(source, ignorenulls=True).over(upto), F.col(f"_{name}")).alias(name))
+        added.append(F.coalesce(F.last(source, ignorenulls=True).over(upto), entered[f"_{name}"]).alias(name))
     for name, source in before.items():
-        added.append(F.coalesce(F.last(source, ignorenulls=True).over(strictly), F.col(f"_{name}")).alias(name))
+        added.append(F.coalesce(F.last(source, ignorenulls=True).over(strictly), entered[f"_{name}"]).alias(name))
     if position:
-        added.append((F.row_number().over(inside) + F.col("_rows")).cast("bigint").alias(position))
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *added)
+        added.append((F.row_number().over(inside) - 1 + entered["_rows"]).cast("bigint").alias(position))
+    names = [*previous, *carried, *before, *([position] if position else [])]
+    timed = [F.when(F.col(at).isNotNull(), c).alias(name) for name, c in zip(names, added)]
+    kept = [c for c in df.columns if c not in names]
+    history = stacked.select(*[F.col(f"`{c}`") for c in kept], "_row", *timed).filter("_row = 1")
+    return history.select(*[F.col(f"`{c}`") for c in kept], *names)
 
 
 def with_previous(
@@ -108,12 +114,13 @@ def rolling_lag(
     numbered = with_history(df, keys, at, tie, position=position, width=width)
     home = F.floor((F.col(position) - 1) / F.lit(block)).cast("bigint")
     in_tail = F.pmod(F.col(position) - 1, F.lit(block)) >= block - n
-    blocks = F.when(in_tail, F.array(home, home + 1)).otherwise(F.array(home))
+    blocks = F.when(in_tail, F.array(home, home + 1)).otherwise(F.array(home))  # one null where there is no position
+    # Rows without a time have no position; they form a block of their own.
     spread = numbered.withColumn("_home", home).withColumn("_block", F.explode(blocks))
     inside = Window.partitionBy(*keys, "_block").orderBy(position)
-    lagged = F.first(value).over(inside.rowsBetween(-n, 0))
+    lagged = F.when(F.col(position).isNotNull(), F.first(value).over(inside.rowsBetween(-n, 0)))
     return (
         spread.withColumn(name, lagged)
-        .filter(F.col("_home") == F.col("_block"))
+        .filter(F.col("_home").eqNullSafe(F.col("_block")))
         .drop("_home", "_block")
     )

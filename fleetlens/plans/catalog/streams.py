@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens import fixtures
-from fleetlens.plans.catalog.base import COOLED, SCORED, TELEMETRY, query
+from fleetlens.plans.catalog.base import COOLED, EVENTS, SCORED, TELEMETRY, query
 from fleetlens.plans.catalog.health import ALERT_COLUMNS
+from fleetlens.plans.catalog.topics import DAMAGED_SCORED, GAUGES_WITH_ABSENT, damaged_log, numbered, rounded_gauges
 from fleetlens.plans.catalog.windows import _avg
 from fleetlens.session import shared_dir
 from fleetlens.sources import topics
@@ -35,12 +36,7 @@ def run_health(spark, sf_dir):
     """Feed the health job slice by slice, restarting it from its checkpoint each time."""
     folder, target, checkpoint = (shared_dir(spark, n) for n in ("telemetry", "health", "health-state"))
     for part in telemetry_slices(spark, sf_dir):
-        encoded = topics.encode_telemetry(part)
-        records = encoded.select(
-            F.lit("drone.telemetry").alias("topic"), topics.partition_of("key", 6).alias("partition"),
-            F.col("event_id").alias("offset"), F.timestamp_micros("us").alias("timestamp"), "key", "value",
-        )
-        topics.write_topic(records, "telemetry", folder)
+        topics.write_topic(topics.as_records(topics.encode_telemetry(part), "telemetry"), "telemetry", folder)
         jobs.run_health_job(arriving(spark, folder), target, checkpoint, availableNow=True).awaitTermination()
     return target
 
@@ -58,6 +54,73 @@ def streamed_alerts(spark, sf_dir):
     return spark.read.parquet(f"{run_health(spark, sf_dir)}/alerts").select(ALERT_COLUMNS)
 
 
+def damaged_slices(spark, sf_dir):
+    records = topics.as_records(damaged_log(spark, sf_dir), "telemetry")
+    at = F.unix_micros("timestamp")
+    for i in range(SLICES):
+        upper = at < (i + 1) * SLICE_US if i + 1 < SLICES else F.lit(True)
+        yield records.filter((at >= i * SLICE_US) & upper)
+
+
+@query("streamed_topic_scores_without_time", f"""WITH {DAMAGED_SCORED}
+SELECT event_id, drone_id, us, overall_score, battery_health, flags FROM scored""")
+def streamed_topic_scores_without_time(spark, sf_dir):
+    folder, target, checkpoint = (shared_dir(spark, n) for n in ("damaged", "health", "health-state"))
+    for part in damaged_slices(spark, sf_dir):
+        topics.write_topic(part, "telemetry", folder)
+        jobs.run_health_job(arriving(spark, folder), target, checkpoint, availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{target}/scores").select(
+        "event_id", "drone_id", "us", "overall_score", "battery_health", F.array_join("anomaly_flags", ",").alias("flags"))
+
+
+@query("streamed_gauges_with_absent_fields", GAUGES_WITH_ABSENT)
+def streamed_gauges_with_absent_fields(spark, sf_dir):
+    folder, target, checkpoint = (shared_dir(spark, n) for n in ("damaged", "gauges", "gauges-state"))
+    for part in damaged_slices(spark, sf_dir):
+        topics.write_topic(part, "telemetry", folder)
+        heard = numbered(topics.read_topic_stream(spark, "telemetry", folder, raw=True))
+        jobs.run_gauges_job(heard, target, checkpoint, availableNow=True).awaitTermination()
+    return rounded_gauges(jobs.current_gauges(spark, target))
+
+
+@query("streamed_rejects", f"""WITH {EVENTS}
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'json_decode' ELSE 'processing' END AS error_type FROM ev WHERE event_id % 8 < 4""")
+def streamed_rejects(spark, sf_dir):
+    folder, target, checkpoint = (shared_dir(spark, n) for n in ("damaged", "rejects", "rejects-state"))
+    for part in damaged_slices(spark, sf_dir):
+        topics.write_topic(part, "telemetry", folder)
+        bad = topics.read_rejects_stream(spark, "telemetry", folder)
+        jobs.run_append(bad, target, checkpoint, availableNow=True).awaitTermination()
+    return spark.read.parquet(target).select(F.col("_meta.offset").alias("event_id"), "error_type")
+
+
+@query("streamed_alerts_topic", f"""WITH RECURSIVE {COOLED}
+SELECT drone_id, swarm_id, timestamp_s AS timestamp, alert_type, severity, message, metric_value, threshold FROM cooled""")
+def streamed_alerts_topic(spark, sf_dir):
+    """Cooled alerts that the health job sends to their topic, read back as that topic."""
+    folder, target, checkpoint = (shared_dir(spark, n) for n in ("telemetry", "topics", "health-state"))
+    for part in telemetry_slices(spark, sf_dir):
+        topics.write_topic(topics.as_records(topics.encode_telemetry(part), "telemetry"), "telemetry", folder)
+        jobs.run_health_to_topics(arriving(spark, folder), target, checkpoint, availableNow=True).awaitTermination()
+    return topics.read_topic(spark, "alerts", target).select(
+        "drone_id", "swarm_id", "timestamp", "alert_type", "severity", "message", "metric_value", "threshold")
+
+
+@query("streamed_swarm_health", f"""WITH {TELEMETRY},
+last AS (
+  SELECT drone_id, arg_max(swarm_id, (us, event_id)) AS swarm_id, max(us) AS seen, arg_max(battery_percent, (us, event_id)) AS b,
+    arg_max(signal_dbm, (us, event_id)) AS s, arg_max(temperature_c, (us, event_id)) AS h FROM tele GROUP BY drone_id)
+SELECT swarm_id, count(*) FILTER ((SELECT max(us) FROM tele) - seen < 30000000) AS active_drones FROM last GROUP BY swarm_id""")
+def streamed_swarm_health(spark, sf_dir):
+    folder, target, checkpoint = (shared_dir(spark, n) for n in ("swarm-in", "swarms", "swarm-state"))
+    for part in telemetry_slices(spark, sf_dir):
+        part.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(part.schema).parquet(folder)
+        jobs.run_swarm_job(stream, target, checkpoint, availableNow=True).awaitTermination()
+    newest = jobs.current(spark, target, ["swarm_id"])
+    return newest.select("swarm_id", "active_drones")
+
+
 def run_windows(spark, sf_dir, make, name):
     """Run a windowed job over the slices; a late sentinel record closes the last window."""
     folder, target, checkpoint = (shared_dir(spark, f"{name}-{n}") for n in ("in", "out", "state"))
@@ -65,8 +128,8 @@ def run_windows(spark, sf_dir, make, name):
         part.write.mode("append").parquet(folder)
         stream = spark.readStream.schema(part.schema).parquet(folder)
         jobs.run_append(make(stream), target, checkpoint, availableNow=True).awaitTermination()
-    newest = fixtures.telemetry(spark, sf_dir).agg(F.max("us").alias("m"))
-    closing = part.limit(1).crossJoin(newest).withColumn("us", F.col("m") + 3_600_000_000).drop("m")
+    newest = fixtures.telemetry(spark, sf_dir).agg(F.max("us").alias("m")).scalar()
+    closing = part.limit(1).withColumn("us", newest + 3_600_000_000)
     closing = closing.withColumns({
         "drone_id": F.lit("sentinel"), "ts": F.timestamp_micros(F.expr("unix_micros(timestamp'2024-01-01 00:00:00')") + F.col("us")),
     }).select(part.columns)

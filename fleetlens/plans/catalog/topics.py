@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from fleetlens import fixtures
 from fleetlens.operators import anomalies, commands, fleet, logs
-from fleetlens.plans.catalog.base import ALERTS, DETECTIONS, EVENTS, SCORED, TELEMETRY, query
+from fleetlens.operators.cooldown import cooldown
+from fleetlens.plans.catalog.base import ALERTS, COOLED, DETECTIONS, EVENTS, SCORED, TELEMETRY, query
 from fleetlens.plans.catalog.fleet import CLASSES, COMMANDS, FRAMES
 from fleetlens.plans.catalog.health import scored
+from fleetlens.schemas import READER_DEFAULTS
+from fleetlens.session import shared_dir
 from fleetlens.sources import decode, topics
 
 USER_OF_KEY = "cast(substring(key, 7) as bigint)"
@@ -54,7 +57,7 @@ def decoded_telemetry(spark, sf_dir):
 
 
 def damaged_log(spark, sf_dir):
-    """The telemetry topic with five kinds of unusual records mixed in."""
+    """The telemetry topic with five kinds of unusual records mixed in; the last lacks time and fields."""
     kind = F.col("event_id") % 8
     encoded = topics.encode_telemetry(fixtures.telemetry(spark, sf_dir))
     value = (
@@ -67,7 +70,7 @@ def damaged_log(spark, sf_dir):
             F.lit('", "battery_percent": null, "position": null, "motor_rpm": null, "extra": 5}')))
         .otherwise(F.col("value"))
     )
-    return encoded.withColumn("value", value)
+    return encoded.withColumns({"value": value, "timestamp": F.timestamp_micros("us")})
 
 
 @query("quarantined_records", f"WITH {EVENTS} SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'json_decode' ELSE 'processing' END AS error_type FROM ev WHERE event_id % 8 < 4")
@@ -88,7 +91,7 @@ SELECT event_id, drone_id, CASE WHEN event_id % 8 = 4 THEN 'default' ELSE swarm_
   CASE WHEN event_id % 8 = 4 THEN '0.0,0.0,0.0,0.0' ELSE array_to_string(motor_rpm, ',') END AS motor_rpm,
   CASE WHEN event_id % 8 = 4 THEN -100e0 ELSE R4(signal_dbm) END AS signal_dbm,
   CASE WHEN event_id % 8 = 4 THEN false ELSE connected END AS connected,
-  CASE WHEN event_id % 8 <> 4 THEN us END AS us
+  us
 FROM tele WHERE event_id % 8 >= 4""")
 def reader_defaults(spark, sf_dir):
     good, _ = decode.decode_telemetry(damaged_log(spark, sf_dir).drop("us"))
@@ -99,10 +102,83 @@ def reader_defaults(spark, sf_dir):
     )
 
 
+# Telemetry as a reader has it of the damaged topic: unreadable records gone, absent fields filled in,
+# an absent time replaced by the record's, which has milliseconds.
+_ABSENT = {c: f"{v!r}".lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else f"{v:e}" for c, v in READER_DEFAULTS.items()}
+DAMAGED = TELEMETRY.replace("tele AS (\n  SELECT event_id", "full_tele AS (\n  SELECT event_id") + """,
+tele AS (SELECT * REPLACE (""" + ", ".join(
+    f"CASE WHEN event_id % 8 = 4 THEN {v} ELSE {c} END AS {c}" for c, v in _ABSENT.items()) + """,
+  CASE WHEN event_id % 8 = 4 THEN [0e0, 0e0, 0e0, 0e0] ELSE motor_rpm END AS motor_rpm,
+  CASE WHEN event_id % 8 = 4 THEN us // 1000 * 1000 ELSE us END AS us) FROM full_tele WHERE event_id % 8 >= 4)"""
+DAMAGED_SCORED = SCORED.replace(TELEMETRY, DAMAGED)
+
+
+def damaged_topic(spark, sf_dir):
+    """The damaged records as a folder topic, written in two appends; a record's offset is its event."""
+    folder = shared_dir(spark, "damaged-topic")
+    records = topics.as_records(damaged_log(spark, sf_dir), "telemetry")
+    for half in (0, 1):
+        topics.write_topic(records.filter(F.col("offset") % 2 == half), "telemetry", folder)
+    return folder
+
+
+def numbered(rows):
+    return rows.withColumn("event_id", F.col("_meta.offset"))
+
+
+@query("topic_scores_without_time", f"""WITH {DAMAGED_SCORED}
+SELECT event_id, drone_id, us, overall_score, battery_health, motor_health, signal_health, thermal_health, flags FROM scored""")
+def topic_scores_without_time(spark, sf_dir):
+    rows = numbered(topics.read_topic(spark, "telemetry", damaged_topic(spark, sf_dir)))
+    return anomalies.score(rows).select(
+        "event_id", "drone_id", "us", "overall_score", "battery_health", "motor_health", "signal_health", "thermal_health",
+        F.array_join("anomaly_flags", ",").alias("flags"))
+
+
+ABSENT_GAUGES = ["drone_battery_percent", "drone_altitude_meters", "drone_signal_strength_dbm", "drone_latitude"]
+GAUGES_WITH_ABSENT = f"""WITH {TELEMETRY},
+heard AS (
+  SELECT event_id, drone_id, CASE WHEN event_id % 8 = 4 THEN us // 1000 * 1000 ELSE us END AS us,
+    CASE WHEN event_id % 8 = 4 THEN 'default' ELSE swarm_id END AS swarm_id, CASE WHEN event_id % 8 <> 4 THEN battery_percent END AS b, CASE WHEN event_id % 8 <> 4 THEN altitude_m END AS a,
+    CASE WHEN event_id % 8 <> 4 THEN signal_dbm END AS s, CASE WHEN event_id % 8 <> 4 THEN latitude END AS l
+  FROM tele WHERE event_id % 8 >= 4)
+SELECT drone_id, swarm_id, R4(arg_max(b, (us, event_id))) AS drone_battery_percent, R4(arg_max(a, (us, event_id))) AS drone_altitude_meters,
+  R4(arg_max(s, (us, event_id))) AS drone_signal_strength_dbm, R6(arg_max(l, (us, event_id))) AS drone_latitude
+FROM heard GROUP BY drone_id, swarm_id"""
+
+
+def rounded_gauges(rows):
+    return rows.select("drone_id", "swarm_id", *[
+        F.round(g, 6 if g == "drone_latitude" else 4).alias(g) for g in ABSENT_GAUGES])
+
+
+@query("gauges_with_absent_fields", GAUGES_WITH_ABSENT)
+def gauges_with_absent_fields(spark, sf_dir):
+    return rounded_gauges(fleet.gauges_wide(numbered(topics.read_topic(spark, "telemetry", damaged_topic(spark, sf_dir), raw=True))))
+
+
+@query("topic_rejects", f"""WITH {EVENTS}
+SELECT event_id, 'drone.telemetry' AS topic, CASE event_id % 8 WHEN 0 THEN 'json_decode' ELSE 'processing' END AS error_type FROM ev WHERE event_id % 8 < 4""")
+def topic_rejects(spark, sf_dir):
+    bad = topics.read_rejects(spark, "telemetry", damaged_topic(spark, sf_dir))
+    return bad.select(F.col("_meta.offset").alias("event_id"), "_meta.topic", "error_type")
+
+
+@query("alerts_topic", f"""WITH RECURSIVE {COOLED}
+SELECT drone_id, swarm_id, timestamp_s AS timestamp, alert_type, severity, message, metric_value, threshold FROM cooled""")
+def alerts_topic(spark, sf_dir):
+    """Cooled alerts through their topic."""
+    cooled = cooldown(anomalies.alerts(scored(spark, sf_dir)))
+    folder = shared_dir(spark, "alerts-topic")
+    topics.write_topic(topics.as_records(topics.encode(cooled, "alerts"), "alerts"), "alerts", folder)
+    return topics.read_topic(spark, "alerts", folder).select(
+        "drone_id", "swarm_id", "timestamp", "alert_type", "severity", "message", "metric_value", "threshold")
+
+
 @query("first_messages", f"""WITH {LOG}
 SELECT drone_id, partition::INT AS partition, "offset" FROM log WHERE event_id % 8 >= 4 ORDER BY partition, "offset" LIMIT 50""")
 def first_messages(spark, sf_dir):
-    damaged = topics.as_log(damaged_log(spark, sf_dir), "telemetry", partition=F.expr(f"{USER_OF_KEY} % 6"))
+    damaged = topics.as_log(damaged_log(spark, sf_dir).drop("timestamp"), "telemetry", partition=F.expr(f"{USER_OF_KEY} % 6"))
     good, _ = decode.decode_telemetry(topics.with_provenance(damaged))
     return topics.first_messages(good, 50).select("drone_id", "_meta.partition", "_meta.offset")
 

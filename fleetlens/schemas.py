@@ -102,6 +102,8 @@ TOPICS = {
     "commands": Topic("drone.mission.commands", MISSION_COMMAND, 3, 604_800),
     "battery_events": Topic("drone.battery.events", BATTERY_EVENT, 3, None),
     "metrics": Topic("drone.metrics.aggregated", HEALTH_SCORE, 3, None),
+    # Our own: scores with anomalies, apart from the alert records.
+    "flagged": Topic("drone.health.flagged", HEALTH_SCORE, 3, 604_800),
 }
 
 # Retention of stored metric samples: 30 days.

@@ -1,11 +1,15 @@
 """Topics: keyed logs of JSON records, in Kafka or in files.
 
 A file topic is a folder of parquet with the columns a Kafka scan has (``topic, partition,
-offset, timestamp, key, value``), so everything after the scan is the same for both.
+offset, timestamp, key, value``), so everything after the scan is the same for both. It is
+partitioned by topic and day, so that a topic and a span of days are read without the rest. Offsets come with
+the records; nothing here makes them up.
 """
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlens.functions.columns import ColumnLike, col
@@ -14,6 +18,10 @@ from fleetlens.schemas import INFERENCE_WRITER_DEFAULTS, TOPICS, WRITER_DEFAULTS
 from fleetlens.sources.decode import decode
 
 RECORD = "topic string, partition int, offset bigint, timestamp timestamp, key string, value string"
+STORED = RECORD + ", day date"
+
+#: Records from Kafka, and files of a folder, that one micro-batch takes at most.
+MAX_PER_TRIGGER, MAX_FILES = 500_000, 64
 
 # Producer settings.
 PRODUCER_OPTIONS = {
@@ -35,24 +43,43 @@ def _kafka(reader, topic: str, options: dict[str, str], start: str):
                        F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
-def scan_topic(spark: SparkSession, topic: str, source: str | dict[str, str]) -> DataFrame:
-    """Records of a topic so far: from a folder, or from Kafka given its options."""
+def scan_topic(
+    spark: SparkSession, topic: str, source: str | dict[str, str], since: str | None = None
+) -> DataFrame:
+    """Records of a topic so far: from a folder, or from Kafka given its options.
+
+    ``since`` (a date) leaves out the days before it, whose files are not read.
+    """
     if isinstance(source, dict):
         return _kafka(spark.read, topic, source, "earliest")
-    return spark.read.schema(RECORD).parquet(source).filter(F.col("topic") == TOPICS[topic].name)
+    rows = spark.read.schema(STORED).parquet(source).filter(F.col("topic") == TOPICS[topic].name)
+    return (rows if since is None else rows.filter(F.col("day") >= F.lit(since).cast("date"))).drop("day")
+
+
+def retained(spark: SparkSession, topic: str, source: str, today: str) -> DataFrame:
+    """A folder topic's records within its retention, by whole days: a partition filter."""
+    kept_s = TOPICS[topic].retention_s
+    if kept_s is None:
+        return scan_topic(spark, topic, source)
+    since = datetime.date.fromisoformat(today) - datetime.timedelta(seconds=kept_s)
+    return scan_topic(spark, topic, source, since.isoformat())
 
 
 def scan_topic_stream(
-    spark: SparkSession, topic: str, source: str | dict[str, str], max_per_trigger: int | None = None
+    spark: SparkSession, topic: str, source: str | dict[str, str], max_per_trigger: int | None = MAX_PER_TRIGGER
 ) -> DataFrame:
-    """New records of a topic. Kafka starts at the latest offsets; a folder is read file by file."""
+    """New records of a topic. Kafka starts at the latest offsets; a folder is read file by file.
+
+    A batch takes ``max_per_trigger`` records from Kafka, and ``MAX_FILES`` files from a folder, at most, so
+    that the first batch over an old topic is no larger than any other. None lifts the bound.
+    """
     if isinstance(source, dict):
         limits = {} if max_per_trigger is None else {"maxOffsetsPerTrigger": str(max_per_trigger)}
         return _kafka(spark.readStream, topic, {**limits, **source}, "latest")
-    reader = spark.readStream.schema(RECORD)
+    reader = spark.readStream.schema(STORED)
     if max_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", max_per_trigger)
-    return reader.parquet(source).filter(F.col("topic") == TOPICS[topic].name)
+        reader = reader.option("maxFilesPerTrigger", MAX_FILES)
+    return reader.parquet(source).filter(F.col("topic") == TOPICS[topic].name).drop("day")
 
 
 def with_provenance(records: DataFrame) -> DataFrame:
@@ -61,21 +88,36 @@ def with_provenance(records: DataFrame) -> DataFrame:
     return records.select("value", meta.alias("_meta"))
 
 
-def read_topic(spark: SparkSession, topic: str, source: str | dict[str, str], limit: int | None = None) -> DataFrame:
-    """Decoded records with ``_meta``; with ``limit``, the first that many which decode."""
-    good, _ = decode(with_provenance(scan_topic(spark, topic, source)), topic)
+def read_topic(
+    spark: SparkSession, topic: str, source: str | dict[str, str], limit: int | None = None, raw: bool = False
+) -> DataFrame:
+    """Decoded records with ``_meta``; with ``limit``, the first that many which decode. ``raw`` as in :func:`decode`."""
+    good, _ = decode(with_provenance(scan_topic(spark, topic, source)), topic, raw=raw)
     return good if limit is None else first_messages(good, limit)
 
 
+def read_rejects(spark: SparkSession, topic: str, source: str | dict[str, str]) -> DataFrame:
+    """The records that :func:`read_topic` leaves out, with the reason."""
+    return decode(with_provenance(scan_topic(spark, topic, source)), topic)[1]
+
+
 def first_messages(good: DataFrame, n: int) -> DataFrame:
     return good.orderBy("_meta.partition", "_meta.offset").limit(n)
 
 
 def read_topic_stream(
-    spark: SparkSession, topic: str, source: str | dict[str, str], max_per_trigger: int | None = None
+    spark: SparkSession, topic: str, source: str | dict[str, str], max_per_trigger: int | None = MAX_PER_TRIGGER,
+    raw: bool = False,
 ) -> DataFrame:
-    good, _ = decode(with_provenance(scan_topic_stream(spark, topic, source, max_per_trigger)), topic)
-    return good
+    records = with_provenance(scan_topic_stream(spark, topic, source, max_per_trigger))
+    return decode(records, topic, raw=raw)[0]
+
+
+def read_rejects_stream(
+    spark: SparkSession, topic: str, source: str | dict[str, str], max_per_trigger: int | None = MAX_PER_TRIGGER
+) -> DataFrame:
+    """New records that cannot be decoded, for a sink of their own (``jobs.run_append``)."""
+    return decode(with_provenance(scan_topic_stream(spark, topic, source, max_per_trigger)), topic)[1]
 
 
 # ---- encoding
@@ -176,7 +218,10 @@ def partition_by_key(df: DataFrame, topic: str, key: str = "drone_id") -> DataFr
 
 
 def as_log(encoded: DataFrame, topic: str, partition: Column | None = None, width_us: int = DEFAULT_SLICE_US) -> DataFrame:
-    """Encoded rows as topic records, with partition and offset, ordered by (us, event_id)."""
+    """Encoded rows as the records of a topic written at one go, with offsets in the order of (us, event_id).
+
+    For fixtures: a real topic's offsets come from its broker.
+    """
     spec = TOPICS[topic]
     placed = encoded.withColumn(
         "partition", (partition_of("key", spec.partitions) if partition is None else partition).cast("int")
@@ -188,19 +233,38 @@ def as_log(encoded: DataFrame, topic: str, partition: Column | None = None, widt
     )
 
 
+def as_records(encoded: DataFrame, topic: str, offset: ColumnLike = "event_id", us: ColumnLike = "us") -> DataFrame:
+    """Encoded rows as topic records whose offset and time are given columns."""
+    spec = TOPICS[topic]
+    return encoded.select(
+        F.lit(spec.name).alias("topic"), partition_of("key", spec.partitions).cast("int").alias("partition"),
+        col(offset).cast("bigint").alias("offset"), F.timestamp_micros(col(us)).alias("timestamp"), "key", "value",
+    )
+
+
+def _stored(records: DataFrame) -> DataFrame:
+    return records.withColumn("day", F.to_date("timestamp"))
+
+
 def write_topic(encoded: DataFrame, topic: str, target: str | dict[str, str]) -> None:
-    """Append encoded rows: to Kafka given its options, or to a folder of topic records."""
+    """Append encoded rows to Kafka given its options, or topic records, offsets included, to a folder."""
     if isinstance(target, dict):
         out = encoded.select("key", "value").write.format("kafka")
         out.options(**PRODUCER_OPTIONS, **target).option("topic", TOPICS[topic].name).save()
+    elif "offset" not in encoded.columns:
+        raise ValueError("a folder topic takes records with their offsets; see as_records")
     else:
-        records = encoded if "offset" in encoded.columns else as_log(encoded, topic)
-        records.write.mode("append").parquet(target)
+        _stored(encoded).write.mode("append").partitionBy("topic", "day").parquet(target)
 
 
 def write_topic_stream(encoded: DataFrame, topic: str, target: str | dict[str, str], checkpoint: str):
-    """Stream encoded rows out: at least once to Kafka, exactly once to files."""
-    out = encoded.select("key", "value").writeStream.option("checkpointLocation", checkpoint).queryName(f"to-{topic}")
+    """Stream encoded rows to Kafka at least once, or topic records to a folder exactly once."""
+    def writer(rows: DataFrame):
+        return rows.writeStream.option("checkpointLocation", checkpoint).queryName(f"to-{topic}")
+
     if isinstance(target, dict):
-        return out.format("kafka").options(**PRODUCER_OPTIONS, **target).option("topic", TOPICS[topic].name)
-    return out.format("json").option("path", target)
+        out = writer(encoded.select("key", "value")).format("kafka").options(**PRODUCER_OPTIONS, **target)
+        return out.option("topic", TOPICS[topic].name)
+    if "offset" not in encoded.columns:
+        raise ValueError("a folder topic takes records with their offsets; see as_records")
+    return writer(_stored(encoded)).format("parquet").partitionBy("topic", "day").option("path", target)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from fleetlens.functions.health import motor_cv
@@ -18,6 +20,7 @@ from fleetlens.streaming.processor import ADDED, PREV, FixFilter, HealthProcesso
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+ANOMALY_KINDS = ["rapid_battery_drain", "motor_imbalance", "gps_drift", "overheating"]
 NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
@@ -48,7 +51,8 @@ def health_stream(telemetry: DataFrame, ttl_s: int = anomalies.STATE_TTL_S) -> D
     One shuffle by drone. Works on a stream of decoded telemetry with ``event_id``, ``us``.
     """
     use_rocksdb(telemetry.sparkSession)
-    keyed = telemetry.withColumn("rpm_cv", motor_cv("motor_rpm"))
+    # Decoded records have a time, or they were quarantined; order means nothing without one.
+    keyed = telemetry.filter(F.col("us").isNotNull()).withColumn("rpm_cv", motor_cv("motor_rpm"))
     schema = StructType([*keyed.schema.fields, *StructType.fromDDL(ADDED).fields])
     stated = keyed.groupBy("drone_id").transformWithStateInPandas(
         HealthProcessor(keyed.columns, ttl_s * 1000), schema, "Append", "ProcessingTime"
@@ -70,9 +74,8 @@ def fix_stream(telemetry: DataFrame, max_speed_ms: float = 30.0, ttl_s: int = an
 
 def cooled_alerts(scored: DataFrame) -> DataFrame:
     """Alert rows of scored stream records, kept only where the cooldown let them pass."""
-    emitted = scored.select("event_id", "drone_id", "emitted").filter(F.size("emitted") > 0)
-    every = anomalies.alerts(scored.filter(F.size("emitted") > 0))
-    return every.join(emitted, ["event_id", "drone_id"]).filter(F.array_contains("emitted", F.col("alert_type"))).drop("emitted")
+    every = anomalies.alerts(scored.filter(F.size("emitted") > 0), also=["emitted"])
+    return every.filter(F.array_contains("emitted", F.col("alert_type"))).drop("emitted")
 
 
 def write_outputs(target: str) -> Callable[[DataFrame, int], None]:
@@ -99,56 +102,108 @@ def write_outputs(target: str) -> Callable[[DataFrame, int], None]:
 
 def run_health_job(telemetry: DataFrame, target: str, checkpoint: str, ttl_s: int = anomalies.STATE_TTL_S,
                    **trigger) -> StreamingQuery:
-    """Start the health job; ``availableNow=True`` processes what is there and stops."""
-    writer = (
+    """Start the health job; ``availableNow=True`` processes what is there and stops.
+
+    Without a trigger a batch starts as soon as the one before is done, so a score waits for one batch.
+    """
+    writer = _triggered(
         health_stream(telemetry, ttl_s).writeStream.queryName("health")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(write_outputs(target))
-        .trigger(**(trigger or {"processingTime": "60 seconds"}))
-    )
+        .foreachBatch(write_outputs(target)), trigger)
     with data_batches_only(telemetry.sparkSession):
         return writer.start()
 
 
-def run_health_to_topics(telemetry: DataFrame, kafka: dict[str, str], checkpoint: str, **trigger) -> StreamingQuery:
-    """As :func:`run_health_job`, with scores and flagged scores sent to their topics, at least once."""
+def run_health_to_topics(
+    telemetry: DataFrame, target: str | dict[str, str], checkpoint: str, **trigger
+) -> StreamingQuery:
+    """As :func:`run_health_job`, with scores, cooled alerts and flagged scores sent each to its topic, at least once.
+
+    Into a folder, a record's offset is that of the telemetry it follows from; the up to four alerts of one
+    record count on from four times that.
+    """
+    def send(rows: DataFrame, topic: str, offset: str = "event_id") -> None:
+        encoded = topics.encode(rows, topic)
+        topics.write_topic(encoded if isinstance(target, dict) else topics.as_records(encoded, topic, F.expr(offset)), topic, target)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            topics.write_topic(topics.encode(batch, "metrics"), "metrics", kafka)
-            topics.write_topic(topics.encode(anomalies.flagged(batch), "metrics"), "alerts", kafka)
+            send(batch, "metrics")
+            send(anomalies.flagged(batch), "flagged")
+            kind = F.array_position(F.array(*[F.lit(k) for k in ANOMALY_KINDS]), F.col("alert_type")) - 1
+            send(cooled_alerts(batch).withColumn("event_id", F.col("event_id") * 4 + kind), "alerts")
         finally:
             batch.unpersist()
 
-    writer = (
+    writer = _triggered(
         health_stream(telemetry).writeStream.queryName("health-topics").option("checkpointLocation", checkpoint)
-        .foreachBatch(write).trigger(**(trigger or {"processingTime": "60 seconds"}))
-    )
+        .foreachBatch(write), trigger)
     with data_batches_only(telemetry.sparkSession):
         return writer.start()
 
 
+def _triggered(writer: DataStreamWriter, trigger: dict) -> DataStreamWriter:
+    return writer.trigger(**trigger) if trigger else writer
+
+
 def run_gauges_job(telemetry: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the latest gauges of the fleet: every batch writes the current table under its id.
+    """Keep the latest gauges of the fleet: a batch writes the drones it heard of, under its id.
 
-    The state is one row per drone, however long the stream runs.
+    Feed it raw telemetry (``read_topic_stream(raw=True)``): an absent field leaves its gauge as it was. The
+    state is one row per drone, however long the stream runs.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
-    return (
-        fleet.gauges_wide(telemetry).writeStream.queryName("gauges").outputMode("complete")
-        .option("checkpointLocation", checkpoint).foreachBatch(write)
-        .trigger(**(trigger or {"processingTime": "5 seconds"})).start()
-    )
+    return _triggered(
+        fleet.gauges_wide(telemetry).writeStream.queryName("gauges").outputMode("update")
+        .option("checkpointLocation", checkpoint).foreachBatch(write), trigger).start()
 
 
 def current_gauges(spark: SparkSession, target: str) -> DataFrame:
-    """The gauges as of the last finished batch."""
-    written = spark.read.parquet(target)
-    newest = written.agg(F.max("batch_id")).scalar()
-    return written.filter(F.col("batch_id") == newest).drop("batch_id")
+    """The gauges as last written, merged by drone and swarm."""
+    rows = spark.read.parquet(target)
+    names = [c for c in rows.columns if c not in ("drone_id", "swarm_id", "batch_id")]
+    return rows.groupBy("drone_id", "swarm_id").agg(*[F.max_by(c, "batch_id").alias(c) for c in names])
+
+
+def run_swarm_job(telemetry: DataFrame, target: str, checkpoint: str, active_s: float = fleet.ACTIVE_S, **trigger) -> StreamingQuery:
+    """Swarm state by the last records of all drones so far: active drones and health per swarm, every batch.
+
+    State is one row per drone; what is written per batch is one row per swarm, under the batch's id. The
+    clock is the newest record's time.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        status = fleet.swarm_of(batch, active_s=active_s)
+        status.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return _triggered(
+        fleet.last_records(telemetry).writeStream.queryName("swarms").outputMode("complete")
+        .option("checkpointLocation", checkpoint).foreachBatch(write), trigger).start()
+
+
+def run_inference_metrics_job(inference: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Latency histogram, latest frame rate and detection counts, kept up to date by inference records.
+
+    Each metric is a running aggregate per drone and model (or class). A batch writes the groups it
+    changed; :func:`current` gives the newest of each.
+    """
+    counted = fleet.inference_totals(inference)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return _triggered(
+        counted.writeStream.queryName("inference-metrics").outputMode("update")
+        .option("checkpointLocation", checkpoint).foreachBatch(write), trigger).start()
+
+
+def current(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """Per key, the row of the newest batch that wrote it."""
+    rows = spark.read.parquet(target)
+    names = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in names])
 
 
 def watermarked(df: DataFrame, delay: str = WATERMARK) -> DataFrame:
@@ -157,10 +212,8 @@ def watermarked(df: DataFrame, delay: str = WATERMARK) -> DataFrame:
 
 def run_append(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write a windowed stream exactly once; a window is written when the watermark has passed it."""
-    return (
-        df.writeStream.outputMode("append").format("parquet").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
-    )
+    writer = df.writeStream.outputMode("append").format("parquet").option("path", path)
+    return _triggered(writer.option("checkpointLocation", checkpoint), trigger).start()
 
 
 def tumbling_stream(scored: DataFrame, size_s: int = 10, delay: str = WATERMARK) -> DataFrame:
@@ -175,11 +228,42 @@ def sessions_stream(df: DataFrame, gap_s: int = 300, delay: str = WATERMARK) ->
     return windows.sessions_stream(watermarked(df, delay), gap_s)
 
 
-def delivery_stats(query: StreamingQuery) -> dict[str, int]:
-    """Records read, rows that came too late, and the last error, from the query's progress."""
-    progress = query.recentProgress
-    return {
-        "messages_read": sum(p["numInputRows"] for p in progress),
-        "dropped_late": sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"]),
-        "delivery_errors": int(query.exception() is not None),
-    }
+class DeliveryStats(StreamingQueryListener):
+    """Records read, rows that came too late, and errors, per query, over all of its batches.
+
+    Register it with ``spark.streams.addListener`` before the query starts; a query's own progress keeps
+    its last hundred batches only.
+    """
+
+    def __init__(self) -> None:
+        self.totals: dict[str, Counter] = defaultdict(Counter)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        self.totals[str(progress.runId)].update({
+            "batches": 1, "messages_read": progress.numInputRows,
+            "dropped_late": sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.totals[str(event.runId)].update({"ended": 1, "delivery_errors": int(event.exception is not None)})
+
+    def of(self, query: StreamingQuery, wait_s: float = 10.0) -> dict[str, int]:
+        """A query's totals. Events come a little later than they happen: those of an ended query are waited for."""
+        until = time.monotonic() + wait_s
+        totals = self.totals[str(query.runId)]
+        while not query.isActive and not totals["ended"] and time.monotonic() < until:
+            time.sleep(0.05)
+        return {name: totals[name] for name in ("messages_read", "dropped_late", "delivery_errors")}
+
+
+def delivery_stats(spark: SparkSession) -> DeliveryStats:
+    """Start counting: the statistics of all queries of the session from now on."""
+    stats = DeliveryStats()
+    spark.streams.addListener(stats)
+    return stats

@@ -17,7 +17,7 @@ from fleetlens.operators.anomalies import (
     CV_CRITICAL, CV_LIMIT, DRAIN_CRITICAL, DRAIN_LIMIT, GPS_MAX_VELOCITY, GPS_SPEED_LIMIT, HEAT_CRITICAL, HEAT_LIMIT,
     METERS_PER_DEGREE, MIN_STEP_S, STATE_TTL_S,
 )
-from fleetlens.operators.cooldown import CRITICAL_S, WARNING_S
+from fleetlens.operators.cooldown import CRITICAL_S, WARNING_S, emission_rows
 
 PREV = ["prev_us", "prev_battery", "prev_lat", "prev_lon"]
 ADDED = "prev_us bigint, prev_battery double, prev_lat double, prev_lon double, late boolean, emitted array<string>"
@@ -98,14 +98,12 @@ class HealthProcessor(StatefulProcessor):
             if not len(rows):
                 continue
             stored = self.cooldowns.getValue((kind,))
-            last = start = int(stored[0]) if stored is not None else 0
-            for i in rows:
-                period = (CRITICAL_S if critical[i] else WARNING_S) * 1e6
-                if us[i] - last > period:
-                    last = int(us[i])
-                    emitted[i].append(kind)
-            if last != start:
-                self.cooldowns.updateValue((kind,), (last,))
+            period = np.where(critical[rows], CRITICAL_S * 1e6, WARNING_S * 1e6).astype(np.int64)
+            out = rows[emission_rows(us[rows], period, int(stored[0]) if stored is not None else 0)]
+            for i in out:
+                emitted[i].append(kind)
+            if len(out):
+                self.cooldowns.updateValue((kind,), (int(us[out[-1]]),))
         return emitted
 
     def close(self) -> None:

@@ -65,12 +65,55 @@ def test_topic_folder(spark, tmp_path):
                                "event_id bigint, drone_id string, us bigint, battery_percent double")
     df = df.withColumn("timestamp_s", F.col("us") / 1e6)
     folder = str(tmp_path / "topic")
-    topics.write_topic(topics.encode(df, "telemetry"), "telemetry", folder)
+    records = topics.as_records(topics.encode(df, "telemetry"), "telemetry")
+    for half in (0, 1):  # a second append repeats no offset
+        topics.write_topic(records.filter(F.col("offset") % 2 == half), "telemetry", folder)
+    assert topics.scan_topic(spark, "telemetry", folder).select("partition", "offset").distinct().count() == 20
     back = topics.read_topic(spark, "telemetry", folder)
     assert sorted((r.drone_id, r.us, r.battery_percent) for r in back.collect()) == sorted((f"d{i % 3}", i * 10**6, float(i)) for i in range(20))
     assert back.select("drone_id", "_meta.partition").distinct().count() == 3
     first = topics.read_topic(spark, "telemetry", folder, limit=5).collect()
-    assert len(first) == 5 and [r._meta.offset for r in first] == list(range(5))
+    assert len(first) == 5 and [r._meta.offset for r in first] == sorted(r._meta.offset for r in first)
+    with pytest.raises(ValueError, match="offsets"):
+        topics.write_topic(topics.encode(df, "telemetry"), "telemetry", folder)
+
+
+def test_a_topic_and_a_day_are_read_alone(spark, tmp_path):
+    rows = [(i, f"d{i}", i * 86_400_000_000, 1.0) for i in range(4)]
+    df = spark.createDataFrame(rows, "event_id bigint, drone_id string, us bigint, battery_percent double").withColumn("timestamp_s", F.col("us") / 1e6)
+    folder = str(tmp_path / "topic")
+    topics.write_topic(topics.as_records(topics.encode(df, "telemetry"), "telemetry"), "telemetry", folder)
+    kept = topics.retained(spark, "telemetry", folder, "1970-01-04")
+    assert sorted(r.offset for r in kept.collect()) == [2, 3]
+    plan = kept._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1].split("],")[0]
+    assert "topic" in plan and "day" in plan
+
+
+def test_every_record_is_decoded_or_quarantined(spark, corpus, tmp_path):
+    records = corpus.select(
+        F.lit("drone.telemetry").alias("topic"), F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"),
+        F.timestamp_micros(F.lit(9_000_000)).alias("timestamp"), F.lit("k").alias("key"), "value")
+    timeless = records.limit(1).select(
+        "topic", "partition", F.lit(99).cast("bigint").alias("offset"), F.lit(None).cast("timestamp").alias("timestamp"), "key",
+        F.lit('{"drone_id": "d9"}').alias("value"))
+    late = records.limit(1).select("topic", "partition", F.lit(98).cast("bigint").alias("offset"), "timestamp", "key",
+                                   F.lit('{"drone_id": "d8"}').alias("value"))
+    good, bad = decode.decode(topics.with_provenance(records.union(timeless).union(late)), "telemetry")
+    assert good.count() + bad.count() == len(CORPUS) + 2
+    times = {r.drone_id: r.us for r in good.collect()}
+    assert times["d8"] == 9_000_000 and None not in times.values() and "d9" not in times
+    from fleetlens.operators import anomalies
+    scored = anomalies.score(good.withColumn("event_id", F.col("_meta.offset")))
+    assert scored.count() == good.count()
+
+
+def test_absent_fields_stay_absent_in_raw_form(spark):
+    df = spark.createDataFrame([('{"drone_id": "d", "battery_percent": 80, "motor_rpm": [9, 9, 9, 9], "timestamp": 1}', 1),
+                                ('{"drone_id": "d", "timestamp": 2}', 2)], "value string, event_id bigint")
+    raw, _ = decode.decode(df, "telemetry", raw=True)
+    from fleetlens.operators import fleet
+    assert fleet.gauges_wide(raw).first().drone_battery_percent == 80.0
+    assert {r.value for r in fleet.motor_gauges(raw).collect()} == {9.0}
 
 
 def test_kafka_is_asked_for_by_its_options(spark):

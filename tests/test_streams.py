@@ -36,6 +36,7 @@ def test_late_row_is_scored_but_changes_nothing(spark, tmp_path):
         [(6, "d", 130, 80, 85)],
     ]
     out = str(tmp_path / "out")
+    stats = jobs.delivery_stats(spark)
     queries = feed(spark, tmp_path, batches, lambda s: jobs.run_health_job(s, out, str(tmp_path / "ck"), availableNow=True))
     got = {r.event_id: r for r in spark.read.parquet(f"{out}/scores").collect()}
     assert sorted(got) == [1, 2, 3, 4, 5, 6]
@@ -45,7 +46,29 @@ def test_late_row_is_scored_but_changes_nothing(spark, tmp_path):
     alerts = sorted((r.event_id, r.alert_type) for r in spark.read.parquet(f"{out}/alerts").collect())
     # 20 s after a warning: the critical overheating passes its 10 s, the critical drain as well
     assert alerts == [(2, "overheating"), (2, "rapid_battery_drain"), (6, "overheating"), (6, "rapid_battery_drain")]
-    assert sum(jobs.delivery_stats(q)["messages_read"] for q in queries) == 6
+    assert sum(stats.of(q)["messages_read"] for q in queries) == 6
+    spark.streams.removeListener(stats)
+
+
+def test_more_than_a_hundred_batches_are_counted(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = frame(spark, [(i, "d", i, 90, 20) for i in range(150)]).repartition(150, "event_id")
+    rows.withColumn("file", F.col("event_id")).repartitionByRange(150, "file").drop("file").write.parquet(folder)
+    stats = jobs.delivery_stats(spark)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = jobs.run_append(stream.select("event_id"), out, str(tmp_path / "ck"), availableNow=True)
+    query.awaitTermination()
+    assert stats.of(query)["messages_read"] == 150 and stats.totals[str(query.runId)]["batches"] > 100
+    spark.streams.removeListener(stats)
+
+
+def test_rows_without_a_time_do_not_stop_the_stream(spark, tmp_path):
+    out = str(tmp_path / "out")
+    def start(s):
+        timeless = s.withColumn("us", F.when(F.col("event_id") != 2, F.col("us")))
+        return jobs.run_health_job(timeless, out, str(tmp_path / "ck"), availableNow=True)
+    feed(spark, tmp_path, [[(1, "d", 1, 90, 20), (2, "d", 2, 90, 20), (3, "d", 3, 89, 20)]], start)
+    assert sorted(r.event_id for r in spark.read.parquet(f"{out}/scores").collect()) == [1, 3]
 
 
 def test_late_rows_do_not_reach_closed_windows(spark, tmp_path):
@@ -59,10 +82,12 @@ def test_late_rows_do_not_reach_closed_windows(spark, tmp_path):
     def start(stream):
         return jobs.run_append(jobs.sliding_stream(stream, 10, 10), out, str(tmp_path / "ck"), availableNow=True)
 
+    stats = jobs.delivery_stats(spark)
     queries = feed(spark, tmp_path, batches, start)
     got = {int(r.window_start.timestamp()): r.n for r in spark.read.parquet(out).collect()}
     assert got == {0: 1, 20: 1, 30: 1, 60: 1}
-    assert sum(jobs.delivery_stats(q)["dropped_late"] for q in queries) == 1
+    assert sum(stats.of(q)["dropped_late"] for q in queries) == 1
+    spark.streams.removeListener(stats)
 
 
 def test_session_gap_is_the_same_in_both_forms(spark, tmp_path):
