@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-import unicodedata
+import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +24,12 @@ SHARD_PIECES, QUERY_TERMS = 1024, 48
 # BM25's usual constants.
 K1, B = 1.2, 0.75
 #: Words whose ids a task remembers, and characters that are split into words at a time.
-REMEMBERED, BLOCK = 400_000, 4_000_000
+REMEMBERED, BLOCK = 400_000, 8_000_000
 
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# How the tokenizer cuts a word, for characters up to U+017F: a contraction, letters, one
+# numeral, or a run of other characters.
+_NUMERALS = "\\d²³¹¼½¾"
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W_{_NUMERALS}]+|[{_NUMERALS}]|(?:[^\w]|_)+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -52,33 +54,28 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.words: dict[str, np.ndarray] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         # The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         self.alphabet = {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
             spelled = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-            ids = self.pieces[piece] = [token.id for token in self.model.tokenize(spelled)]
+            ids = self.pieces[piece] = _packed([token.id for token in self.model.tokenize(spelled)])
         return ids
 
-    def _encode(self, word: str) -> np.ndarray:
+    def _encode(self, word: str) -> bytes:
         if not word:
-            return np.empty(0, dtype=np.uint32)
+            return b""
         # Up to U+017F every letter is composed already, and lower case is letter by letter.
         if max(word) < "ƀ" and "<|" not in word and "İ" not in word and word.isprintable():
             low = word.lower()
-            if low.isalpha():
-                ids = self._piece(low)
-            else:
-                ids = [i for piece in _PIECE.findall(low) for i in self._piece(piece)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(ids, dtype=np.uint32)
+            return self._piece(low) if low.isalpha() else b"".join(map(self._piece, _PIECE.findall(low)))
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` end to end, and where each text's begin (one more entry than texts)."""
@@ -86,14 +83,14 @@ class Words:
             self.words, self.pieces = {}, {}
         lists = pc.ascii_split_whitespace(texts)
         numbered = lists.flatten().dictionary_encode()
-        table = []
-        for word in numbered.dictionary.to_pylist():
-            ids = self.words.get(word)
+        known, table = self.words, []
+        for word in numbered.dictionary.to_numpy(zero_copy_only=False).tolist():
+            ids = known.get(word)
             if ids is None:
-                ids = self.words[word] = self._encode(word)
+                ids = known[word] = self._encode(word)
             table.append(ids)
-        size = np.fromiter(map(len, table), np.int64, len(table))
-        flat = np.concatenate([*table, np.empty(0, np.uint32)])
+        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat = np.frombuffer(b"".join(table), "<u4")
         first = np.concatenate(([0], np.cumsum(size)))[:-1]
         word = numbered.indices.to_numpy(zero_copy_only=False)
         count = size[word]
@@ -102,6 +99,10 @@ class Words:
         return out, until[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Slices of an array of texts of about ``BLOCK`` characters each."""
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
