@@ -22,8 +22,8 @@ SAMPLE, LIST_ROWS, MOST_LISTS = 8192, 1000, 512
 SUBSPACES, CODES = 8, 64
 #: Rows of a list that one task compares with as many others.
 BLOCK = 1024
-#: How many standard deviations of a pair's step across a list border are probed.
-REACH = 4.0
+#: How many standard deviations of a pair's step across a list border are probed from either side.
+REACH = 1.5
 
 
 class Index:
@@ -44,13 +44,15 @@ class Index:
     def probes(self, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """``(home, probed)``; probed is a mask over the lists, home left out.
 
-        A pair with the least cosine is a step of length sqrt(2 - 2 threshold) apart. A list is probed
-        when its border lies within the part of such a step that points across it, up to REACH
-        standard deviations for a step in any direction; never more than the whole step.
+        A pair with the least cosine is a step of length sqrt(2 - 2 threshold) apart, and the part of a
+        step in any direction that points across a border has a standard deviation of its length
+        over the root of the dimensions. A list is probed when its border is within REACH of these. Either
+        vector of a pair may probe the other's list, so a pair is missed only if its step crosses
+        the border by more than twice that; half the whole step misses none, and more is never probed.
         """
         home, far = self.home(x)
         step = math.sqrt(2 - 2 * threshold)
-        reach = min(step, step * REACH / math.sqrt(x.shape[1]))
+        reach = min(step / 2, step * REACH / math.sqrt(x.shape[1]))
         gap = np.sqrt(np.maximum(((self.centroids[:, None] - self.centroids[None]) ** 2).sum(-1), 1e-24))[home]
         own = far[np.arange(len(x)), home][:, None]
         probed = (far - own) / (2 * gap) <= reach
