@@ -1,4 +1,4 @@
-"""Lexical retrieval packing: token sequences filled with documents that share rare words."""
+"""Lexical retrieval packing: token sequences filled with documents that share their words."""
 
 from __future__ import annotations
 
@@ -19,8 +19,8 @@ from fleetlens.session import written
 SEQUENCE = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces of a shard of the index, and the rarest terms of a seed that make its query.
-SHARD_PIECES, QUERY_TERMS = 1024, 48
+#: Pieces of a shard of the index.
+SHARD_PIECES = 1024
 # BM25's usual constants.
 K1, B = 1.2, 0.75
 #: Words whose ids a task remembers, and characters that are split into words at a time.
@@ -174,33 +174,27 @@ class Shard:
         self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.piece])
         self.terms, self.first = np.unique(term, return_index=True)
         self.last = np.append(self.first[1:], len(term))
-        # Each piece's terms, rarest first: a stable sort by piece of the postings sorted by idf.
-        order = np.lexsort((-idf[term], self.piece))
+        order = np.argsort(self.piece, kind="stable")
         self.of_piece = np.searchsorted(self.terms, term[order])
         self.starts = np.searchsorted(self.piece[order], np.arange(len(tails) + 1))
         self.used = np.zeros(len(tails), dtype=bool)
 
     def neighbours(self, seed: int) -> Iterator[int]:
-        """Unused pieces by BM25 against the seed's rarest terms, best first, ties in order; then the rest in order."""
-        terms = self.of_piece[self.starts[seed]:min(self.starts[seed] + QUERY_TERMS, self.starts[seed + 1])]
+        """Unused pieces by BM25 against all terms of the seed, best first, ties in order."""
+        terms = self.of_piece[self.starts[seed]:self.starts[seed + 1]]
         first, count = self.first[terms], self.last[terms] - self.first[terms]
         until = np.cumsum(count)
         at = np.repeat(first - until + count, count) + np.arange(until[-1] if len(until) else 0)
         score = np.bincount(self.piece[at], self.weight[at], len(self.used))
         score[self.used] = -1
-        for start, stop in ((0, 64), (64, len(score))):
-            if start == 0 and len(score) > 64:
-                head = np.argpartition(-score, 63)[:64]
-                ranked = head[np.lexsort((head, -score[head]))]
-            elif start == 0:
-                ranked = np.lexsort((np.arange(len(score)), -score))
-            elif len(score) > 64:
-                ranked = np.lexsort((np.arange(len(score)), -score))
-            else:
-                return
-            for piece in ranked.tolist():
-                if not self.used[piece]:
-                    yield piece
+        few = min(64, len(score))  # mostly enough to fill a window
+        yield from self._open(np.argpartition(-score, few - 1)[:few], score)
+        yield from self._open(np.arange(len(score)), score)
+
+    def _open(self, pieces: np.ndarray, score: np.ndarray) -> Iterator[int]:
+        for piece in pieces[np.lexsort((pieces, -score[pieces]))].tolist():
+            if not self.used[piece]:
+                yield piece
 
 
 def pack_pieces(tails: list[np.ndarray], idf: np.ndarray, mean: float, open_: list, sequence: int) -> Iterator[list]:
