@@ -149,15 +149,23 @@ def sessions(df: DataFrame, gap_s: int = 300, width_us: int = DEFAULT_SLICE_US)
 
 
 def sessions_stream(df: DataFrame, gap_s: int = 300) -> DataFrame:
-    """Sessions on a stream. ``hop_m`` must come from the stateful step, as there is no lag here."""
+    """Sessions on a stream of scored records, whose ``prev`` and ``hop_m`` come from the stateful step.
+
+    Of records without them the distance is null.
+    """
+    followed = {"prev", "hop_m"} <= set(df.columns)
+    same_session = F.col("us") - F.col("prev.us") <= gap_s * 1_000_000 if followed else F.lit(False)
+    hop = F.when(same_session, F.col("hop_m")).otherwise(0.0) if followed else F.lit(None).cast("double")
     return (
-        df.groupBy("drone_id", F.session_window("ts", f"{gap_s} seconds"))
+        df.withColumn("_hop", hop).groupBy("drone_id", F.session_window("ts", f"{gap_s} seconds"))
         .agg(
             F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("n"),
             F.max("altitude_m").alias("max_altitude"),
-            (F.min_by("battery_percent", "us") - F.max_by("battery_percent", "us")).alias("battery_used"),
+            (earliest("battery_percent", "us", "event_id") - latest("battery_percent", "us", "event_id")).alias("battery_used"),
+            F.sum("_hop").alias("distance_m"),
         )
-        .select("drone_id", "start_us", "end_us", "n", "max_altitude", "battery_used")
+        .select("drone_id", "start_us", "end_us", "n", "max_altitude", "battery_used", "distance_m",
+                seconds(F.col("end_us") - F.col("start_us")).alias("duration_s"))
     )
 
 

@@ -121,48 +121,46 @@ def streamed_swarm_health(spark, sf_dir):
     return newest.select("swarm_id", "active_drones")
 
 
-def run_windows(spark, sf_dir, make, name):
-    """Run a windowed job over the slices; a late sentinel record closes the last window."""
+def run_scored_windows(spark, sf_dir, make, name):
+    """Windows over the health job's scores: a second job reads what the first one writes.
+
+    The scores are there whole when it starts; a late sentinel then closes the last window.
+    """
+    scores = spark.read.parquet(f"{run_health(spark, sf_dir)}/scores").drop("batch_id")
     folder, target, checkpoint = (shared_dir(spark, f"{name}-{n}") for n in ("in", "out", "state"))
-    for part in telemetry_slices(spark, sf_dir):
-        part.write.mode("append").parquet(folder)
-        stream = spark.readStream.schema(part.schema).parquet(folder)
-        jobs.run_append(make(stream), target, checkpoint, availableNow=True).awaitTermination()
-    newest = fixtures.telemetry(spark, sf_dir).agg(F.max("us").alias("m")).scalar()
-    closing = part.limit(1).withColumn("us", newest + 3_600_000_000)
-    closing = closing.withColumns({
-        "drone_id": F.lit("sentinel"), "ts": F.timestamp_micros(F.expr("unix_micros(timestamp'2024-01-01 00:00:00')") + F.col("us")),
-    }).select(part.columns)
-    closing.write.mode("append").parquet(folder)
-    jobs.run_append(make(spark.readStream.schema(part.schema).parquet(folder)), target, checkpoint,
+    scores.write.parquet(folder)
+    stream = spark.readStream.schema(scores.schema).parquet(folder)
+    jobs.run_append(make(stream), target, checkpoint, availableNow=True).awaitTermination()
+    newest = scores.agg(F.max("us").alias("m")).scalar()
+    closing = scores.limit(1).withColumns({"us": newest + 3_600_000_000, "drone_id": F.lit("sentinel")})
+    closing.withColumn("ts", F.timestamp_micros("us")).select(scores.columns).write.mode("append").parquet(folder)
+    jobs.run_append(make(spark.readStream.schema(scores.schema).parquet(folder)), target, checkpoint,
                     availableNow=True).awaitTermination()
     return spark.read.parquet(target).filter("drone_id <> 'sentinel'")
 
 
 @query("streamed_tumbling_health", f"""WITH {SCORED}
-SELECT drone_id, us // 10000000 * 10000000 AS start_us, count(*) AS n, {_avg("battery_health", "avg_battery_health")},
-  {_avg("signal_health", "avg_signal_health")}
+SELECT drone_id, us // 10000000 * 10000000 AS start_us, count(*) AS n, {_avg("overall_score", "avg_score")},
+  min(overall_score) AS min_score, max(overall_score) AS max_score, {_avg("battery_health", "avg_battery_health")},
+  {_avg("motor_health", "avg_motor_health")}, {_avg("signal_health", "avg_signal_health")},
+  {_avg("thermal_health", "avg_thermal_health")},
+  sum(coalesce(is_drain, false)::INT + coalesce(is_motor, false)::INT + coalesce(is_gps, false)::INT + is_heat::INT)::BIGINT AS n_anomalies
 FROM scored GROUP BY drone_id, us // 10000000""")
 def streamed_tumbling_health(spark, sf_dir):
-    from fleetlens.operators import anomalies
-    from fleetlens.plans.catalog.windows import epoch_us
-
-    def make(stream):
-        no_previous = F.lit(None).cast("struct<us: bigint, battery_percent: double, latitude: double, longitude: double>")
-        scored = anomalies.add_scores(anomalies.add_delta_columns(stream.withColumn("prev", no_previous)))
-        return jobs.tumbling_stream(scored)
-
-    w = run_windows(spark, sf_dir, make, "tumbling")
-    return w.select("drone_id", epoch_us("window_start").alias("start_us"), "n",
-                    F.round("avg_battery_health", 4).alias("avg_battery_health"),
-                    F.round("avg_signal_health", 4).alias("avg_signal_health"))
+    w = run_scored_windows(spark, sf_dir, jobs.tumbling_stream, "tumbling")
+    rounded = [c for c in w.columns if c.startswith("avg_")]
+    return w.select("drone_id", F.unix_micros("window_start").alias("start_us"), "n", "min_score", "max_score", "n_anomalies",
+                    *[F.round(c, 4).alias(c) for c in rounded])
 
 
-@query("streamed_sessions", f"""WITH {TELEMETRY},
-opened AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY drone_id ORDER BY us, event_id) <= 30000000 THEN 0 ELSE 1 END AS opens FROM tele),
+@query("streamed_sessions", f"""WITH {SCORED},
+opened AS (SELECT *, CASE WHEN p_us IS NOT NULL AND us - p_us <= 30000000 THEN 0 ELSE 1 END AS opens FROM scored),
 numbered AS (SELECT *, sum(opens) OVER (PARTITION BY drone_id ORDER BY us, event_id) AS session FROM opened)
-SELECT drone_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n, max(altitude_m) AS max_altitude
+SELECT drone_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n, R4((max(us) - min(us)) / 1e6) AS duration_s,
+  max(altitude_m) AS max_altitude, R4(arg_min(battery_percent, us) - arg_max(battery_percent, us)) AS battery_used,
+  R2(sum(CASE WHEN opens = 0 THEN hop_m ELSE 0e0 END)) AS distance_m
 FROM numbered GROUP BY drone_id, session""")
 def streamed_sessions(spark, sf_dir):
-    s = run_windows(spark, sf_dir, lambda stream: jobs.sessions_stream(stream, gap_s=30), "sessions")
-    return s.select("drone_id", "start_us", "end_us", "n", "max_altitude")
+    s = run_scored_windows(spark, sf_dir, lambda stream: jobs.sessions_stream(stream, gap_s=30), "sessions")
+    return s.select("drone_id", "start_us", "end_us", "n", "max_altitude", F.round("duration_s", 4).alias("duration_s"),
+                    F.round("battery_used", 4).alias("battery_used"), F.round("distance_m", 2).alias("distance_m"))
