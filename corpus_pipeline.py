@@ -9,31 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.llm import langid, linededup, mixing, packing, simhash
+from fleetlens.llm.common import small_batches
 from fleetlens.session import prepare, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language; those with no language go."""
+    small_batches(spark)
     return langid.keep_languages(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the chunks of lines that stand earlier in the table."""
+    small_batches(spark)
     return linededup.line_dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: three-word shingles, three bits at most."""
+    small_batches(spark)
     return simhash.near_dedup(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    small_batches(spark)
     return mixing.mix(docs)
 
 
 def packing_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training sequences, with their token ids."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
@@ -49,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read back."""
-    prepare(spark)
+    small_batches(prepare(spark))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())

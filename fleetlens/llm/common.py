@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +15,34 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of a batch that a Python task gets at a time. Texts are long, and a task holds a few batches.
+BATCH_ROWS, BATCH_BYTES = 1000, 8_000_000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound the batches that Python tasks of this session get; queries and pipeline stages call it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
+
+
+def giving_back(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """A task's function that hands its memory back when it is done.
+
+    Python workers serve one task after another; what one has freed would otherwise stay theirs.
+    """
+    def task(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import quoted, whole_text
+from fleetlens.llm.common import giving_back, quoted, whole_text
 
 # Families of languages by ISO 639-1 code. A language that is not listed is a
 # family of its own.
@@ -138,7 +138,7 @@ def _featured(rows: DataFrame) -> DataFrame:
             x = [features(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], ["lang", "x"])
 
-    return rows.mapInArrow(run, "lang string, x binary")
+    return rows.mapInArrow(giving_back(run), "lang string, x binary")
 
 
 def learn(docs: DataFrame, learn_from: int = LEARN_FROM) -> Machines:
@@ -187,7 +187,7 @@ def learn(docs: DataFrame, learn_from: int = LEARN_FROM) -> Machines:
         w = train(x, np.array([s for _, s in raw], dtype=np.float64)).astype("<f4")
         return pa.table({"machine": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([w.tobytes()], pa.binary())})
 
-    dealt = _featured(sample).mapInArrow(deal, "machine int, side int, x binary")
+    dealt = _featured(sample).mapInArrow(giving_back(deal), "machine int, side int, x binary")
     for row in dealt.groupBy("machine").applyInArrow(fit, "machine int, w binary").collect():  # one row per machine
         machines.weights[row["machine"]] = np.frombuffer(row["w"], "<f4")
     return machines
@@ -224,7 +224,7 @@ def _predicted(rows: DataFrame, machines: Machines) -> DataFrame:
 
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)
 
 
 def keep_languages(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import quoted, row_key
+from fleetlens.llm.common import giving_back, quoted, row_key
 
 #: Lines that the rolling hash covers, and one in how many positions is a boundary.
 WINDOW, MEAN_LINES = 2, 3
@@ -107,7 +107,7 @@ def occurrences(docs: DataFrame, with_bytes: bool) -> DataFrame:
                                           ["h", "g", "doc_id", "a", "b", "line", *(["chunk"] if with_bytes else [])])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"h long, g long, doc_id {kind}, a long, b long, line long"
+    return narrow.mapInArrow(giving_back(run), f"h long, g long, doc_id {kind}, a long, b long, line long"
                              + (", chunk binary" if with_bytes else ""))
 
 
@@ -146,7 +146,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
             texts = [_cleaned(text.as_py(), lines.as_py()) for text, lines in zip(batch.column(1), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
-    done = met.mapInArrow(run, T.StructType([met.schema["row"], T.StructField("text", T.StringType())]))
+    done = met.mapInArrow(giving_back(run), T.StructType([met.schema["row"], T.StructField("text", T.StringType())]))
     out = []
     for name in docs.columns:
         if name == "text":

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import quoted, whole_text
+from fleetlens.llm.common import giving_back, quoted, whole_text
 from fleetlens.session import written
 
 SEQUENCE = 2048
@@ -24,7 +24,7 @@ SHARD_PIECES = 1024
 # BM25's usual constants.
 K1, B = 1.2, 0.75
 #: Words whose ids a task remembers, and characters that are split into words at a time.
-REMEMBERED, BLOCK = 400_000, 8_000_000
+REMEMBERED, BLOCK = 250_000, 4_000_000
 
 # How the tokenizer cuts a word, for characters up to U+017F: a contraction, letters, one
 # numeral, or a run of other characters.
@@ -156,7 +156,7 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_I
                 [pa.nulls(1, type_), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([found], term_docs)],
                 ["doc_id", "tokens", "ids", "term_docs"])
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, {_TOKENS}")
+    return narrow.mapInArrow(giving_back(run), f"doc_id {kind}, {_TOKENS}")
 
 
 # Retrieval
@@ -327,5 +327,5 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
         if out:
             yield flushed(type_)
 
-    packed = rows.select("doc_id", "tokens", "ids").mapInArrow(run, f"doc_id {kind}, {_PIECES}")
+    packed = rows.select("doc_id", "tokens", "ids").mapInArrow(giving_back(run), f"doc_id {kind}, {_PIECES}")
     return packed

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import embeddedup, langid, linededup, mixing, neighbours, packing, secret_scan, sharding, simhash, warc
-from fleetlens.llm.common import table
+from fleetlens.llm.common import small_batches, table
 from fleetlens.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +19,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: fn(prepare(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: fn(small_batches(prepare(spark)), sf_dir)
         if sql is not None:
             ORACLES[name] = sql
         return fn

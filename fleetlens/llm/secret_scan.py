@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import quoted
+from fleetlens.llm.common import giving_back, quoted
 
 # The kinds and their patterns. A bound on a whole run of a class is part of the
 # pattern, which then finds the same runs.
@@ -163,7 +163,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
             found = [scan(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _SPANS)], ["doc_id", "spans"])
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
+    return narrow.mapInArrow(giving_back(run), f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
@@ -174,7 +174,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             yield batch.set_column(at, "text", pa.array([_redacted(t.as_py(), mark) for t in batch.column(at)],
                                                         batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def _redacted(text: str | None, mark: str) -> str | None:

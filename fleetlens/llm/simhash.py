@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import quoted, row_key, whole_row, whole_text
+from fleetlens.llm.common import giving_back, quoted, row_key, whole_row, whole_text
 from fleetlens.llm.components import components
 from fleetlens.session import written
 
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
                                              ["doc_id", "a", "b", "fp"])
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, a long, b long, fp long")
+    return narrow.mapInArrow(giving_back(run), f"doc_id {kind}, a long, b long, fp long")
 
 
 # Links
@@ -192,7 +192,7 @@ def _with_last(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Rec
 def _runs(variants: DataFrame, most: int, max_bits: int) -> DataFrame:
     keys = variants.columns[:-1]
     near = variants.repartition(*keys).sortWithinPartitions(*variants.columns)
-    return near.mapInArrow(_link_runs(most, max_bits, len(keys)), "hot boolean, x long, y long")
+    return near.mapInArrow(giving_back(_link_runs(most, max_bits, len(keys))), "hot boolean, x long, y long")
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, run: int = RUN) -> DataFrame:

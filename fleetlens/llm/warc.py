@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import as_arrow, quoted
+from fleetlens.llm.common import as_arrow, giving_back, quoted
 from fleetlens.session import shared_dir
 
 #: Payloads below this many bytes are stored again each time.
@@ -127,7 +127,7 @@ def write_packages(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         if package.index:
             yield pa.RecordBatch.from_arrays([pa.array([package.bytes(b"\n")[:-1]], pa.binary())], ["package"])
 
-    packages = mark_revisits(pages).mapInArrow(build, "package binary")
+    packages = mark_revisits(pages).mapInArrow(giving_back(build), "package binary")
     packages.select(F.col("package").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
@@ -282,7 +282,7 @@ def locate(spark: SparkSession, path: str) -> DataFrame:
                              for m, s, n in places(_ranges(file), row["length"])]
                 yield pa.RecordBatch.from_pylist(found, as_arrow(LOCATED))
 
-    return files.mapInArrow(look, LOCATED)
+    return files.mapInArrow(giving_back(look), LOCATED)
 
 
 def read_records(located: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def read_records(located: DataFrame) -> DataFrame:
         if file is not None:
             file.close()
 
-    return near.mapInArrow(fetch, RECORDS)
+    return near.mapInArrow(giving_back(fetch), RECORDS)
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
@@ -323,7 +323,7 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
                 found = [parse_record(read(s, n)) for _, s, n in places(read, len(raw))]
                 yield pa.RecordBatch.from_pylist(found, as_arrow(RECORDS))
 
-    return files.mapInArrow(fetch, RECORDS)
+    return files.mapInArrow(giving_back(fetch), RECORDS)
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
