@@ -22,6 +22,7 @@ def local_session(cores: str = "8", app: str = "fleetlens", **conf: str) -> Spar
         "spark.python.unix.domain.socket.enabled": "true",
         "spark.driver.bindAddress": "127.0.0.1",
         "spark.driver.host": "127.0.0.1",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="fleetlens-"),
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -52,8 +53,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder all executors share.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only where that is unset, as
-    on a laptop, is a local folder taken.
+    The cluster names the folder in ``spark.checkpoint.dir``, and so does :func:`local_session`. Only in
+    another local session where that is unset is a temporary folder taken.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
