@@ -1,4 +1,4 @@
-"""Near-duplicate embeddings by product quantisation: inverted lists, table lookups, exact cosines."""
+"""Near-duplicate embeddings by product quantisation: inverted lists, codebook lookups, exact cosines."""
 
 from __future__ import annotations
 
@@ -20,10 +20,8 @@ THRESHOLD = 0.9
 SAMPLE, LIST_ROWS, MOST_LISTS = 8192, 1000, 512
 #: Subspaces and codes of each.
 SUBSPACES, CODES = 8, 64
-#: Rows of a list that one task compares with as many others.
-BLOCK = 1024
-#: How many standard deviations of a pair's step across a list border are probed from either side.
-REACH = 1.5
+#: Rows of a list that one task compares with as many others, or with so many times as many visitors.
+BLOCK, VISITING = 1024, 8
 
 
 class Index:
@@ -44,18 +42,17 @@ class Index:
     def probes(self, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """``(home, probed)``; probed is a mask over the lists, home left out.
 
-        A pair with the least cosine is a step of length sqrt(2 - 2 threshold) apart, and the part of a
-        step in any direction that points across a border has a standard deviation of its length
-        over the root of the dimensions. A list is probed when its border is within REACH of these. Either
-        vector of a pair may probe the other's list, so a pair is missed only if its step crosses
-        the border by more than twice that; half the whole step misses none, and more is never probed.
+        A pair with the least cosine is a step of length sqrt(2 - 2 threshold) apart. The distances of
+        two vectors in different lists from the border between these add up to the part of
+        their step that points across it, so one of the two is within half the step of the border. Every
+        list whose border is that near is probed: either vector may probe the other's list, so no
+        pair is missed, whatever the dimension and the direction of the step.
         """
         home, far = self.home(x)
-        step = math.sqrt(2 - 2 * threshold)
-        reach = min(step / 2, step * REACH / math.sqrt(x.shape[1]))
-        gap = np.sqrt(np.maximum(((self.centroids[:, None] - self.centroids[None]) ** 2).sum(-1), 1e-24))[home]
+        reach = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2 + 1e-9
+        gap = np.sqrt(((self.centroids[:, None] - self.centroids[None]) ** 2).sum(-1))[home]
         own = far[np.arange(len(x)), home][:, None]
-        probed = (far - own) / (2 * gap) <= reach
+        probed = far - own <= 2 * gap * reach + 1e-12  # rounding of the squares
         probed[np.arange(len(x)), home] = False
         return home, probed
 
@@ -72,12 +69,14 @@ class Index:
         return codes, np.sqrt(missed)
 
     def lookup(self, queries: np.ndarray, list_: int, codes: np.ndarray) -> np.ndarray:
-        """Approximate products of exact ``queries`` with coded rows of one list, by tables."""
-        out = np.repeat((queries @ self.centroids[list_])[:, None], len(codes), axis=1).astype(np.float32)
+        """Approximate products of exact ``queries`` with coded rows of one list.
+
+        The rows' parts are looked up in the codebooks once, and meet all queries in one product of matrices.
+        """
+        rows = np.repeat(self.centroids[list_][None], len(codes), axis=0)
         for m, (cut, book) in enumerate(zip(self.cuts, self.books)):
-            table = (queries[:, cut] @ book.T).astype(np.float32)
-            out += table[:, codes[:, m]]
-        return out
+            rows[:, cut] += book[codes[:, m]]
+        return queries.astype(np.float32) @ rows.astype(np.float32).T
 
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -132,10 +131,7 @@ def _placed(nodes: DataFrame, index: Index, threshold: float) -> DataFrame:
 
 def _cells(placed: DataFrame, homes: np.ndarray, visitors: np.ndarray) -> DataFrame:
     """Rows copied to the pairs of blocks that they take part in."""
-    def blocks(of: np.ndarray) -> np.ndarray:
-        return -(-of // BLOCK)
-
-    own, visiting = blocks(homes), blocks(visitors)
+    own, visiting = -(-homes // BLOCK), -(-visitors // (VISITING * BLOCK))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,12 +171,13 @@ def _compare(key: tuple, group: pa.Table, index: Index, threshold: float) -> pa.
     rows = np.flatnonzero(side == 0)
     asks = rows if not visit and i == j else np.flatnonzero(side == 1)
     links = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    for at in range(0, len(asks), 256):
-        some = asks[at:at + 256]
+    least = (threshold - 1e-5 - missed[rows]).astype(np.float32)
+    for at in range(0, len(asks), 1024):
+        some = asks[at:at + 1024]
         if not len(rows):
             break
         # The looked-up product is off by no more than what the codes miss.
-        close = index.lookup(x[some], list_, codes[rows]) + missed[rows][None] >= threshold - 1e-5
+        close = index.lookup(x[some], list_, codes[rows]) >= least
         q, r = np.nonzero(close)
         q, r = some[q], rows[r]
         if not visit and i == j:
@@ -236,9 +233,10 @@ def clusters(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Rows link where the cosine is at least ``threshold``. Equal vectors are one node with a weight, so
     copies are not compared. A coarse quantiser, fitted on a bounded sample, deals the nodes out to
-    inverted lists; a node visits the lists whose border is near. In a list, blocks of bounded
-    size meet: products are looked up from subspace codes, and what the codes cannot rule out
-    is verified by the exact cosine in double precision, so no wrong link appears and lookups lose none.
+    inverted lists; a node visits the lists whose border is within half a link's length, which misses
+    no link. In a list, blocks of bounded size meet: products are looked up from subspace codes, and
+    what the codes cannot rule out is verified by the exact cosine in double precision, so no wrong link
+    appears and none is lost.
     Blocks return counts and stars, never pairs.
 
     Vectors that are null, empty, zero or not finite link with nothing: 0 links, their own id, kept.

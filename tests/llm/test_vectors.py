@@ -174,6 +174,21 @@ def test_links_against_brute_force(clustered, monkeypatch):
     assert found >= 0.97 * near.sum() and near.sum() > 10_000
 
 
+def test_no_link_is_lost_across_borders(spark, monkeypatch):
+    """Vectors of low rank in many dimensions: their steps point straight across the borders of lists."""
+    rng = np.random.default_rng(13)
+    u = rng.normal(size=(1200, 3)) @ rng.normal(size=(3, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    monkeypatch.setattr(embeddedup, "LIST_ROWS", 60)
+    monkeypatch.setattr(embeddedup, "BLOCK", 16)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in embeddedup.clusters(table.repartition(6)).collect()}
+    assert [got[i]["n_links"] for i in range(len(u))] == near.sum(axis=1).tolist()
+    assert len(np.unique(np.flatnonzero(near.any(axis=1)))) > 1000
+
+
 def test_lookup_rules_out_no_link():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 16))
