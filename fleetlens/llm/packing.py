@@ -19,8 +19,8 @@ from fleetlens.session import written
 SEQUENCE = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces of a shard of the index.
-SHARD_PIECES = 1024
+#: Pieces of a shard of the index, and entries (a document's distinct terms) after which it closes.
+SHARD_PIECES, SHARD_ENTRIES = 1024, 4_000_000
 # BM25's usual constants.
 K1, B = 1.2, 0.75
 #: Words whose ids a task remembers, and characters that are split into words at a time.
@@ -119,12 +119,11 @@ def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
 _TOKENS = "tokens long, ids binary, term_docs array<struct<term: int, docs: long>>"
 
 
-def tokenise(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, sequence: int = SEQUENCE) -> DataFrame:
+def tokenise(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, tokens, ids, term_docs)``: every row's token ids with the end id, as little-endian 32 bits.
 
-    A partition's last row has ``term_docs`` instead: in how many of its tails (what a document has
-    beyond full sequences) each term occurs. Their number is bounded by the vocabulary. Null text
-    counts as empty, its only id is the end id.
+    A partition's last row has ``term_docs`` instead: in how many of its documents each term occurs.
+    Their number is bounded by the vocabulary. Null text counts as empty, its only id is the end id.
     """
     path = vocabulary or vocabulary_path()
     narrow = docs.select(quoted("doc_id").alias("doc_id"), whole_text().alias("text"))
@@ -141,9 +140,7 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_I
                 rows, sizes = [], []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                     ids = np.append(flat[a:b], np.uint32(end_id))
-                    tail = len(ids) % sequence
-                    if tail:
-                        counts[np.unique(ids[-tail:])] += 1
+                    counts[np.unique(ids)] += 1
                     rows.append(ids.astype("<u4").tobytes())
                     sizes.append(len(ids))
                 yield pa.RecordBatch.from_arrays(
@@ -161,23 +158,33 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_I
 
 # Retrieval
 
+def bag(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms of a document, ascending, and how often each occurs."""
+    terms, tf = np.unique(ids, return_counts=True)
+    return terms.astype(np.int32), tf.astype(np.int32)
+
+
 class Shard:
-    """An inverted BM25 index over the tails of one shard, with the statistics of all documents."""
-
-    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        lengths = np.array([len(t) for t in tails], dtype=np.float64)
-        flat = np.concatenate(tails).astype(np.int64)
-        owner = np.repeat(np.arange(len(tails)), lengths.astype(np.int64))
-        pairs, tf = np.unique(flat * len(tails) + owner, return_counts=True)
-        term, self.piece = pairs // len(tails), pairs % len(tails)
+    """An inverted BM25 index over the whole documents of one shard, with the statistics of all documents.
+
+    Documents are given by their ids or as bags of them.
+    """
+
+    def __init__(self, docs: list, idf: np.ndarray, mean: float) -> None:
+        bags = [d if isinstance(d, tuple) else bag(d) for d in docs]
+        owner = np.repeat(np.arange(len(bags)), [len(terms) for terms, _ in bags])
+        lengths = np.array([tf.sum() for _, tf in bags], dtype=np.float64)
+        flat, tf = (np.concatenate(part) for part in zip(*bags))
+        by_term = np.argsort(flat, kind="stable")
+        term, tf, self.piece = flat[by_term], tf[by_term], owner[by_term]
         norm = K1 * (1 - B + B * lengths / mean)
         self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.piece])
         self.terms, self.first = np.unique(term, return_index=True)
         self.last = np.append(self.first[1:], len(term))
         order = np.argsort(self.piece, kind="stable")
         self.of_piece = np.searchsorted(self.terms, term[order])
-        self.starts = np.searchsorted(self.piece[order], np.arange(len(tails) + 1))
-        self.used = np.zeros(len(tails), dtype=bool)
+        self.starts = np.searchsorted(self.piece[order], np.arange(len(bags) + 1))
+        self.used = np.zeros(len(bags), dtype=bool)
 
     def neighbours(self, seed: int) -> Iterator[int]:
         """Unused pieces by BM25 against all terms of the seed, best first, ties in order."""
@@ -197,14 +204,15 @@ class Shard:
                 yield piece
 
 
-def pack_pieces(tails: list[np.ndarray], idf: np.ndarray, mean: float, open_: list, sequence: int) -> Iterator[list]:
-    """Fill windows with the tails of a shard: lists of ``(tail, start, length)``; -1 is the open piece carried in.
+def pack_pieces(tails: list[np.ndarray], index: Shard, open_: list, sequence: int) -> Iterator[list]:
+    """Fill windows with the tails of a shard: lists of ``(tail, start, length)``; below 0 are open pieces carried in.
+
+    A tail is what its document has beyond full sequences; ``index`` holds the whole documents.
 
     ``open_`` holds the window that the shard before left open; the last one left open here
     replaces it. The first unused piece seeds a window; its unused neighbours follow while there
     is room, and the one that does not fit is cut, its rest seeding the next window.
     """
-    index = Shard(tails, idf, mean)
     room = sequence - sum(length for *_, length in open_)
     window, seeds = list(open_), iter(range(len(tails)))
     seed = None
@@ -248,9 +256,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
     """Pack the token ids of ``docs`` into sequences of ``sequence`` tokens: one row per piece.
 
     ``(doc_id, start, length, ids, doc_tokens, sequence_id, offset)``, ids as little-endian 32 bits. Full
-    sequences of a long document stand alone. What is left of it is a piece of the index: shards
-    of at most ``SHARD_PIECES`` neighbouring rows, each with an inverted BM25 index whose document
-    counts and mean length are those of all rows. In a shard each seed's window is filled with its
+    sequences of a long document stand alone, and what is left of it is a piece to be placed. Shards
+    of at most ``SHARD_PIECES`` neighbouring rows have an inverted BM25 index each, over the terms of
+    the whole documents; document counts and mean length are those of all rows. In a shard each seed's window is filled with its
     best unused neighbours, the last one cut to fit and its rest the next seed. The window
     that a shard leaves open goes on in the next shard of the partition, so a partition has one
     padded sequence at most. Nothing is shuffled, and a task holds one shard.
@@ -259,12 +267,11 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
     end id. An empty table gives no rows. The tokens are written to the shared folder first,
     so that ids and their order are the same for every later attempt.
     """
-    tokens = written(tokenise(docs, vocabulary, end_id, sequence), "pack-tokens")
+    tokens = written(tokenise(docs, vocabulary, end_id), "pack-tokens")
     counted = tokens.where("term_docs IS NOT NULL").select(F.explode("term_docs").alias("t")).groupBy("t.term").agg(
         F.sum("t.docs").alias("docs")).toPandas()  # one row per entry of the vocabulary
     rows = tokens.where("term_docs IS NULL").drop("term_docs")
-    tail = F.col("tokens") % sequence
-    n, mean = rows.where(tail > 0).agg(F.count("*"), F.avg(tail)).first()
+    n, mean = rows.agg(F.count("*"), F.avg("tokens")).first()
     known = np.zeros(1 + max([1 << 16, *counted["term"]]), dtype=np.float64)
     known[counted["term"].to_numpy(np.int64)] = counted["docs"].to_numpy(np.float64)
     idf = np.log(1 + (n - known + 0.5) / (known + 0.5)).astype(np.float32)
@@ -274,6 +281,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
         context = TaskContext.get()
         next_id = (context.partitionId() if context else 0) << 36
         held: list[tuple[pa.Scalar, np.ndarray, int]] = []  # doc id, tail, tokens before it
+        bags: list[tuple] = []  # of their whole documents
+        entries = 0
         carried: dict[int, tuple] = {}  # pieces of the window left open
         open_: list = []
         out: list[tuple] = []
@@ -289,16 +298,16 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
             next_id += 1
 
         def shard() -> None:
-            nonlocal carried, held, open_
+            nonlocal carried, held, open_, bags, entries
             if not held:
                 return
             table = {**carried, **dict(enumerate(held))}
-            for window in pack_pieces([ids for _, ids, _ in held], idf, mean, open_, sequence):
+            for window in pack_pieces([ids for _, ids, _ in held], Shard(bags, idf, mean), open_, sequence):
                 emit(window, table)
             # The open window's pieces are renumbered below zero, apart from the next shard's.
             carried = {-1 - i: table[piece] for i, (piece, _, _) in enumerate(open_)}
             open_ = [(-1 - i, start, length) for i, (_, start, length) in enumerate(open_)]
-            held = []
+            held, bags, entries = [], [], 0
 
         def flushed(type_: pa.DataType) -> pa.RecordBatch:
             columns = list(zip(*out)) or [[]] * 7
@@ -311,13 +320,15 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
         for batch in batches:
             type_ = batch.schema.field(0).type
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(2)):
-                ids = np.frombuffer(raw.as_buffer(), dtype="<u4").copy()
+                ids = np.frombuffer(raw.as_buffer(), dtype="<u4")
                 full = len(ids) // sequence * sequence
                 for start in range(0, full, sequence):
                     emit([(0, start, sequence)], {0: (doc, ids, 0)})
                 if full < len(ids):
-                    held.append((doc, ids[full:], full))
-                if len(held) >= SHARD_PIECES:
+                    held.append((doc, ids[full:].copy(), full))
+                    bags.append(bag(ids))
+                    entries += len(bags[-1][0])
+                if len(held) >= SHARD_PIECES or entries >= SHARD_ENTRIES:
                     shard()
                 if len(out) >= 2000:
                     yield flushed(type_)

@@ -113,6 +113,25 @@ def test_neighbours_share_a_window(spark):
     assert np.mean(pure) > 0.9
 
 
+def test_long_documents_are_matched_by_their_whole_text(spark, tokenizer):
+    """Tails that agree in all documents: only what stands before them tells the subjects apart."""
+    rng = np.random.default_rng(5)
+    subjects = [["river", "water", "boat", "fish", "harbour", "island", "tide"], ["engine", "wheel", "motor", "brake", "piston", "clutch", "gear"]]
+    rows = []
+    for i in rng.permutation(200).tolist():
+        body = " ".join(rng.choice(subjects[i % 2], 50))
+        fill = -len(tokenizer.encode(body, add_special_tokens=False).ids) % 64 + 9
+        rows.append((i, f"{body}{' the' * fill}", "en", "s", 0))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    found = defaultdict(list)
+    for r in packing.pack(table, sequence=64).collect():
+        if r["start"] >= r["doc_tokens"] // 64 * 64:
+            assert r["doc_tokens"] % 64 == 10
+            found[r["sequence_id"]].append(r["doc_id"] % 2)
+    pure = [max(np.mean(s), 1 - np.mean(s)) for s in found.values()]
+    assert len(found) > 20 and np.mean(pure) > 0.9
+
+
 def test_odd_tables(odd_docs, odd_rows, no_docs, clashing_docs, tokenizer):
     for table in (odd_docs, clashing_docs):
         rows = packing.pack(table).collect()
