@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces of a shard of the index, and entries (a document's distinct terms) after which it closes.
 SHARD_PIECES, SHARD_ENTRIES = 1024, 4_000_000
+#: Min-hashes of a document's key, terms at most in bits, and sampled keys for each partition's bounds.
+KEYS, TERM_BITS, SAMPLED = 3, 17, 64
 # BM25's usual constants.
 K1, B = 1.2, 0.75
 #: Words whose ids a task remembers, and characters that are split into words at a time.
@@ -204,6 +207,61 @@ class Shard:
                 yield piece
 
 
+def content_keys(bags: list[tuple], idf: np.ndarray, shared: np.ndarray, mean: float) -> list[int]:
+    """Sort keys that bring documents together that share weighty terms.
+
+    A key is a row of min-hashes, each a term: the one of the least exponential draw over its BM25 weight. Two
+    documents agree in one as likely as their weights overlap. Terms of a single document are left out.
+    """
+    draws = np.random.Generator(np.random.PCG64(29)).standard_exponential((KEYS, len(idf)))
+    keys = []
+    for terms, tf in bags:
+        weight = idf[terms] * shared[terms] * tf / (tf + K1 * (1 - B + B * tf.sum() / mean))
+        some = weight > 0
+        key = 0
+        if some.any():
+            for term in terms[some][(draws[:, terms[some]] / weight[some]).argmin(axis=1)].tolist():
+                key = key << TERM_BITS | term
+        keys.append(key)
+    return keys
+
+
+def dealt(rows: DataFrame, n: int, idf: np.ndarray, shared: np.ndarray, mean: float) -> DataFrame:
+    """``rows`` in the order of their content keys, cut into partitions of about equal numbers of rows.
+
+    The bounds come from a sample. Rows of one key are spread over the key's stretch, so a key of many
+    rows takes as many partitions as it needs.
+    """
+    spark = rows.sparkSession
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_PIECES)))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def keyed(bounds: list[tuple[int, float]], whole: bool):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spread = batch.column(3).to_pylist()
+                keys = content_keys([bag(np.frombuffer(raw.as_buffer(), dtype="<u4")) for raw in batch.column(2)],
+                                    idf, shared, mean)
+                if whole:
+                    part = [bisect_right(bounds, at) for at in zip(keys, spread)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64()), pa.array(part, pa.int32())],
+                                                     [*batch.schema.names, "key", "part"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(3)], ["key", "spread"])
+
+        return giving_back(run)
+
+    spread = rows.select("doc_id", "tokens", "ids", F.rand(31).alias("spread"))
+    bounds: list[tuple[int, float]] = []
+    if parts > 1:
+        drawn = spread.where(F.rand(37) < min(1.0, SAMPLED * parts / n)).mapInArrow(keyed([], False), "key long, spread double")
+        sample = sorted((r["key"], r["spread"]) for r in drawn.collect())  # a bounded number for each partition
+        bounds = [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
+    placed = spread.mapInArrow(keyed(bounds, True), f"doc_id {kind}, tokens long, ids binary, spread double, key long, part int")
+    return placed.repartitionById(parts, F.col("part")).sortWithinPartitions(
+        "key", F.xxhash64("ids", "doc_id"), "spread").select("doc_id", "tokens", "ids")
+
+
 def pack_pieces(tails: list[np.ndarray], index: Shard, open_: list, sequence: int) -> Iterator[list]:
     """Fill windows with the tails of a shard: lists of ``(tail, start, length)``; below 0 are open pieces carried in.
 
@@ -256,12 +314,14 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
     """Pack the token ids of ``docs`` into sequences of ``sequence`` tokens: one row per piece.
 
     ``(doc_id, start, length, ids, doc_tokens, sequence_id, offset)``, ids as little-endian 32 bits. Full
-    sequences of a long document stand alone, and what is left of it is a piece to be placed. Shards
-    of at most ``SHARD_PIECES`` neighbouring rows have an inverted BM25 index each, over the terms of
-    the whole documents; document counts and mean length are those of all rows. In a shard each seed's window is filled with its
+    sequences of a long document stand alone, and what is left of it is a piece to be placed. Documents
+    are dealt out by content first, so that those that share weighty terms stand together wherever
+    they are in the table. Shards of at most ``SHARD_PIECES`` documents in that order have an inverted
+    BM25 index each, over the terms of the whole documents; document counts and mean length are
+    those of all rows. In a shard each seed's window is filled with its
     best unused neighbours, the last one cut to fit and its rest the next seed. The window
     that a shard leaves open goes on in the next shard of the partition, so a partition has one
-    padded sequence at most. Nothing is shuffled, and a task holds one shard.
+    padded sequence at most. The tokens are shuffled once, and a task holds one shard.
 
     Every row is a document, repeated rows and null ids too; null text is empty and still has its
     end id. An empty table gives no rows. The tokens are written to the shared folder first,
@@ -338,5 +398,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
         if out:
             yield flushed(type_)
 
-    packed = rows.select("doc_id", "tokens", "ids").mapInArrow(giving_back(run), f"doc_id {kind}, {_PIECES}")
-    return packed
+    return dealt(rows, n, idf, known > 1, mean).mapInArrow(giving_back(run), f"doc_id {kind}, {_PIECES}")

@@ -132,6 +132,23 @@ def test_long_documents_are_matched_by_their_whole_text(spark, tokenizer):
     assert len(found) > 20 and np.mean(pure) > 0.9
 
 
+def test_subjects_meet_across_partitions(spark, monkeypatch):
+    """Thirty subjects that share common words, in random order over many partitions and in small shards."""
+    monkeypatch.setattr(packing, "SHARD_PIECES", 100)
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30 * 8)]
+    rows = []
+    for i in rng.permutation(1500).tolist():
+        own = rng.choice(words[i % 30 * 8:i % 30 * 8 + 8], 12)
+        rows.append((i, " ".join([*own, *rng.choice(["the", "of", "and", "in", "to", "a", "is"], 12)]), "en", "s", 0))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(30)
+    found = defaultdict(list)
+    for r in packing.pack(table, sequence=256).collect():
+        found[r["sequence_id"]].append(r["doc_id"] % 30)
+    pure = [max(map(s.count, s)) / len(s) for s in found.values()]
+    assert np.mean(pure) > 0.6
+
+
 def test_odd_tables(odd_docs, odd_rows, no_docs, clashing_docs, tokenizer):
     for table in (odd_docs, clashing_docs):
         rows = packing.pack(table).collect()
