@@ -37,13 +37,19 @@ PLACEHOLDER = re.compile(
     r"(?i)^(?:x+|\*+|\.+|none|null|nil|undefined|true|false|changeme|change_me|example.*|test|dummy|redacted|"
     r"your[_ -].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|os\.environ.*|process\.env.*|getenv.*)$")
 
+#: A type between a name and its sign: ``str``, ``string | null``, ``Optional[str]``, ``&'static str``.
+_TYPE = r"[A-Za-z_](?:[\w.?*]|::|\[[^:=;\n]*\]|<[^:=;\n]*>)*+"
+_TYPED = (rf"[?!]?[ \t]*+:[ \t]*+(?:&(?:'\w++\x20)?(?:mut\x20)?)?{_TYPE}(?:[ \t]*+\|[ \t]*+{_TYPE})*+"
+          r"(?=[ \t]++=[ \t]*+[\"'A-Za-z_]|=[ \t]*+[\"'])")
 #: A name, an assignment sign and what follows it, in source and configuration syntax: ``x = "v"``,
-#: ``x: v``, ``"x": "v"``, ``x := v``, ``x => v``, ``export X=v``. A name starts where no name goes
-#: on, and takes all it can, so every character is looked at a bounded number of times.
+#: ``x: v``, ``"x": "v"``, ``x := v``, ``x => v``, ``export X=v``, ``x: str = "v"``, ``env["x"] = "v"``. A name
+#: starts where no name goes on, and takes all it can, so every character is looked at a bounded number of times.
 STATEMENT = re.compile(
-    r"""(?<![\w.\-])["']?(?P<name>[A-Za-z_][\w.\-]{0,255}+)["']?[ \t]{0,16}+(?:=>|:=|=(?!=)|:(?!//))[ \t]{0,16}+"""
-    r"""(?P<value>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[^\s,;"'(){}\[\]<>+]++)""")
+    r"""(?<![\w.\-])["']?(?P<name>[A-Za-z_][\w.\-]{0,255}+)(?:["'](?:[ \t]*+\])?)?(?:""" + _TYPED + r""")?"""
+    r"""[ \t]{0,16}+(?:=>|:=|=(?!=)|:(?!//))[ \t]{0,16}+"""
+    r"""(?P<value>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[^\s,;"'(){}\[\]<>]++)""")
 MORE = re.compile(r"""[ \t]{0,16}+\+[ \t]{0,16}+("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z_][\w.]{0,255}+)""")
+OPERAND = re.compile(r"[^+]++")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 THRESHOLD = 0.6
 
@@ -91,6 +97,21 @@ def assigned(text: str) -> Iterator[tuple[str, list[Literal]]]:
         while (more := MORE.match(text, at)) is not None:
             pieces.append(more.span(1))
             at = more.end()
+        start, end = pieces[0]
+        if text[start] not in "\"'" and "+" in text[start:end]:
+            # In an unquoted value a plus joins known names, or names and a quoted part; else it is a character of it.
+            names = [m.span() for m in OPERAND.finditer(text, start, end)]
+            if text[end - 1] == "+" and text[end:end + 1] in ("'", '"') and (more := MORE.match(text, end - 1)) is not None:
+                pieces, at = [*names, more.span(1)], more.end()
+                while (more := MORE.match(text, at)) is not None:
+                    pieces.append(more.span(1))
+                    at = more.end()
+            else:
+                of = [text[a:b] in known for a, b in names]
+                if all(of):
+                    pieces[:1] = names
+                elif any(of):  # either may be meant
+                    yield found["name"], [p for (a, b), k in zip(names, of) if k for p in known[text[a:b]]]
         literals: list[Literal] = []
         for start, end in pieces:
             raw = text[start:end]

@@ -60,6 +60,27 @@ def test_literals_of_sensitive_names(text, secrets):
     assert found == secrets
 
 
+@pytest.mark.parametrize("text, secrets", [
+    ("aws_key_auth = wJalrXUtnFEMI/K7MDENG+bPxRfiCY", ["wJalrXUtnFEMI/K7MDENG+bPxRfiCY"]),
+    ("access_key = wJalrXUtn+/K7MDENG+9bPxRfiCY=", ["wJalrXUtn+/K7MDENG+9bPxRfiCY="]),
+    ("access_key: wJalrXUtnK7MDENG9bPxRfiC+", ["wJalrXUtnK7MDENG9bPxRfiC+"]),
+    ('db_pwd: str = "s3cr3tValue99"', ["s3cr3tValue99"]), ("db_pwd: Optional[str]='s3cr3tValue99'", ["s3cr3tValue99"]),
+    ('const accessKey: string | null = "Zx81kfPq02Lm";', ["Zx81kfPq02Lm"]),
+    ("static PRIVATE_KEY: &'static str = \"Zx81kfPq02Lm\";", ["Zx81kfPq02Lm"]),
+    ('env["DB_PWD"] = "s3cr3tValue99"', ["s3cr3tValue99"]), ("$c['db']['pwd'] = 's3cr3tValue99'", ["s3cr3tValue99"]),
+    ('a = "kD93nf0a"\nb = "Pq2LmZ71"\nprivate_key = a+b', ["kD93nf0a", "Pq2LmZ71"]),
+    ('a = "kD93nf0a"\nprivate_key = a+"Pq2LmZ71"+a', ["kD93nf0a", "Pq2LmZ71"]),
+    ("db_pwd: abc123DEF=xyz789", ["abc123DEF=xyz789"]), ("db_pwd: abc123DEFxyz789=", ["abc123DEFxyz789="]),
+])
+def test_common_assignments(text, secrets):
+    assert [text[s["start"]:s["end"]] for s in secret_scan.scan(text) if s["kind"] == "literal"] == secrets
+
+
+def test_types_take_linear_time():
+    for text in ("key: a[" * 40_000, "key: a<b[" * 40_000 + "=", "a: b | " * 40_000, "a:b::" * 60_000, "key=" + "a+" * 150_000 + '"'):
+        assert len(secret_scan.scan(text)) < 100_000
+
+
 def test_prose_is_left_alone(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     extra = [d["doc_id"] for d in docs if any(s["kind"] == "literal" for s in secret_scan.scan(d["text"]))]
