@@ -45,10 +45,10 @@ _TYPED = (rf"[?!]?[ \t]*+:[ \t]*+(?:&(?:'\w++\x20)?(?:mut\x20)?)?{_TYPE}(?:[ \t]
 #: ``x: v``, ``"x": "v"``, ``x := v``, ``x => v``, ``export X=v``, ``x: str = "v"``, ``env["x"] = "v"``. A name
 #: starts where no name goes on, and takes all it can, so every character is looked at a bounded number of times.
 STATEMENT = re.compile(
-    r"""(?<![\w.\-])["']?(?P<name>[A-Za-z_][\w.\-]{0,255}+)(?:["'](?:[ \t]*+\])?)?(?:""" + _TYPED + r""")?"""
-    r"""[ \t]{0,16}+(?:=>|:=|=(?!=)|:(?!//))[ \t]{0,16}+"""
+    r"""(?<![\w.\-])["']?(?P<name>[A-Za-z_][\w.\-]*+)(?:["'](?:[ \t]*+\])?)?(?:""" + _TYPED + r""")?"""
+    r"""[ \t]*+(?:=>|:=|=(?!=)|:(?!//))[ \t]*+"""
     r"""(?P<value>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[^\s,;"'(){}\[\]<>]++)""")
-MORE = re.compile(r"""[ \t]{0,16}+\+[ \t]{0,16}+("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z_][\w.]{0,255}+)""")
+MORE = re.compile(r"""[ \t]*+\+[ \t]*+("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z_][\w.]*+)""")
 OPERAND = re.compile(r"[^+]++")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 THRESHOLD = 0.6
@@ -75,23 +75,56 @@ def sensitivity(name: str) -> float:
     return best
 
 
+class Value:
+    """What a name was given: literals, or the values that it is put together of, by reference.
+
+    Character counts, the length and the ends are carried along, so a value that stands for many
+    literals is scored without putting its text together.
+    """
+
+    __slots__ = ("parts", "counts", "size", "head", "tail", "best")
+
+    def __init__(self, parts: list[Literal | Value]) -> None:
+        self.parts, self.best = parts, 0.0
+        self.counts: dict[str, float] = {}
+        self.size, self.head, self.tail = 0, "", ""
+        for part in parts:
+            if isinstance(part, Literal):
+                counts, size, head, tail = Counter(part.text), len(part.text), part.text[:64], part.text[-64:]
+            else:
+                counts, size, head, tail = part.counts, part.size, part.head, part.tail
+            for c, n in counts.items():
+                self.counts[c] = self.counts.get(c, 0.0) + n
+            if len(self.head) < 64:
+                self.head = (self.head + head)[:64]
+            self.size, self.tail = self.size + size, (self.tail + tail)[-64:]
+        if self.size > 1 << 40:  # of names that double again and again; only shares matter
+            self.counts, self.size = {c: n / self.size * (1 << 20) for c, n in self.counts.items()}, 1 << 20
+
+    def score(self) -> float:
+        """How much the whole looks like a secret: long, varied, and no placeholder."""
+        # Placeholders are told by their ends and by which characters stand between.
+        known = self.head if self.size <= 64 else self.head + "".join(self.counts) + self.tail
+        if self.size < 6 or PLACEHOLDER.match(known) or any(c.isspace() for c in self.counts):
+            return 0.0
+        total = sum(self.counts.values())
+        entropy = -sum(n / total * math.log2(n / total) for n in self.counts.values())
+        kinds = sum(any(map(test, self.counts)) for test in (str.islower, str.isupper, str.isdigit)) + any(
+            not c.isalnum() for c in self.counts)
+        return min(1.0, 0.25 + 0.5 * min(1.0, entropy / 3.5) + 0.1 * (kinds - 1) + 0.15 * (self.size >= 12))
+
+
 def literal_score(text: str) -> float:
-    """How much a literal looks like a secret: long, varied, and no placeholder."""
-    if len(text) < 6 or PLACEHOLDER.match(text) or any(c.isspace() for c in text):
-        return 0.0
-    head = text if len(text) <= 4096 else text[:2048] + text[-2048:]
-    n = len(head)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(head).values())
-    kinds = sum(any(test(c) for c in head) for test in (str.islower, str.isupper, str.isdigit)) + (not head.isalnum())
-    return min(1.0, 0.25 + 0.5 * min(1.0, entropy / 3.5) + 0.1 * (kinds - 1) + 0.15 * (len(text) >= 12))
+    """How much a literal looks like a secret."""
+    return Value([Literal(text, 0, len(text))]).score()
 
 
-def assigned(text: str) -> Iterator[tuple[str, list[Literal]]]:
-    """Every assignment of a text, in order, as a name and the literals its value is made of.
+def assigned(text: str) -> Iterator[tuple[str, Value]]:
+    """Every assignment of a text, in order, as a name and the value that it is given.
 
     Names that were given literals before stand for them, so constants propagate.
     """
-    known: dict[str, list[Literal]] = {}
+    known: dict[str, Value] = {}
     for found in STATEMENT.finditer(text):
         pieces, at = [found.span("value")], found.end()
         while (more := MORE.match(text, at)) is not None:
@@ -111,36 +144,41 @@ def assigned(text: str) -> Iterator[tuple[str, list[Literal]]]:
                 if all(of):
                     pieces[:1] = names
                 elif any(of):  # either may be meant
-                    yield found["name"], [p for (a, b), k in zip(names, of) if k for p in known[text[a:b]]]
-        literals: list[Literal] = []
+                    yield found["name"], Value([known[text[a:b]] for (a, b), k in zip(names, of) if k])
+        parts: list[Literal | Value] = []
         for start, end in pieces:
             raw = text[start:end]
             if raw[0] in "\"'":
-                literals.append(Literal(raw[1:-1], start + 1, end - 1))
+                parts.append(Literal(raw[1:-1], start + 1, end - 1))
             elif raw in known:
-                literals += known[raw]
+                parts.append(known[raw])
             elif len(pieces) == 1:
-                literals.append(Literal(raw, start, end))
+                parts.append(Literal(raw, start, end))
         name = found["name"]
-        if literals:
-            known[name] = literals[:16]
-            yield name, literals
+        if parts:
+            known[name] = Value(parts)
+            yield name, known[name]
 
 
 def added_spans(text: str) -> Iterator[tuple[int, int, float]]:
     """Literals that reach a sensitive name, with name and literal scored together."""
-    seen: dict[tuple[int, int], float] = {}
-    for name, literals in assigned(text):
+    values: dict[int, Value] = {}
+    for name, value in assigned(text):
+        values[id(value)] = value
         weight = sensitivity(name)
-        if not weight:
-            continue
-        whole = "".join(part.text for part in literals)
-        score = round(weight * literal_score(whole), 4)
-        if score >= THRESHOLD:
-            for part in literals:
-                if part.start < part.end:
-                    key = (part.start, part.end)
-                    seen[key] = max(seen.get(key, 0.0), score)
+        if weight:
+            score = round(weight * value.score(), 4)
+            if score >= THRESHOLD:
+                value.best = max(value.best, score)
+    # From the last value to the first each hands its score to its parts, so all are met once.
+    seen: dict[tuple[int, int], float] = {}
+    for value in reversed(values.values()):
+        for part in value.parts if value.best else ():
+            if isinstance(part, Value):
+                part.best = max(part.best, value.best)
+            elif part.start < part.end:
+                key = (part.start, part.end)
+                seen[key] = max(seen.get(key, 0.0), value.best)
     for (start, end), score in seen.items():
         yield start, end, score
 

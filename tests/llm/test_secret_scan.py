@@ -76,6 +76,31 @@ def test_common_assignments(text, secrets):
     assert [text[s["start"]:s["end"]] for s in secret_scan.scan(text) if s["kind"] == "literal"] == secrets
 
 
+def test_nothing_is_cut():
+    """Aligned columns, long names, constants of many pieces, and long literals between padding."""
+    def found(text):
+        return [text[s["start"]:s["end"]] for s in secret_scan.scan(text) if s["kind"] == "literal"]
+
+    assert found("db_pwd" + " " * 40 + "=" + "\t" * 40 + '"s3cr3tValue99"') == ["s3cr3tValue99"]
+    assert found("a" * 400 + '_pwd = "s3cr3tValue99"') == ["s3cr3tValue99"]
+    assert found("x" * 400 + ' = "s3cr3tValue99"\ndb_pwd = ' + "x" * 400) == ["s3cr3tValue99"]
+    pieces = [f"kD9{i}nfZ" for i in range(40)]
+    text = "x = " + " + ".join(f'"{p}"' for p in pieces) + "\ndb_pwd = x"
+    assert found(text) == pieces
+    block = "".join(chr(33 + i * 7 % 90) for i in range(6000)).replace('"', "a").replace("\\", "b").replace("'", "c")
+    long = "-" * 3000 + block + "-" * 3000
+    assert found(f'db_pwd = "{long}"') == [long]
+    assert found(f'db_pwd = "{"x" * 9000}"') == []
+
+
+def test_propagation_takes_linear_time():
+    chain = 'p0_pwd = "kD93nf0aPq2L"\n' + "".join(f'p{i}_pwd = p{i - 1}_pwd + "Zx{i}"\n' for i in range(1, 20_000))
+    double = 'p0 = "kD93nf0aPq2L"\n' + "".join(f"p{i} = p{i - 1} + p{i - 1}\n" for i in range(1, 5_000)) + "db_pwd = p4999"
+    assert len(secret_scan.scan(chain)) == 20_000 and [s["start"] for s in secret_scan.scan(double)] == [6]
+    for text in ("key" + " " * 300_000, "key =" + " \t" * 150_000, "pwd = 'a'" + " " * 300_000, ("key" + " " * 500) * 600):
+        assert len(secret_scan.scan(text)) < 100
+
+
 def test_types_take_linear_time():
     for text in ("key: a[" * 40_000, "key: a<b[" * 40_000 + "=", "a: b | " * 40_000, "a:b::" * 60_000, "key=" + "a+" * 150_000 + '"'):
         assert len(secret_scan.scan(text)) < 100_000
