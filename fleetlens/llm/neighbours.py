@@ -89,8 +89,9 @@ def _search(group: pa.Table, k: int, least: int) -> pa.Table:
     ids = group["vec_id"].to_numpy()
     x, _ = units(matrix(group["vector"]))
     at = np.flatnonzero(~asks)
-    # By id, one row per id: ties then fall to the smaller id, and repeated rows are one.
-    at = at[np.unique(ids[at], return_index=True)[1]]
+    # By id: ties then fall to the smaller id.
+    at = at[np.argsort(ids[at], kind="stable")]
+    several = len(np.unique(ids[at])) < len(at)
     row_ids, rows = ids[at], x[at]
     query_ids, queries = ids[asks], x[asks]
     out_query, out_id, out_score = [], [], []
@@ -98,11 +99,14 @@ def _search(group: pa.Table, k: int, least: int) -> pa.Table:
         for q, near in Forest(rows).candidates(queries, least + 1):
             near = near[row_ids[near] != query_ids[q]]
             rough = rows[near] @ queries[q]
-            if len(near) > k:
+            if len(near) > k and not several:
                 cut = np.partition(rough, len(rough) - k)[len(rough) - k]
                 near = near[rough >= cut - 1e-9]
             score = cosines(rows[near], queries[q][None, :])
-            best = np.lexsort((row_ids[near], -score))[:k]
+            best = np.lexsort((row_ids[near], -score))
+            if several:  # an id counts once, by its nearest vector
+                best = best[np.sort(np.unique(row_ids[near][best], return_index=True)[1])]
+            best = best[:k]
             out_query.append(np.full(len(best), query_ids[q]))
             out_id.append(row_ids[near][best])
             out_score.append(score[best])
@@ -119,13 +123,14 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, candidates: int = CAN
     """The ``k`` nearest rows by cosine for every row of ``rows (vec_id, embedding)`` with ``is_query``.
 
     ``(query_id, rank, vec_id, score)``, nearest first, ties to the smaller id. Rows are cut into shards
-    of bounded size by the hash of their id; each holds a forest of its rows, is visited by blocks of
+    of bounded size by the hash of id and vector; each holds a forest of its rows, is visited by blocks of
     queries, and returns its ``k`` best, of which the best overall are taken. A hot or repeated vector
     is spread over the shards, and tasks hold one shard and one block whatever the table's size.
 
     A query's own id is never its neighbour. Vectors that are null, empty, zero or not finite, and
     rows without an id, take no part; vectors are compared with those of their length. Rows that
-    repeat an id are one row (a query's: its smallest vector). Fewer than ``k`` others: all of
+    repeat id and vector are one row, and are so before they are shuffled. An id with different vectors
+    is found once, by the nearest of them; as a query it is its smallest vector. Fewer than ``k`` others: all of
     them. An empty table gives no rows.
     """
     own = vectors_of(rows).where(F.col("usable") & F.col("vec_id").isNotNull()).select("vec_id", "vector", F.size("vector").alias("dim"))
@@ -134,8 +139,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, candidates: int = CAN
         F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
     shards = max(1, math.ceil(rows.count() / shard_rows))
     blocks = max(1, math.ceil(chosen.count() / query_rows))
-    stored = own.select("dim", "vec_id", "vector", F.lit(False).alias("asks"),
-                        F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"),
+    stored = own.distinct().select("dim", "vec_id", "vector", F.lit(False).alias("asks"),
+                        F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).alias("shard"),
                         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     visiting = asks.select("dim", "vec_id", "vector", F.lit(True).alias("asks"),
                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
@@ -145,7 +150,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, candidates: int = CAN
         return _search(group, k, candidates)
 
     found = stored.unionByName(visiting).groupBy("dim", "shard", "block").applyInArrow(
-        search, "query_id long, vec_id long, score double")
+        search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -105,6 +105,23 @@ def test_forest_ascends_from_the_longest_prefix():
         assert near.tolist() == np.flatnonzero(shared >= level).tolist()
 
 
+def test_an_id_with_different_vectors_is_found_by_the_nearest(spark):
+    rng = np.random.default_rng(3)
+    rows = [(7, v.tolist()) for v in np.eye(8)] * 40 + [(i, v.tolist()) for i, v in zip(range(200, 230), rng.normal(size=(30, 8)))]
+    asks = [(1000 + i, (np.eye(8)[i] + 0.01).tolist()) for i in range(8)]
+    table = spark.createDataFrame(rows + asks, "vec_id long, embedding array<double>").repartition(5)
+    got = defaultdict(list)
+    for r in neighbours.nearest(table, F.col("vec_id") >= 1000, k=5, shard_rows=100).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for i, (q, v) in enumerate(asks):
+        best = {}
+        for j, x in rows + asks:
+            if j != q:
+                best[j] = max(best.get(j, -1), cosine(v, x))
+        want = sorted(best, key=lambda j: (-best[j], j))[:5]
+        assert [j for _, j, _ in sorted(got[q])] == want and want[0] == 7
+
+
 def test_odd_vectors_search(odd):
     rows = neighbours.nearest(odd, F.lit(True), k=3).collect()
     found = defaultdict(list)
