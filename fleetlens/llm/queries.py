@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import embeddedup, langid, linededup, mixing, neighbours, packing, secret_scan, sharding, simhash, warc
+from fleetlens.llm import embeddedup, gnat, langid, linededup, mixing, neighbours, packing, secret_scan, sharding, simhash, warc
 from fleetlens.llm.common import small_batches, table
-from fleetlens.session import prepare
+from fleetlens.session import prepare, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,3 +98,45 @@ def warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_round_trip(table(spark, sf_dir, "pages"))
     return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
                           "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def _codes_sql() -> str:
+    """Six rounds over ``x`` (vector, part, position, number) and codebooks ``b0`` to ``b6``, spelled out."""
+    steps = ["""
+    kept AS MATERIALIZED (
+      SELECT vec_id, label, [floor(4096 * c::DOUBLE)::BIGINT for c in embedding] AS v, len(embedding) // 8 AS width
+      FROM embeddings WHERE embedding IS NOT NULL AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0),
+    x AS MATERIALIZED (
+      SELECT vec_id, (i - 1) // width AS p, (i - 1) % width AS i, c
+      FROM (SELECT vec_id, width, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM kept)),
+    b0 AS MATERIALIZED (
+      SELECT p, e, i, c AS y FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept) USING (vec_id)
+      WHERE e < 16)"""]
+    for r in range(7):
+        steps.append(f"""
+    d{r} AS MATERIALIZED (
+      SELECT vec_id, p, e, sum((c - y) * (c - y))::BIGINT AS d FROM x JOIN b{r} USING (p, i) GROUP BY vec_id, p, e),
+    a{r} AS MATERIALIZED (SELECT vec_id, p, arg_min(e, d * 16 + e) AS e, min(d) AS d FROM d{r} GROUP BY vec_id, p)""")
+        if r < 6:
+            steps.append(f"""
+    b{r + 1} AS MATERIALIZED (
+      SELECT p, e, i, coalesce(CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END, y)::BIGINT AS y
+      FROM b{r} LEFT JOIN (SELECT p, e, i, sum(c)::BIGINT AS s, count(*) AS n FROM x JOIN a{r} USING (vec_id, p) GROUP BY p, e, i)
+        USING (p, e, i))""")
+    return "WITH" + ",".join(steps) + """,
+    coded AS (
+      SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY vec_id)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+      (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY p, e, i)) FROM b6) AS codebooks_sha256
+    FROM coded JOIN kept USING (vec_id)"""
+
+
+@query("op11_gnat_codes", sql=_codes_sql())
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = gnat.learn(vectors)
+    coded = gnat.encode(vectors, books).select(
+        F.col("row.vec_id").cast("long").alias("vec_id"), F.col("row.label").alias("label"), "code", "error")
+    told = gnat.with_label_error(written(coded, "codes"))
+    return told.select("vec_id", "code", "error", "label_error",
+                       F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
