@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import embeddedup, gnat, langid, linededup, mixing, neighbours, packing, secret_scan, sharding, simhash, warc
+from fleetlens.llm import (
+    embeddedup, gnat, langid, linededup, mixing, neighbours, packing, reversed_search, secret_scan, sharding, simhash, warc)
 from fleetlens.llm.common import small_batches, table
 from fleetlens.session import prepare, written
 
@@ -140,3 +141,32 @@ def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = gnat.with_label_error(written(coded, "codes"))
     return told.select("vec_id", "code", "error", "label_error",
                        F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+@query("op12_reversed_search", sql=r"""
+    WITH cut AS (
+      SELECT doc_id, row_number() OVER () AS r,
+        regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+      FROM documents),
+    held AS MATERIALIZED (SELECT r, doc_id, terms, len(terms) AS n FROM cut WHERE len(terms) > 0),
+    total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM held),
+    tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM held) GROUP BY r, term),
+    w AS (
+      SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+    asked AS (
+      SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+      GROUP BY item_id, term),
+    m AS (SELECT r, doc_id, 75 + (25 * n * docs) // words AS m FROM held, total),
+    sums AS (
+      SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+    best AS (
+      SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+      FROM sums WHERE score > 0)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM best WHERE rank <= 20""")
+def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reversed_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
