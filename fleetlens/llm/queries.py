@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import (
-    embeddedup, gnat, langid, linededup, mixing, neighbours, packing, reversed_search, secret_scan, sharding, simhash, warc)
+    embeddedup, gnat, langid, linededup, mixing, neighbours, packing, pii, reversed_search, secret_scan, sharding, simhash, warc)
 from fleetlens.llm.common import small_batches, table
 from fleetlens.session import prepare, written
 
@@ -170,3 +170,15 @@ def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT item_id, rank::INT AS rank, doc_id, score FROM best WHERE rank <= 20""")
 def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reversed_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_char_tagger_pii")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan_documents(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["by"] == "pattern")
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"),
+                        pii.listed(F.col("spans")).alias("spans"))
