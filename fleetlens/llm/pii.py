@@ -184,12 +184,13 @@ def lessons(windows: list[tuple[str, list[Span]]], seed: int = 3) -> tuple[np.nd
 def _sampled(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """The windows of a task with the smallest hashes: of each kind ``most``, and so many without a span."""
     few: list[dict[int, tuple[str, str]]] = [{} for _ in range(len(KINDS) + 1)]
-    limit = [1 << 64] * len(few)
+    limit = [1 << 63] * len(few)
 
     def offer(kind: int, text: str, spans: list[Span]) -> None:
-        h = xxhash.xxh64_intdigest(text)
+        h = xxhash.xxh64_intdigest(text) >> 1  # the same order as a signed long
         if h < limit[kind]:
-            few[kind][h] = (text, ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans))
+            row = (text, ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans))
+            few[kind][h] = min(few[kind].get(h, row), row)
             if len(few[kind]) >= 2 * most:
                 few[kind] = dict(sorted(few[kind].items())[:most])
                 limit[kind] = max(few[kind])
@@ -219,7 +220,7 @@ def _sampled(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Record
     if rows:
         kind, h, text, spans = zip(*rows)
         yield pa.RecordBatch.from_arrays([
-            pa.array(kind, pa.int32()), pa.array(np.array(h, np.uint64).astype(np.int64)), pa.array(text, pa.string()),
+            pa.array(kind, pa.int32()), pa.array(h, pa.int64()), pa.array(text, pa.string()),
             pa.array(spans, pa.string())], ["kind", "h", "text", "spans"])
 
 
