@@ -51,3 +51,25 @@ def earliest(value: ColumnLike, *order: str, where: Column | None = None) -> Col
     if where is not None:
         key = F.when(where, key)
     return F.min_by(col(value), key)
+
+
+def finite(value: ColumnLike) -> Column:
+    """Whether a number is there, and neither NaN nor infinite."""
+    v = col(value).cast("double")
+    return F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
+
+
+def sortable(value: ColumnLike) -> Column:
+    """A double as a whole number of the same order: exponent, then fraction. Null for null and NaN.
+
+    Unlike a cast to a decimal it keeps every bit, and unlike a struct it can stand in a hash-aggregation buffer
+    together with a tie-break. Values below the smallest normal double count as 0.
+    """
+    v = col(value).cast("double")
+    size = F.abs(v)
+    near = F.floor(F.log2(size)).cast("int")  # may be one off next to a power of two
+    exponent = near + F.when(F.pow(F.lit(2.0), near) > size, -1).when(F.pow(F.lit(2.0), near + 1) <= size, 1).otherwise(0)
+    fraction = (size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 52)
+    bits = (exponent + 1023).cast("bigint") * F.lit(1 << 52) + fraction.cast("bigint")
+    place = F.when(size == float("inf"), F.lit(2047 << 52)).when(size < 2.2250738585072014e-308, F.lit(0).cast("bigint")).otherwise(bits)
+    return F.when(F.isnan(v) | v.isNull(), None).otherwise(F.when(v < 0, -place).otherwise(place))

@@ -19,6 +19,9 @@ Only times and periods pass through these steps. The alerts join back by time at
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -115,10 +118,12 @@ def cooldown(
     """Alerts left after the cooldown, per drone and alert type.
 
     An alert is emitted if strictly more than its own severity's period has passed since the
-    last emitted alert. Before the first emission that time is 0. The alerts are written out first,
-    since three steps read them and each would otherwise score the telemetry again.
+    last emitted alert. Before the first emission that time is 0. Alerts of no drone or no type are a key of
+    their own. An alert without a time cannot be judged: it goes out, and silences nothing. The alerts are
+    written out first, since three steps read them and each would otherwise score the telemetry again.
     """
-    alerts = written(alerts, "alerts")
+    written_out = written(alerts, "alerts")
+    alerts = written_out.filter(F.col("us").isNotNull())
     period = F.when(F.col("severity") == "critical", int(critical_s * 1e6)).otherwise(int(warning_s * 1e6)).cast("bigint")
     # rows of one instant collapse to the easiest of them to emit, before any shuffle
     instants = alerts.groupBy(*KEY, "us").agg(F.min(period).alias("period")).select(
@@ -143,7 +148,10 @@ def cooldown(
         "drone_id string, alert_type string, us bigint, last_us bigint",
     )
     names = [c for c in alerts.columns if c not in (*KEY, "us")]
-    at_instant = alerts.join(emitted, [*KEY, "us"]).filter(F.col("us") - F.col("last_us") > period)
+    passed = emitted.select(*[F.col(c).alias(f"_{c}") for c in (*KEY, "us")], "last_us")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*KEY, "us")))
+    at_instant = alerts.join(passed, same).filter(F.col("us") - F.col("last_us") > period)
     # several alerts of one type at one instant: only the first goes out
     first = at_instant.groupBy(*KEY, "us").agg(F.min_by(F.struct(*names), "event_id").alias("alert"))
-    return first.select(*KEY, "us", "alert.*").select(alerts.columns)
+    cooled = first.select(*KEY, "us", "alert.*").select(alerts.columns)
+    return cooled.unionByName(written_out.filter(F.col("us").isNull()))

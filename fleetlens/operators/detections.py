@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions.boxes import area, dead_zone
+from fleetlens.functions.columns import finite, sortable
 from fleetlens.operators.grouped import Group, map_groups
 from fleetlens.operators.ordered import DEFAULT_SLICE_US, with_history
 from fleetlens.session import written
@@ -30,6 +34,16 @@ def of_class(df: DataFrame, class_name: str) -> DataFrame:
     return df.filter(F.col("class_name") == class_name)
 
 
+def proper() -> Column:
+    """Whether a box has four finite corners. Records with fewer numbers give boxes that have not."""
+    return reduce(and_, (finite(c) for c in BOX))
+
+
+def malformed(dets: DataFrame) -> DataFrame:
+    """Boxes that cannot be placed or ranked: a corner or the confidence is absent, NaN or infinite."""
+    return dets.filter(~(proper() & finite("conf")))
+
+
 def tiles(frames: DataFrame) -> DataFrame:
     """Tile grid of every frame: ``tile_rows`` x ``tile_cols``, grown by ``overlap`` and clamped.
 
@@ -66,11 +80,12 @@ def nms(dets: DataFrame, frame: list[str], limit: float = IOU_LIMIT, extra: list
     Better means higher ``conf``, then lower ``det_idx``. An undefined overlap (two empty boxes)
     suppresses as well. Exact copies of a box collapse to the best of them in a partial
     aggregation before frames come together. One plan for frames of any size: rows are dealt out by
-    frame and streamed, and a frame is the group in memory, at some tens of bytes a box. Columns must be non-null.
+    frame and streamed, and a frame is the group in memory, at some tens of bytes a box.
+    :func:`malformed` boxes neither stay nor suppress others; keys and ``det_idx`` must be non-null.
     """
     rest = ["det_id", *(extra or [])]
     best = F.min(F.struct((-F.col("conf")).alias("neg"), "det_idx", *rest)).alias("best")
-    distinct = dets.groupBy(*frame, *BOX).agg(best).select(*frame, "best.*", *BOX)
+    distinct = dets.filter(proper() & finite("conf")).groupBy(*frame, *BOX).agg(best).select(*frame, "best.*", *BOX)
 
     def keep(group: Group) -> Group:
         rows = np.lexsort((group["det_idx"], group["neg"]))
@@ -110,8 +125,9 @@ def _greedy(boxes: np.ndarray, limit: float) -> np.ndarray:
 
 
 def overlapping(dets: DataFrame, frame: list[str], limit: float = IOU_LIMIT) -> DataFrame:
-    """Per detection: how many other boxes of its frame overlap it by more than ``limit``; nothing is paired up."""
-    slim = dets.select(*frame, "det_id", *BOX)
+    """Per detection: how many other boxes of its frame overlap it by more than ``limit``; nothing is paired up.
+    Boxes without four finite corners are left out."""
+    slim = dets.filter(proper()).select(*frame, "det_id", *BOX)
 
     def count(group: Group) -> Group:
         boxes = _corners(group)
@@ -134,15 +150,14 @@ def formatted(df: DataFrame) -> DataFrame:
 
 
 def largest(dets: DataFrame, keys: list[str]) -> DataFrame:
-    """The box with the largest area per frame, the first one on ties."""
+    """The box with the largest area per frame, the first one on ties. Malformed boxes do not count."""
     return dets.groupBy(*keys).agg(*_pick(F.lit(True), ""))
 
 
 def _pick(where: Column, prefix: str) -> list[Column]:
-    box = F.struct(*BOX)
-    # One decimal orders by area, twelve places of it kept, and then by index; a struct would force a sort.
-    ranked = area(box).cast("decimal(24,12)") * F.lit(10**9).cast("decimal(10,0)")
-    key = F.when(where, ranked - F.col("det_idx"))
+    # One decimal orders by area, to the last bit, and then by index; a struct would force a sort.
+    ranked = sortable(area(F.struct(*BOX))).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")
+    key = F.when(where & proper(), ranked - F.col("det_idx"))
     return [F.max_by(c, key).alias(f"{prefix}{c}") for c in ["det_id", "track_id", "conf", *BOX]]
 
 

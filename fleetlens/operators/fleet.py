@@ -172,13 +172,16 @@ def exact_quantiles(
     from the band totals it is known which bands hold the wanted ranks, and only those are split again,
     into ever narrower bands. The last are so narrow that a band has some thousands of different doubles
     at most, whatever the number of rows: only those are ordered.
+
+    NaN counts as no value, like null. Infinite values are the smallest and largest there are; between one of them
+    and a finite value the quantile is infinite, and between opposite ones it is the upper.
     """
     keys = list(keys) or ["_all"]
     if keys == ["_all"]:
         df = df.withColumn("_all", F.lit(0))
     v = F.col(value)
     near = (
-        df.filter(v.isNotNull()).groupBy(*keys, v.cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        df.filter(v.isNotNull() & ~F.isnan(v.cast("double"))).groupBy(*keys, v.cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
         .withColumnRenamed("_v", value).withColumn("_below", F.lit(0).cast("bigint"))
     )
     totals = near.groupBy(*keys).agg(F.sum("_n").alias("_total"))
@@ -186,7 +189,8 @@ def exact_quantiles(
     parts = list(keys)
     for level, scale in enumerate(BAND_SCALES):
         band = f"_band{level}"
-        depth = F.floor(F.log(F.abs(v)) * scale).cast("bigint") + int(1000 * scale)
+        # Logarithms of doubles lie between -745 and 710; what is infinite gets the band beyond.
+        depth = F.floor(F.least(F.log(F.abs(v)), F.lit(711.0)) * scale).cast("bigint") + int(1000 * scale)
         banded = near.withColumn(band, F.when(v > 0, depth).when(v < 0, -depth).otherwise(0))
         earlier = Window.partitionBy(*parts).orderBy(band).rowsBetween(Window.unboundedPreceding, -1)
         bands = banded.groupBy(*parts, band).agg(F.sum("_n").alias("_size"), F.min("_below").alias("_base")).withColumn(
@@ -205,7 +209,9 @@ def exact_quantiles(
 
     def interpolated(place: Column) -> Column:
         low, high = at_rank(F.floor(place)), at_rank(F.ceil(place))
-        return low + (high - low) * F.first(place - F.floor(place))
+        share = F.first(place - F.floor(place))
+        return F.when((low == high) | (share == 0), low).when(F.abs(high - low) < float("inf"), low + (high - low) * share).when(
+            F.abs(high) == float("inf"), high).when(F.abs(low) == float("inf"), low).otherwise(low * (1 - share) + high * share)
 
     found = ranked.groupBy(*keys).agg(*[interpolated(p).alias(_quantile_name(q)) for q, p in places.items()])
     return found.drop("_all")

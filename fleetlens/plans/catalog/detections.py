@@ -80,8 +80,10 @@ def overlapping_boxes(spark, sf_dir):
     return D.overlapping(fixtures.detections(spark, sf_dir), FRAME).select("det_id", "n_overlapping")
 
 
-@query("suppressed_boxes", f"""WITH RECURSIVE {DETECTIONS},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY frame_no ORDER BY conf DESC, det_idx) AS rn FROM det),
+def suppressed_sql(where: str = "true") -> str:
+    """Boxes one by one, best first; each is kept unless it overlaps one that was kept."""
+    return f"""WITH RECURSIVE {DETECTIONS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY frame_no ORDER BY conf DESC, det_idx) AS rn FROM det WHERE {where}),
 walk(frame_no, rn, kept) AS (
   SELECT frame_no, rn, [{{'id': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] FROM ranked WHERE rn = 1
   UNION ALL
@@ -91,11 +93,38 @@ walk(frame_no, rn, kept) AS (
     ELSE list_append(w.kept, {{'id': r.det_id, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}}) END
   FROM walk w JOIN ranked r ON r.frame_no = w.frame_no AND r.rn = w.rn + 1),
 done AS (SELECT frame_no, arg_max(kept, rn) AS kept FROM walk GROUP BY frame_no)
-SELECT unnest(kept).id AS det_id, frame_no FROM done""")
+SELECT unnest(kept).id AS det_id, frame_no FROM done"""
+
+
+@query("suppressed_boxes", suppressed_sql())
 def suppressed_boxes(spark, sf_dir):
     return D.nms(fixtures.detections(spark, sf_dir), FRAME).select("det_id", "frame_no")
 
 
+def with_malformed(d):
+    """Some boxes lose a corner, some have one that is no number, and those that lose one are the surest of all."""
+    eid = F.col("det_id")
+    return d.withColumns({
+        "x2": F.when(eid % 13 != 0, F.col("x2").cast("double")),
+        "y1": F.when(eid % 17 == 0, F.lit(float("nan"))).when(eid % 19 == 0, F.lit(float("-inf"))).otherwise(F.col("y1").cast("double")),
+        "conf": F.when(eid % 13 == 0, 0.9999).when(eid % 23 != 0, F.col("conf")),
+    })
+
+
+WELL_FORMED = "det_id % 13 <> 0 AND det_id % 17 <> 0 AND det_id % 19 <> 0 AND det_id % 23 <> 0"
+
+
+@query("suppressed_boxes_malformed", suppressed_sql(WELL_FORMED))
+def suppressed_boxes_malformed(spark, sf_dir):
+    return D.nms(with_malformed(fixtures.detections(spark, sf_dir)), FRAME).select("det_id", "frame_no")
+
+
+@query("malformed_boxes", f"WITH {DETECTIONS} SELECT det_id, frame_no FROM det WHERE NOT ({WELL_FORMED})".replace(
+    "det_id % 23 <> 0", "(det_id % 23 <> 0 OR det_id % 13 = 0)"))
+def malformed_boxes(spark, sf_dir):
+    return D.malformed(with_malformed(fixtures.detections(spark, sf_dir))).select("det_id", "frame_no")
+
+
 @query("formatted_detections", f"""WITH {FRAMES}
 SELECT det_id, coalesce(class_name, d.cls_id::VARCHAR) AS class_name, R3(conf) AS confidence,
   concat_ws(',', x1::DOUBLE, y1::DOUBLE, x2::DOUBLE, y2::DOUBLE) AS bbox, R1(1e0 / latency_s) AS fps, R4(latency_s) AS latency_s
@@ -132,6 +161,24 @@ def largest_box(spark, sf_dir):
     return D.largest(d, FRAME).select("frame_no", "det_id")
 
 
+# Boxes as shares of the frame, some of whose areas differ in the last places only, among very large ones.
+NORMALISED = FRACTIONAL + """,
+sized AS (SELECT *, CASE WHEN det_id % 50 = 0 THEN 16777216e0 ELSE 390625e-8 END AS k FROM fdet),
+ndet AS (SELECT * REPLACE (x1 * k AS x1, y1 * k AS y1, (40e0 + x1) * k + (det_id % 7) * 1e-12 AS x2, (40e0 + y1) * k AS y2) FROM sized)"""
+
+
+@query("largest_box_normalised", f"""WITH {NORMALISED}
+SELECT frame_no, det_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY frame_no ORDER BY (x2 - x1) * (y2 - y1) DESC, det_idx) AS rn FROM ndet) WHERE rn = 1""")
+def largest_box_normalised(spark, sf_dir):
+    d = fractional(fixtures.detections(spark, sf_dir)).withColumns({
+        "track_id": F.col("det_idx"), "k": F.when(F.col("det_id") % 50 == 0, 16777216.0).otherwise(0.00390625)})
+    boxes = d.withColumns({
+        "x2": (F.lit(40.0) + F.col("x1")) * F.col("k") + (F.col("det_id") % 7) * F.lit(1e-12), "y2": (F.lit(40.0) + F.col("y1")) * F.col("k"),
+        "x1": F.col("x1") * F.col("k"), "y1": F.col("y1") * F.col("k")})
+    return D.largest(boxes, FRAME).select("frame_no", "det_id")
+
+
 @query("target_geometry", f"""WITH {FRACTIONAL},
 det AS (SELECT det_id, trunc(x1)::BIGINT AS x1, trunc(y1)::BIGINT AS y1, trunc(x2)::BIGINT AS x2, trunc(y2)::BIGINT AS y2 FROM fdet)
 SELECT det_id, (x1 + x2) // 2 AS cx, (y1 + y2) // 2 AS cy, (x2 - x1) * (y2 - y1) AS area,

@@ -96,6 +96,29 @@ def latency_quantiles(spark, sf_dir):
     return q.select("speed_mode", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")])
 
 
+def _between(q: float, name: str) -> str:
+    low, high = (f"max(CASE WHEN rn = {way}({q} * (n - 1)) THEN v END)" for way in ("floor", "ceil"))
+    share = f"max({q} * (n - 1) - floor({q} * (n - 1)))"
+    return (f"CASE WHEN ({low} = {high} OR {share} = 0) AND isfinite({low}) THEN R4({low}) WHEN {low} = {high} OR {share} = 0 THEN {low} "
+            f"WHEN isinf({high}) THEN {high} WHEN isinf({low}) THEN {low} ELSE R4({low} + ({high} - {low}) * {share}) END AS {name}")
+
+
+@query("latency_quantiles_not_finite", f"""WITH {FRAMES},
+odd AS (SELECT speed_mode, CASE frame_no % 25 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE WHEN 2 THEN 'nan'::DOUBLE WHEN 3 THEN NULL
+  ELSE latency_s END AS v FROM frame),
+ranked AS (SELECT speed_mode, v, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY speed_mode) AS n
+  FROM odd WHERE NOT isnan(v) WINDOW w AS (PARTITION BY speed_mode ORDER BY v)),
+found AS (SELECT speed_mode, {_between(0.02, "p2")}, {_between(0.5, "p50")}, {_between(0.97, "p97")} FROM ranked GROUP BY speed_mode)
+SELECT speed_mode, p2, p50, p97 FROM found""")
+def latency_quantiles_not_finite(spark, sf_dir):
+    part = F.col("frame_no") % 25
+    odd = F.when(part == 0, F.lit(float("inf"))).when(part == 1, F.lit(float("-inf"))).when(part == 2, F.lit(float("nan"))).when(
+        part != 3, F.col("latency_s"))
+    frames = fixtures.frames(spark, sf_dir).withColumn("latency_s", odd)
+    q = fleet.exact_quantiles(frames, "latency_s", ["speed_mode"], at=(0.02, 0.5, 0.97))
+    return q.select("speed_mode", *[F.round(c, 4).alias(c) for c in ("p2", "p50", "p97")])
+
+
 @query("latency_quantiles_sketch", f"""WITH {FRAMES}
 SELECT speed_mode, R4(quantile_disc(latency_s, 0.5)) AS p50, R4(quantile_disc(latency_s, 0.95)) AS p95,
   R4(quantile_disc(latency_s, 0.99)) AS p99 FROM frame GROUP BY speed_mode""")

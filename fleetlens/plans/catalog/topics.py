@@ -241,12 +241,12 @@ def decoded_inference(spark, sf_dir):
 
 
 @query("detection_table", f"""WITH {DETECTIONS}
-SELECT drone_id, us, det_idx, det_id AS track_id, class_name, R3(conf) AS conf, x1::DOUBLE AS x1, y2::DOUBLE AS y2
-FROM det JOIN {CLASSES} USING (cls_id)""")
+SELECT drone_id, us, det_idx, det_id AS track_id, class_name, R3(conf) AS conf, x1::DOUBLE AS x1, y1::DOUBLE AS y1,
+  x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM det JOIN {CLASSES} USING (cls_id)""")
 def detection_table(spark, sf_dir):
     good, _ = decode.decode_inference(inference_records(spark, sf_dir).select("value"))
     return decode.detection_table(good).select("drone_id", "us", "det_idx", "track_id", "class_name",
-                                               F.round("conf", 3).alias("conf"), "x1", "y2")
+                                               F.round("conf", 3).alias("conf"), "x1", "y1", "x2", "y2")
 
 
 @query("detection_counts", f"WITH {DETECTIONS} SELECT drone_id, class_name, count(*) AS n FROM det JOIN {CLASSES} USING (cls_id) GROUP BY drone_id, class_name")

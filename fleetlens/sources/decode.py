@@ -136,7 +136,11 @@ def decode(df: DataFrame, topic: str, value: str = "value", raw: bool = False) -
 
 
 def detection_table(inference: DataFrame) -> DataFrame:
-    """One row per box of decoded inference records."""
+    """One row per box of decoded inference records.
+
+    A box of fewer than four numbers has null corners; ``detections.malformed`` gives such boxes, and suppression
+    and target choice leave them aside.
+    """
     return inference.select(
         "drone_id", "us", "model_name", F.posexplode("detections").alias("det_idx", "d")
     ).select(

@@ -66,3 +66,10 @@ def test_step_function_equals_replay():
             times = emission_times(t, period, last)
             i = int(np.searchsorted(bounds, last, side="right"))
             assert (exits[i] if i < len(exits) else last) == (times[-1] if times else last)
+
+
+def test_alerts_without_a_time_or_a_drone(spark):
+    rows = [("d", "k", 1, 40 * S, "warning"), ("d", "k", 2, None, "warning"), ("d", "k", 3, 41 * S, "warning"), (None, "k", 4, 40 * S, "warning"),
+            (None, "k", 5, 41 * S, "critical"), (None, None, 6, 40 * S, "critical"), (None, "k", 7, None, "warning"), ("d", "k", 8, None, "warning")]
+    assert run(spark, rows) == {1, 2, 4, 6, 7, 8}
+    assert run(spark, [("d", "k", 1, None, "warning")]) == {1} and cooldown(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.operators import detections as D
 
@@ -94,3 +95,41 @@ def test_lock_needs_a_held_target(spark):
     rows.append(track(3, 1.5, 30, idx=0, track_id=1))
     got = {r.frame_no: r.track_id for r in D.follow(spark.createDataFrame(rows, TRACKS), locked_id=2).collect()}
     assert got == {0: 1, 1: 2, 2: 2, 3: 1}
+
+
+def test_sortable_orders_every_double(spark):
+    from fleetlens.functions.columns import finite, sortable
+
+    rng = random.Random(2)
+    values = [0.0, -0.0, 1.0, 0.5, 0.50000005, 2.0**-1000, 2.0**1000, 1.7e308, 4e12, float("inf"), float("-inf"), 3e-308]
+    values += [2.0**k * (1 + d) for k in range(-60, 60, 7) for d in (0.0, 2.0**-52, 1 - 2.0**-52)]
+    values += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-300, 300) for _ in range(500)]
+    values += [-v for v in values] + [np.nextafter(v, 1e308) for v in values if abs(v) < 1e300]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = [(r.v, r.k) for r in df.select("v", sortable("v").alias("k")).collect()]
+    for (a, ka), (b, kb) in zip(sorted(got), sorted(got)[1:]):
+        assert ka < kb if a != b and max(abs(a), abs(b)) > 2.3e-308 else ka <= kb, (a, b)
+    odd = spark.createDataFrame([(None,), (float("nan"),), (1.0,), (float("inf"),)], "v double")
+    assert [tuple(r) for r in odd.select(sortable("v").isNull(), finite("v")).collect()] == [(True, False), (True, False), (False, True), (False, False)]
+
+
+def test_larger_of_nearly_equal_boxes_and_very_large_ones(spark):
+    schema = TRACKS.replace("x1 bigint, y1 bigint, x2 bigint, y2 bigint", "x1 double, y1 double, x2 double, y2 double")
+    def box(frame, idx, w, h):
+        return ("d", frame, 0, idx, frame * 1000 + idx, 1, 0.9, 0.0, 0.0, w, h, "car")
+    rows = [box(1, 0, 0.5, 1.0), box(1, 100, 0.50000005, 1.0), box(2, 0, 5.0, 5.0), box(2, 1, 2e6, 2e6), box(2, 2, 2e6, 2e6), box(3, 0, 3.0, 3.0),
+            box(3, 1, float("nan"), 9.0), box(3, 2, None, 9.0), box(3, 3, float("inf"), 9.0), box(4, 0, None, None)]
+    got = {r.frame_no: r.det_id for r in D.largest(spark.createDataFrame(rows, schema), ["frame_no"]).collect()}
+    assert got == {1: 1100, 2: 2001, 3: 3000, 4: None}
+
+
+def test_a_malformed_box_does_not_empty_its_frame(spark):
+    from fleetlens.sources import decode
+
+    value = """{"drone_id": "d", "timestamp": 1, "detections": [{"track_id": 1, "confidence": 0.99, "bbox": [0, 0, 9]},
+        {"track_id": 2, "confidence": 0.5, "bbox": [0, 0, 9, 9]}, {"track_id": 3, "confidence": 0.4, "bbox": [50, 50, 59, 59]},
+        {"track_id": 4, "bbox": [70, 70, 79, 79]}]}"""
+    good, bad = decode.decode_inference(spark.createDataFrame([(value,)], "value string"))
+    boxes = decode.detection_table(good).withColumn("det_id", F.col("track_id"))
+    assert bad.count() == 0 and {r.det_id for r in D.nms(boxes, ["drone_id", "us"]).collect()} == {2, 3}
+    assert {r.det_id for r in D.malformed(boxes).collect()} == {1, 4}
