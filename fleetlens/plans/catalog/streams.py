@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens import fixtures
+from fleetlens.operators import fleet
+from fleetlens.plans import rules
 from fleetlens.plans.catalog.base import COOLED, EVENTS, SCORED, TELEMETRY, query
 from fleetlens.plans.catalog.health import ALERT_COLUMNS
+from fleetlens.plans.catalog.rules import CONNECTED, SAMPLES, grid_sql, state_sql
 from fleetlens.plans.catalog.topics import DAMAGED_SCORED, GAUGES_WITH_ABSENT, damaged_log, numbered, rounded_gauges
 from fleetlens.plans.catalog.windows import _avg
 from fleetlens.session import shared_dir
 from fleetlens.sources import topics
-from fleetlens.streaming import jobs
+from fleetlens.streaming import alerting, jobs
 
 SLICE_US = 240_000_000
 SLICES = 3
+WATERMARK_US = 5_000_000
 
 
 def telemetry_slices(spark, sf_dir):
@@ -164,3 +168,75 @@ def streamed_sessions(spark, sf_dir):
     s = run_scored_windows(spark, sf_dir, lambda stream: jobs.sessions_stream(stream, gap_s=30), "sessions")
     return s.select("drone_id", "start_us", "end_us", "n", "max_altitude", F.round("duration_s", 4).alias("duration_s"),
                     F.round("battery_used", 4).alias("battery_used"), F.round("distance_m", 2).alias("distance_m"))
+
+
+def with_closing(spark, sf_dir, folder, tie=-1):
+    """One more record, of a drone of its own, that moves the stream's time to the newest record's."""
+    telemetry = fixtures.telemetry(spark, sf_dir)
+    newest = telemetry.agg(F.max("us")).scalar()
+    closing = telemetry.limit(1).withColumns({"us": newest + WATERMARK_US, "drone_id": F.lit("sentinel"), "event_id": F.lit(tie).cast("bigint")})
+    with_time = F.expr(f"timestamp_micros(unix_micros(timestamp'{fixtures.EPOCH} 00:00:00') + us)")
+    closing.withColumn("ts", with_time).select(telemetry.columns).write.mode("append").parquet(folder)
+
+
+def run_silence(spark, sf_dir, make, name):
+    """A job over telemetry that arrives slice by slice, restarted for each, and then only time goes on."""
+    folder, target, checkpoint = (shared_dir(spark, f"{name}-{n}") for n in ("in", "out", "state"))
+    jobs.use_rocksdb(spark)
+
+    def run():
+        stream = spark.readStream.schema(fixtures.telemetry(spark, sf_dir).schema).parquet(folder)
+        # The stream's time is that of the records' own clock.
+        stream = stream.withColumn("ts", F.timestamp_micros("us"))
+        jobs.run_append(make(stream), target, checkpoint, availableNow=True).awaitTermination()
+
+    for part in telemetry_slices(spark, sf_dir):
+        part.write.mode("append").parquet(folder)
+        run()
+    with_closing(spark, sf_dir, folder)
+    run()
+    return target
+
+
+# What a stream has judged when its time has come to the newest record.
+REACHED = "tick <= (SELECT max(us) FROM tele)"
+
+
+def _streamed_rule(name, alert, field, sql, stale_s=None):
+    rule = rules.RULES[alert]
+
+    @query(name, f"{sql} WHERE {REACHED}")
+    def run(spark, sf_dir):
+        watches = [alerting.Watch.of(rule, field, stale_s)]
+        path = run_silence(spark, sf_dir, lambda s: alerting.alert_stream(s, watches), name)
+        found = spark.read.parquet(path).filter("drone_id <> 'sentinel'")
+        return found.select("drone_id", "swarm_id", "tick", "since", "state", F.round("value", 4).alias("value"))
+
+
+LOW = rules.RULES["DroneBatteryLow"]
+_streamed_rule("streamed_rule_battery_low", "DroneBatteryLow", "battery_percent", f"""WITH {SAMPLES},
+one AS (SELECT * FROM sample WHERE metric = '{LOW.metric}'),
+{grid_sql("one", "drone_id, swarm_id")}, {state_sql(f"value < {LOW.threshold}", "drone_id, swarm_id", LOW.for_s)}
+SELECT drone_id, swarm_id, tick, since, state, R4(value) AS value FROM stated""")
+
+_streamed_rule("streamed_rule_connection_lost", "DroneConnectionLost", "connected", f"""WITH {CONNECTED},
+{grid_sql("link", "drone_id, swarm_id")}, {state_sql("value = 0", "drone_id, swarm_id", 15)}
+SELECT drone_id, swarm_id, tick, since, state, value FROM stated""", stale_s=fleet.ACTIVE_S)
+
+
+@query("streamed_stale_data", f"""WITH {TELEMETRY}, seen AS (SELECT drone_id, us AS sample_us, us::DOUBLE AS value FROM tele),
+{grid_sql("seen", "drone_id", lookback=None, end="(SELECT (max(us) + 14999999) // 15000000 * 15000000 FROM tele)")}
+SELECT drone_id, tick, R6((tick - sample_us) / 1e6) AS silent_s FROM grid WHERE tick - sample_us >= 60000000 AND {REACHED}""")
+def streamed_stale_data(spark, sf_dir):
+    watches = [alerting.silence("StaleData", 60)]
+    path = run_silence(spark, sf_dir, lambda s: alerting.alert_stream(s, watches, ["drone_id"]), "stale")
+    return spark.read.parquet(path).filter("drone_id <> 'sentinel'").select("drone_id", "tick", F.round("value", 6).alias("silent_s"))
+
+
+@query("streamed_connection_state", f"""WITH {TELEMETRY},
+seen AS (SELECT drone_id, arg_max(swarm_id, us) AS swarm_id, max(us) AS last_seen_us, arg_max(connected, us) AS c FROM tele GROUP BY drone_id)
+SELECT drone_id, swarm_id, last_seen_us,
+  CASE WHEN (SELECT max(us) FROM tele) - last_seen_us < 30000000 AND c THEN 1 ELSE 0 END AS connected FROM seen""")
+def streamed_connection_state(spark, sf_dir):
+    path = run_silence(spark, sf_dir, alerting.connection_stream, "connection")
+    return alerting.current_connections(spark, path).filter("drone_id <> 'sentinel'")
