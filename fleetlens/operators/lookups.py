@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fleetlens.schemas import CLASS_NAMES, SPEED_MODES
 from fleetlens.session import small_table
@@ -50,6 +52,22 @@ def with_speed_config(df: DataFrame, modes: DataFrame, default: str = "FAST") ->
     return joined.withColumns(filled).withColumn("config_mode", F.coalesce("config_mode", F.lit(default)))
 
 
+def with_version(
+    df: DataFrame, versions: DataFrame, key: str, fields: Sequence[str], at: str = "us", since: str = "valid_from", name: str = "config",
+) -> DataFrame:
+    """Add ``name``, the ``fields`` of the version of ``key`` that held at each row's time; null before the first one.
+
+    ``versions`` has a row per key and change, with the time ``since`` which it holds; of two changes at one
+    time the one with the larger fields counts. Its history is made into intervals, so a row meets one version and
+    is not repeated. The table is broadcast where Spark knows that it is small; a hot key is then no matter.
+    """
+    distinct = versions.groupBy(F.col(key).alias("_key"), F.col(since).alias("_from")).agg(F.max(F.struct(*fields)).alias("_version"))
+    until = F.lead("_from").over(Window.partitionBy("_key").orderBy("_from"))
+    held = distinct.filter(F.col("_from").isNotNull()).withColumn("_until", until)
+    valid = F.col(key).eqNullSafe(F.col("_key")) & (F.col(at) >= F.col("_from")) & (F.col("_until").isNull() | (F.col(at) < F.col("_until")))
+    return df.join(held, valid, "left").select(*df.columns, F.col("_version").alias(name))
+
+
 def insert_if_absent(existing: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """``existing`` plus the rows of ``wanted`` whose key it lacks."""
     new = wanted.dropDuplicates([key]).join(existing.select(key), key, "left_anti")

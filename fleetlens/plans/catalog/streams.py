@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens import fixtures
-from fleetlens.operators import fleet
+from fleetlens.operators import fleet, lookups
 from fleetlens.plans import rules
 from fleetlens.plans.catalog.base import COOLED, EVENTS, SCORED, TELEMETRY, query
+from fleetlens.plans.catalog.fleet import _ASOF, _MODES, FRAMES
 from fleetlens.plans.catalog.health import ALERT_COLUMNS
 from fleetlens.plans.catalog.rules import CONNECTED, SAMPLES, grid_sql, state_sql
 from fleetlens.plans.catalog.topics import DAMAGED_SCORED, GAUGES_WITH_ABSENT, damaged_log, numbered, rounded_gauges
 from fleetlens.plans.catalog.windows import _avg
 from fleetlens.session import shared_dir
 from fleetlens.sources import topics
-from fleetlens.streaming import alerting, jobs
+from fleetlens.streaming import alerting, jobs, joins
 
 SLICE_US = 240_000_000
 SLICES = 3
@@ -240,3 +241,68 @@ SELECT drone_id, swarm_id, last_seen_us,
 def streamed_connection_state(spark, sf_dir):
     path = run_silence(spark, sf_dir, alerting.connection_stream, "connection")
     return alerting.current_connections(spark, path).filter("drone_id <> 'sentinel'")
+
+
+@query("streamed_command_latency", f"WITH {_ASOF} SELECT event_id, drone_id, telemetry_id, R3(latency_ms) AS latency_ms FROM matched")
+def streamed_command_latency(spark, sf_dir):
+    """Commands and telemetry as two streams; each run's telemetry comes a run later than its commands, but in time."""
+    sides = {"commands": fixtures.commands(spark, sf_dir), "telemetry": fixtures.command_side_telemetry(spark, sf_dir)}
+    folders = {name: shared_dir(spark, f"asof-{name}") for name in sides}
+    target, checkpoint = shared_dir(spark, "asof-out"), shared_dir(spark, "asof-state")
+    jobs.use_rocksdb(spark)
+    newest = fixtures.timed_events(spark, sf_dir).agg(F.max("us")).scalar()
+
+    def run():
+        streams = {n: spark.readStream.schema(df.schema).parquet(folders[n]).withColumn("ts", F.timestamp_micros("us")) for n, df in sides.items()}
+        matched = joins.command_latency_stream(streams["commands"], streams["telemetry"])
+        jobs.run_append(matched.drop("ts"), target, checkpoint, availableNow=True).awaitTermination()
+
+    for i in range(SLICES):
+        for name, df in sides.items():
+            end = (i + 1) * SLICE_US - (WATERMARK_US // 2 if name == "telemetry" else 0)
+            start = i * SLICE_US - (WATERMARK_US // 2 if name == "telemetry" else 0)
+            lower, upper = (F.col("us") >= start if i else F.lit(True)), (F.col("us") < end if i + 1 < SLICES else F.lit(True))
+            df.filter(lower & upper).write.mode("append").parquet(folders[name])
+        run()
+    closing = sides["telemetry"].limit(1).withColumns({"drone_id": F.lit("sentinel"), "us": newest + WATERMARK_US + 1000})
+    closing.select(sides["telemetry"].columns).write.mode("append").parquet(folders["telemetry"])
+    run()
+    return spark.read.parquet(target).select("event_id", "drone_id", F.col("telemetry.event_id").alias("telemetry_id"),
+                                             F.round("latency_ms", 3).alias("latency_ms"))
+
+
+# The settings of every speed mode change in the middle of the run; BALANCED changes once more.
+VERSIONS = f"""version AS (
+  SELECT config_mode AS speed_mode, 0 AS valid_from, imgsz, target_fps FROM {_MODES} UNION ALL
+  SELECT config_mode, 30000000, imgsz + 64, target_fps + 1 FROM {_MODES} UNION ALL
+  SELECT config_mode, 60000000, imgsz + 128, target_fps + 2 FROM {_MODES} WHERE config_mode = 'BALANCED')"""
+VERSIONED = f"""WITH {FRAMES}, {VERSIONS}
+SELECT frame_no, f.speed_mode, v.imgsz, v.target_fps FROM frame f ASOF LEFT JOIN version v
+ON f.speed_mode = v.speed_mode AND f.us >= v.valid_from"""
+
+
+def mode_versions(spark):
+    modes = lookups.speed_table(spark).select("speed_mode", "imgsz", "target_fps")
+    def later(us, more, fps):
+        return modes.select("speed_mode", F.lit(us).cast("bigint").alias("valid_from"), (F.col("imgsz") + more).alias("imgsz"),
+                            (F.col("target_fps") + fps).alias("target_fps"))
+    return later(0, 0, 0).unionByName(later(30_000_000, 64, 1)).unionByName(later(60_000_000, 128, 2).filter("speed_mode = 'BALANCED'"))
+
+
+@query("speed_config_versions", VERSIONED)
+def speed_config_versions(spark, sf_dir):
+    found = lookups.with_version(fixtures.frames(spark, sf_dir), mode_versions(spark), "speed_mode", ["imgsz", "target_fps"])
+    return found.select("frame_no", "speed_mode", "config.imgsz", "config.target_fps")
+
+
+@query("streamed_speed_config_versions", VERSIONED)
+def streamed_speed_config_versions(spark, sf_dir):
+    """The table of changes grows between the runs of the job; a run knows those entered so far."""
+    frames = fixtures.frames(spark, sf_dir)
+    folder, table, target, checkpoint = (shared_dir(spark, f"modes-{n}") for n in ("in", "table", "out", "state"))
+    for start, end in ((0, 30_000_000), (30_000_000, 60_000_000), (60_000_000, 1 << 60)):
+        mode_versions(spark).filter(F.col("valid_from") == start).write.mode("append").parquet(table)
+        frames.filter((F.col("us") >= start) & (F.col("us") < end)).write.mode("append").parquet(folder)
+        jobs.run_versioned_job(spark.readStream.schema(frames.schema).parquet(folder), lambda: spark.read.parquet(table), "speed_mode",
+                               ["imgsz", "target_fps"], target, checkpoint, availableNow=True).awaitTermination()
+    return spark.read.parquet(target).select("frame_no", "speed_mode", "config.imgsz", "config.target_fps")

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQue
 from pyspark.sql.types import StructType
 
 from fleetlens.functions.health import motor_cv
-from fleetlens.operators import anomalies, fleet, windows
+from fleetlens.operators import anomalies, fleet, lookups, windows
 from fleetlens.operators.windows import WATERMARK
 from fleetlens.sources import topics
 from fleetlens.streaming.processor import ADDED, PREV, FixFilter, HealthProcessor
@@ -199,6 +199,21 @@ def run_inference_metrics_job(inference: DataFrame, target: str, checkpoint: str
         .option("checkpointLocation", checkpoint).foreachBatch(write), trigger).start()
 
 
+def run_versioned_job(
+    rows: DataFrame, versions: Callable[[], DataFrame], key: str, fields: list[str], target: str, checkpoint: str, **trigger
+) -> StreamingQuery:
+    """Write a stream with the version of its configuration that held at each row's time.
+
+    ``versions`` reads the table of changes; it is called for every batch, so changes are seen without a restart.
+    A batch writes its rows under its id. A change that is entered later than rows it would concern does not
+    reach back to them.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        lookups.with_version(batch, versions(), key, fields).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return _triggered(rows.writeStream.queryName("versioned").option("checkpointLocation", checkpoint).foreachBatch(write), trigger).start()
+
+
 def current(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
     """Per key, the row of the newest batch that wrote it."""
     rows = spark.read.parquet(target)
