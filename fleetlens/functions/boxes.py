@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, functions as F
 
+from fleetlens.functions.columns import finite
+
+BOX = ["x1", "y1", "x2", "y2"]
+
+
+def proper() -> Column:
+    """Whether a box has four finite corners, the first two not beyond the others. Records with fewer numbers give
+    boxes that have not."""
+    return reduce(and_, (finite(c) for c in BOX)) & (F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2"))
+
 
 def area(box: Column) -> Column:
     return (box["x2"] - box["x1"]) * (box["y2"] - box["y1"])

@@ -59,6 +59,13 @@ def finite(value: ColumnLike) -> Column:
     return F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
 
 
+def exponent(value: ColumnLike) -> Column:
+    """The largest whole number whose power of two is at most a positive double."""
+    v = col(value).cast("double")
+    near = F.floor(F.log2(v)).cast("int")  # may be one off next to a power of two
+    return near + F.when(F.pow(F.lit(2.0), near) > v, -1).when(F.pow(F.lit(2.0), near + 1) <= v, 1).otherwise(0)
+
+
 def sortable(value: ColumnLike) -> Column:
     """A double as a whole number of the same order: exponent, then fraction. Null for null and NaN.
 
@@ -67,9 +74,8 @@ def sortable(value: ColumnLike) -> Column:
     """
     v = col(value).cast("double")
     size = F.abs(v)
-    near = F.floor(F.log2(size)).cast("int")  # may be one off next to a power of two
-    exponent = near + F.when(F.pow(F.lit(2.0), near) > size, -1).when(F.pow(F.lit(2.0), near + 1) <= size, 1).otherwise(0)
-    fraction = (size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 52)
-    bits = (exponent + 1023).cast("bigint") * F.lit(1 << 52) + fraction.cast("bigint")
+    power = exponent(size)
+    fraction = (size / F.pow(F.lit(2.0), power) - 1) * float(1 << 52)
+    bits = (power + 1023).cast("bigint") * F.lit(1 << 52) + fraction.cast("bigint")
     place = F.when(size == float("inf"), F.lit(2047 << 52)).when(size < 2.2250738585072014e-308, F.lit(0).cast("bigint")).otherwise(bits)
     return F.when(F.isnan(v) | v.isNull(), None).otherwise(F.when(v < 0, -place).otherwise(place))

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetlens.functions.boxes import area, dead_zone
+from fleetlens.functions.boxes import BOX, area, dead_zone, proper
 from fleetlens.functions.columns import finite, sortable
 from fleetlens.operators.grouped import Group, map_groups
 from fleetlens.operators.ordered import DEFAULT_SLICE_US, with_history
+from fleetlens.operators.suppression import IOU_LIMIT, corners, ddl, nms, overlap
 from fleetlens.session import written
 
+__all__ = ["BOX", "nms"]
+
 CONFIDENCE = 0.25
-IOU_LIMIT = 0.5
 PUBLISH_EVERY = 3
 LOST_AFTER_S = 2.0
-BOX = ["x1", "y1", "x2", "y2"]
 
 
 def confident(df: DataFrame, threshold: float = CONFIDENCE) -> DataFrame:
@@ -34,13 +32,9 @@ def of_class(df: DataFrame, class_name: str) -> DataFrame:
     return df.filter(F.col("class_name") == class_name)
 
 
-def proper() -> Column:
-    """Whether a box has four finite corners. Records with fewer numbers give boxes that have not."""
-    return reduce(and_, (finite(c) for c in BOX))
-
-
 def malformed(dets: DataFrame) -> DataFrame:
-    """Boxes that cannot be placed or ranked: a corner or the confidence is absent, NaN or infinite."""
+    """Boxes that cannot be placed or ranked: a corner or the confidence is absent, NaN or infinite, or corners are
+    the wrong way round."""
     return dets.filter(~(proper() & finite("conf")))
 
 
@@ -74,68 +68,18 @@ def to_frame(local: DataFrame, tile_table: DataFrame, keys: list[str]) -> DataFr
     }).drop("tile_x1", "tile_y1")
 
 
-def nms(dets: DataFrame, frame: list[str], limit: float = IOU_LIMIT, extra: list[str] | None = None) -> DataFrame:
-    """Greedy suppression per frame, across classes: keep a box unless it overlaps a better kept one.
-
-    Better means higher ``conf``, then lower ``det_idx``. An undefined overlap (two empty boxes)
-    suppresses as well. Exact copies of a box collapse to the best of them in a partial
-    aggregation before frames come together. One plan for frames of any size: rows are dealt out by
-    frame and streamed, and a frame is the group in memory, at some tens of bytes a box.
-    :func:`malformed` boxes neither stay nor suppress others; keys and ``det_idx`` must be non-null.
-    """
-    rest = ["det_id", *(extra or [])]
-    best = F.min(F.struct((-F.col("conf")).alias("neg"), "det_idx", *rest)).alias("best")
-    distinct = dets.filter(proper() & finite("conf")).groupBy(*frame, *BOX).agg(best).select(*frame, "best.*", *BOX)
-
-    def keep(group: Group) -> Group:
-        rows = np.lexsort((group["det_idx"], group["neg"]))
-        rows = rows[_greedy(_corners(group)[:, rows], limit)]
-        return {name: values[rows] for name, values in group.items()}
-
-    kept = map_groups(distinct, frame, ["neg", "det_idx"], keep, _ddl(distinct))
-    return kept.select(*frame, *rest, "det_idx", *BOX, (-F.col("neg")).alias("conf"))
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
-def _corners(group: Group) -> np.ndarray:
-    return np.stack([group[c].astype(np.float64) for c in BOX])
-
-
-def _overlap(boxes: np.ndarray, box: np.ndarray) -> np.ndarray:
-    """Intersection over union of ``boxes`` with one box; NaN where the union is empty."""
-    x1, y1, x2, y2 = boxes
-    inter = np.maximum(np.minimum(x2, box[2]) - np.maximum(x1, box[0]), 0) * np.maximum(
-        np.minimum(y2, box[3]) - np.maximum(y1, box[1]), 0)
-    union = (x2 - x1) * (y2 - y1) + (box[2] - box[0]) * (box[3] - box[1]) - inter
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return inter / union
-
-
-def _greedy(boxes: np.ndarray, limit: float) -> np.ndarray:
-    """Columns of ``boxes``, best first, that stay."""
-    left, kept = np.arange(boxes.shape[1]), []
-    while len(left):
-        kept.append(left[0])
-        left = left[1:]
-        left = left[_overlap(boxes[:, left], boxes[:, kept[-1]]) <= limit]
-    return np.array(kept, dtype=np.int64)
-
-
 def overlapping(dets: DataFrame, frame: list[str], limit: float = IOU_LIMIT) -> DataFrame:
     """Per detection: how many other boxes of its frame overlap it by more than ``limit``; nothing is paired up.
     Boxes without four finite corners are left out."""
     slim = dets.filter(proper()).select(*frame, "det_id", *BOX)
 
     def count(group: Group) -> Group:
-        boxes = _corners(group)
+        boxes = corners(group)
         with np.errstate(invalid="ignore"):
-            found = [int((_overlap(boxes, box) > limit).sum() - (_overlap(box[:, None], box)[0] > limit)) for box in boxes.T]
+            found = [int((overlap(boxes, box) > limit).sum() - (overlap(box[:, None], box)[0] > limit)) for box in boxes.T]
         return {**{name: group[name] for name in (*frame, "det_id")}, "n_overlapping": np.array(found, dtype=np.int64)}
 
-    return map_groups(slim, frame, ["det_id"], count, f"{_ddl(slim.select(*frame, 'det_id'))}, n_overlapping bigint")
+    return map_groups(slim, frame, ["det_id"], count, f"{ddl(slim.select(*frame, 'det_id'))}, n_overlapping bigint")
 
 
 def formatted(df: DataFrame) -> DataFrame:

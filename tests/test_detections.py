@@ -11,8 +11,8 @@ from fleetlens.operators import detections as D
 BOXES = "frame_no bigint, det_idx bigint, det_id bigint, conf double, x1 bigint, y1 bigint, x2 bigint, y2 bigint"
 
 
-def kept(spark, rows, limit=0.5):
-    return {r.det_id for r in D.nms(spark.createDataFrame(rows, BOXES), ["frame_no"], limit).collect()}
+def kept(spark, rows, limit=0.5, fold=64):
+    return {r.det_id for r in D.nms(spark.createDataFrame(rows, BOXES), ["frame_no"], limit, fold=fold).collect()}
 
 
 def brute(rows, limit=0.5):
@@ -40,6 +40,36 @@ def test_random_frames_and_a_hot_one(spark):
     assert kept(spark, rows) == brute(rows)
 
 
+def boxes_of(rng, n, frame, spread, sizes=(40, 41), first=0):
+    out = []
+    for i in range(first, first + n):
+        x, y = rng.randrange(spread), rng.randrange(spread)
+        out.append((frame, i, i, rng.choice([0.3, 0.5, 0.7, 0.9]), x, y, x + rng.randrange(*sizes), y + rng.randrange(*sizes)))
+    return out
+
+
+@pytest.mark.parametrize("limit", [0.05, 0.3, 0.5, 0.8, 0.95])
+def test_rounds_equal_the_rule_at_any_limit(spark, limit):
+    """All frames as large ones: sizes from a pixel to half the frame, empty boxes, and small ones beside large."""
+    rng = random.Random(int(limit * 100))
+    rows = boxes_of(rng, 300, 0, 200, (0, 60)) + boxes_of(rng, 200, 1, 60, (1, 9), 300) + boxes_of(rng, 40, 2, 3, (0, 2), 500)
+    assert kept(spark, rows, limit, fold=0) == brute(rows, limit) == kept(spark, rows, limit, fold=10**6)
+
+
+def test_long_chains_and_crowds_equal_the_rule(spark, monkeypatch):
+    from fleetlens.operators import suppression
+
+    rng = random.Random(9)
+    chain = [(0, i, i, 0.9 - i * 1e-3, 4 * i, 0, 4 * i + 20, 10) for i in range(150)]  # each depends on the one before
+    crowd = boxes_of(rng, 400, 1, 6, (40, 44), 200)  # two or three objects
+    loose = boxes_of(rng, 200, 2, 4000, first=700)
+    rows = chain + crowd + loose
+    assert kept(spark, rows, fold=10) == brute(rows)
+    monkeypatch.setattr(suppression, "ROUNDS", 1)
+    monkeypatch.setattr(suppression, "CROWDED", 4)
+    assert kept(spark, rows, fold=10) == brute(rows)
+
+
 def test_a_large_frame_with_a_wide_box(spark):
     """One plan for all frames: 5,000 disjoint boxes and one as wide as the frame."""
     rows = [(1, i, i, 0.5, 20 * i, 0, 20 * i + 10, 10) for i in range(5000)] + [(1, 5000, 5000, 0.9, 0, 0, 100_000, 10)]
