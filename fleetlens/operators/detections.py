@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -141,12 +143,24 @@ def follow(
     ).withColumn("_seen_us", F.when(F.col("found"), F.col("us")))
     frames = written(frames, "frames")
 
-    limit = F.lit(int(lost_after_s * 1e6))
     history = with_history(
         frames, ["drone_id"], "us", "frame_no",
         previous={"_prev": ["us"]}, before={"_last_us": "_seen_us"}, width=slice_us,
     )
+    limit = F.lit(int(lost_after_s * 1e6))
     held = F.coalesce(F.col("_prev.us") - F.col("_last_us") < limit, F.lit(False))
+    targets = chosen_targets(history.withColumn("_held", held), limit)
+    fresh = F.when(F.col("found") & ~F.col("_held"), F.col("area"))
+    referred = with_history(
+        targets.withColumn("_fresh", fresh), ["drone_id"], "us", "frame_no",
+        carried={"_reference": "_fresh"}, width=slice_us,
+    )
+    return with_errors(referred, width, height)
+
+
+def chosen_targets(frames: DataFrame, limit: Column, also: Sequence[str] = ()) -> DataFrame:
+    """State and target of frames with ``_held`` and ``_last_us``, the time of the last frame with a target before;
+    ``also`` names further columns to keep."""
     chosen = {
         c: F.when(F.col("_held") & F.col("locked_found"), F.col(f"locked_{c}")).otherwise(F.col(f"largest_{c}"))
         for c in ["det_id", "track_id", "conf", *BOX]
@@ -156,22 +170,17 @@ def follow(
         .when(F.col("us") - F.col("_last_us") < limit, "lost")
         .otherwise("searching")
     )
-    targets = history.withColumn("_held", held).select(
-        "drone_id", "frame_no", "us", state.alias("state"), "_held", "found", *[v.alias(k) for k, v in chosen.items()]
+    return frames.select(
+        "drone_id", "frame_no", "us", state.alias("state"), "_held", "found", *also, *[v.alias(k) for k, v in chosen.items()]
     ).withColumns({c: F.when(F.col("found"), v) for c, v in geometry().items()})
-    fresh = F.when(F.col("found") & ~F.col("_held"), F.col("area"))
-    referred = with_history(
-        targets.withColumn("_fresh", fresh), ["drone_id"], "us", "frame_no",
-        carried={"_reference": "_fresh"}, width=slice_us,
-    )
+
+
+def with_errors(targets: DataFrame, width: int, height: int) -> DataFrame:
+    """Frame errors of targets with ``_reference``, the area that the target had when it was taken up."""
     error_x, error_y = frame_errors(width, height)
-    reference = F.when(F.col("found"), F.col("_reference"))
-    return (
-        referred.withColumn("reference_area", reference)
-        .select(
-            "drone_id", "frame_no", "us", "state", "det_id", "track_id", "conf", *BOX, "cx", "cy", "area", "reference_area",
-            error_x.alias("error_x"), error_y.alias("error_y"),
-            F.try_divide((F.col("reference_area") - F.col("area")).cast("double"), F.col("reference_area").cast("double"))
-            .alias("error_distance"),
-        )
+    return targets.withColumn("reference_area", F.when(F.col("found"), F.col("_reference"))).select(
+        "drone_id", "frame_no", "us", "state", "det_id", "track_id", "conf", *BOX, "cx", "cy", "area", "reference_area",
+        error_x.alias("error_x"), error_y.alias("error_y"),
+        F.try_divide((F.col("reference_area") - F.col("area")).cast("double"), F.col("reference_area").cast("double"))
+        .alias("error_distance"),
     )

@@ -208,10 +208,9 @@ def tracks(spark, sf_dir):
     })
 
 
-def _follow(name, locked_id):
+def follow_sql(locked_id=None):
     locked = f"track_id = {locked_id}" if locked_id else "false"
-
-    @query(name, f"""WITH {TRACKS},
+    return f"""WITH {TRACKS},
 fr AS (SELECT drone_id, frame_no, us, bool_or(is_target) AS found FROM track GROUP BY drone_id, frame_no, us),
 seen AS (SELECT *, lag(us) OVER w AS prev_us, max(CASE WHEN found THEN us END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_us
   FROM fr WINDOW w AS (PARTITION BY drone_id ORDER BY us, frame_no)),
@@ -228,7 +227,11 @@ err AS (SELECT *, ((x1 + x2) // 2 - 100) / 100e0 AS ex, ((y1 + y2) // 2 - 80) /
 SELECT drone_id, frame_no, state, det_id, track_id, area, reference_area,
   R6(CASE WHEN abs(ex) < 15e-2 THEN 0e0 WHEN abs(ex) < 35e-2 THEN ex * 5e-1 ELSE ex END) AS error_x,
   R6(CASE WHEN abs(ey) < 15e-2 THEN 0e0 WHEN abs(ey) < 35e-2 THEN ey * 5e-1 ELSE ey END) AS error_y,
-  R6((reference_area - area) / reference_area::DOUBLE) AS error_distance FROM err""")
+  R6((reference_area - area) / reference_area::DOUBLE) AS error_distance FROM err"""
+
+
+def _follow(name, locked_id):
+    @query(name, follow_sql(locked_id))
     def run(spark, sf_dir):
         f = D.follow(tracks(spark, sf_dir), locked_id=locked_id)
         return f.select("drone_id", "frame_no", "state", "det_id", "track_id", "area", "reference_area",

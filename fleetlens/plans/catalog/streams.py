@@ -8,6 +8,7 @@ from fleetlens import fixtures
 from fleetlens.operators import fleet, lookups
 from fleetlens.plans import rules
 from fleetlens.plans.catalog.base import COOLED, EVENTS, SCORED, TELEMETRY, query
+from fleetlens.plans.catalog.detections import follow_sql, tracks
 from fleetlens.plans.catalog.fleet import _ASOF, _MODES, FRAMES
 from fleetlens.plans.catalog.health import ALERT_COLUMNS
 from fleetlens.plans.catalog.rules import CONNECTED, SAMPLES, grid_sql, state_sql
@@ -15,7 +16,7 @@ from fleetlens.plans.catalog.topics import DAMAGED_SCORED, GAUGES_WITH_ABSENT, d
 from fleetlens.plans.catalog.windows import _avg
 from fleetlens.session import shared_dir
 from fleetlens.sources import topics
-from fleetlens.streaming import alerting, jobs, joins
+from fleetlens.streaming import alerting, following, jobs, joins
 
 SLICE_US = 240_000_000
 SLICES = 3
@@ -306,3 +307,27 @@ def streamed_speed_config_versions(spark, sf_dir):
         jobs.run_versioned_job(spark.readStream.schema(frames.schema).parquet(folder), lambda: spark.read.parquet(table), "speed_mode",
                                ["imgsz", "target_fps"], target, checkpoint, availableNow=True).awaitTermination()
     return spark.read.parquet(target).select("frame_no", "speed_mode", "config.imgsz", "config.target_fps")
+
+
+def _streamed_follow(name, locked_id):
+    @query(name, follow_sql(locked_id))
+    def run(spark, sf_dir):
+        """Frames with their boxes come in three runs; rows of timers, which belong to no frame, are left out."""
+        box = F.struct("det_idx", "det_id", "track_id", "class_name", "conf", "x1", "y1", "x2", "y2")
+        frames = tracks(spark, sf_dir).groupBy("drone_id", "frame_no", "us").agg(F.collect_list(box).alias("boxes"))
+        folder, target, checkpoint = (shared_dir(spark, f"follow-{n}") for n in ("in", "out", "state"))
+        jobs.use_rocksdb(spark)
+        third = frames.agg(F.expr("max(us) div 3")).scalar()
+        for i in range(SLICES):
+            upper = F.col("us") < third * (i + 1) if i + 1 < SLICES else F.lit(True)
+            frames.filter((F.col("us") >= third * i) & upper).write.mode("append").parquet(folder)
+            # The first frame stands at time 0, where a stream's watermark begins: its clock is a millisecond ahead.
+            stream = spark.readStream.schema(frames.schema).parquet(folder).withColumn("ts", F.timestamp_micros(F.col("us") + 1000))
+            jobs.run_append(following.follow_stream(stream, locked_id=locked_id), target, checkpoint, availableNow=True).awaitTermination()
+        f = spark.read.parquet(target).filter("frame_no is not null")
+        return f.select("drone_id", "frame_no", "state", "det_id", "track_id", "area", "reference_area",
+                        *[F.round(c, 6).alias(c) for c in ("error_x", "error_y", "error_distance")])
+
+
+_streamed_follow("streamed_target_following", None)
+_streamed_follow("streamed_target_following_locked", 3)
