@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetlens import fixtures
 from fleetlens.operators import commands, fleet, lookups, normalise
 from fleetlens.plans.catalog.base import DETECTIONS, EVENTS, TELEMETRY, query
+from fleetlens.session import written
 
 FRAMES = DETECTIONS + """,
 frame AS (
@@ -127,6 +128,28 @@ def latency_quantiles_sketch(spark, sf_dir):
     return q.select("speed_mode", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")])
 
 
+_RANKED = "sum(n) AS n, true AS p50_in_rank, true AS p95_in_rank, true AS p99_in_rank"
+
+
+@query("latency_quantiles_merged", f"""WITH {TELEMETRY}, per AS (SELECT drone_id, swarm_id, count(*) AS n FROM tele GROUP BY ALL)
+SELECT drone_id AS scope, {_RANKED} FROM per GROUP BY drone_id UNION ALL SELECT swarm_id, {_RANKED} FROM per GROUP BY swarm_id
+UNION ALL SELECT 'fleet', {_RANKED} FROM per""")
+def latency_quantiles_merged(spark, sf_dir):
+    """Sketches per drone and ten seconds, merged up to drones, swarms and the fleet. What is checked is the rank: the
+    rows below a quantile and those up to it must enclose its place, give or take a hundredth of the rows."""
+    t = fixtures.telemetry(spark, sf_dir).select("drone_id", "swarm_id", "us", F.col("altitude_m").alias("v"))
+    sketches = written(fleet.quantile_sketches(t, "v", ["drone_id", "swarm_id"], 10.0), "sketches")
+    levels = [("drone_id", F.col("drone_id")), ("swarm_id", F.col("swarm_id")), ("fleet", F.lit("fleet"))]
+    out = []
+    for _, scope in levels:
+        found = fleet.merged_quantiles(sketches.withColumn("scope", scope), ["scope"])
+        placed = t.withColumn("scope", scope).join(found, "scope").groupBy("scope", "n").agg(*[
+            (F.count_if(F.col("v") < F.col(f"p{q}")) <= F.first("n") * (q / 100 + 0.01) + 1).alias(f"low{q}") for q in (50, 95, 99)], *[
+            (F.count_if(F.col("v") <= F.col(f"p{q}")) >= F.first("n") * (q / 100 - 0.01) - 1).alias(f"high{q}") for q in (50, 95, 99)])
+        out.append(placed.select("scope", "n", *[(F.col(f"low{q}") & F.col(f"high{q}")).alias(f"p{q}_in_rank") for q in (50, 95, 99)]))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 _STATUS = """,
 last AS (SELECT drone_id, arg_max(battery_percent, us) AS b, arg_max(altitude_m, us) AS a FROM tele GROUP BY drone_id),
 status AS (

@@ -16,7 +16,7 @@ from fleetlens.plans.catalog.topics import DAMAGED_SCORED, GAUGES_WITH_ABSENT, d
 from fleetlens.plans.catalog.windows import _avg
 from fleetlens.session import shared_dir
 from fleetlens.sources import topics
-from fleetlens.streaming import alerting, following, jobs, joins
+from fleetlens.streaming import alerting, following, jobs, joins, snapshots
 
 SLICE_US = 240_000_000
 SLICES = 3
@@ -331,3 +331,18 @@ def _streamed_follow(name, locked_id):
 
 _streamed_follow("streamed_target_following", None)
 _streamed_follow("streamed_target_following_locked", 3)
+
+
+@query("current_after_many_batches", f"""WITH {TELEMETRY}
+SELECT drone_id, max(us) AS us, arg_max(battery_percent, (us, event_id)) AS battery_percent FROM tele GROUP BY drone_id
+HAVING max(us) >= (SELECT max(us) FROM tele) - 300000000""")
+def current_after_many_batches(spark, sf_dir):
+    """Drones' last records kept current over a batch for each of many files; silent ones go after five minutes."""
+    t = fixtures.telemetry(spark, sf_dir)
+    folder, target, checkpoint = (shared_dir(spark, f"current-{n}") for n in ("in", "out", "state"))
+    t.repartitionByRange(24, "us").sortWithinPartitions("us").write.parquet(folder)
+    write = snapshots.keeping_current(target, ["drone_id"], every=5, keep_s=300, order="place", of=lambda batch: snapshots.last_rows(batch, ["drone_id"]))
+    stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    jobs.run_foreach(stream, write, checkpoint, availableNow=True).awaitTermination()
+    newest = snapshots.current(spark, target, ["drone_id"], keep_s=300, order="place")
+    return newest.select("drone_id", "us", "battery_percent")

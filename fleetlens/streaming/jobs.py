@@ -15,6 +15,7 @@ from fleetlens.functions.health import motor_cv
 from fleetlens.operators import anomalies, fleet, lookups, windows
 from fleetlens.operators.windows import WATERMARK
 from fleetlens.sources import topics
+from fleetlens.streaming import snapshots
 from fleetlens.streaming.processor import ADDED, PREV, FixFilter, HealthProcessor
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -151,11 +152,9 @@ def run_gauges_job(telemetry: DataFrame, target: str, checkpoint: str, **trigger
     """Keep the latest gauges of the fleet: a batch writes the drones it heard of, under its id.
 
     Feed it raw telemetry (``read_topic_stream(raw=True)``): an absent field leaves its gauge as it was. The
-    state is one row per drone, however long the stream runs.
+    state is one row per drone, however long the stream runs, and so is what readers of :func:`current_gauges` meet.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-
+    write = snapshots.keeping_current(target, ["drone_id", "swarm_id"])
     return _triggered(
         fleet.gauges_wide(telemetry).writeStream.queryName("gauges").outputMode("update")
         .option("checkpointLocation", checkpoint).foreachBatch(write), trigger).start()
@@ -163,9 +162,7 @@ def run_gauges_job(telemetry: DataFrame, target: str, checkpoint: str, **trigger
 
 def current_gauges(spark: SparkSession, target: str) -> DataFrame:
     """The gauges as last written, merged by drone and swarm."""
-    rows = spark.read.parquet(target)
-    names = [c for c in rows.columns if c not in ("drone_id", "swarm_id", "batch_id")]
-    return rows.groupBy("drone_id", "swarm_id").agg(*[F.max_by(c, "batch_id").alias(c) for c in names])
+    return snapshots.current(spark, target, ["drone_id", "swarm_id"]).drop("batch_id")
 
 
 def run_swarm_job(telemetry: DataFrame, target: str, checkpoint: str, active_s: float = fleet.ACTIVE_S, **trigger) -> StreamingQuery:
@@ -174,10 +171,7 @@ def run_swarm_job(telemetry: DataFrame, target: str, checkpoint: str, active_s:
     State is one row per drone; what is written per batch is one row per swarm, under the batch's id. The
     clock is the newest record's time.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        status = fleet.swarm_of(batch, active_s=active_s)
-        status.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-
+    write = snapshots.keeping_current(target, ["swarm_id"], of=lambda batch: fleet.swarm_of(batch, active_s=active_s))
     return _triggered(
         fleet.last_records(telemetry).writeStream.queryName("swarms").outputMode("complete")
         .option("checkpointLocation", checkpoint).foreachBatch(write), trigger).start()
@@ -190,10 +184,7 @@ def run_inference_metrics_job(inference: DataFrame, target: str, checkpoint: str
     changed; :func:`current` gives the newest of each.
     """
     counted = fleet.inference_totals(inference)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-
+    write = snapshots.keeping_current(target, ["drone_id", "model_name", "speed_mode"])
     return _triggered(
         counted.writeStream.queryName("inference-metrics").outputMode("update")
         .option("checkpointLocation", checkpoint).foreachBatch(write), trigger).start()
@@ -216,15 +207,18 @@ def run_versioned_job(
 
 def current(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
     """Per key, the row of the newest batch that wrote it."""
-    rows = spark.read.parquet(target)
-    names = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    return rows.groupBy(*keys).agg(*[F.max_by(c, "batch_id").alias(c) for c in names])
+    return snapshots.current(spark, target, keys).drop("batch_id")
 
 
 def watermarked(df: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return df.withWatermark("ts", delay)
 
 
+def run_foreach(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    """Hand every batch of a stream to ``write``, which must give the same result when a batch is repeated."""
+    return _triggered(df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write), trigger).start()
+
+
 def run_append(df: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Write a windowed stream exactly once; a window is written when the watermark has passed it."""
     writer = df.writeStream.outputMode("append").format("parquet").option("path", path)
