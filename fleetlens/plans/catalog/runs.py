@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens import fixtures
-from fleetlens.operators import datasets, runs
+from fleetlens.operators import datasets, runs, versions
 from fleetlens.operators.ordered import with_history
-from fleetlens.plans.catalog.base import query
+from fleetlens.plans.catalog.base import ORACLES, query
+from fleetlens.session import shared_dir
 
 
 def run_table(spark, sf_dir):
@@ -258,6 +259,37 @@ def dataset_diff(spark, sf_dir):
     return datasets.version_diff(old, new)
 
 
+_DIFF = ORACLES["dataset_diff"]
+
+
+def edited_files(spark, sf_dir):
+    """The files as they are, and after some were edited, removed and added."""
+    old = datasets.file_hashes(files(spark, sf_dir)).withColumn("modified_us", F.lit(0).cast("bigint"))
+    edited = F.when(F.col("doc_id") % 11 == 0, F.md5("md5")).otherwise(F.col("md5"))
+    new = old.filter("doc_id % 13 <> 0").withColumn("md5", edited).unionByName(
+        old.filter("doc_id % 17 = 0").withColumn("path", F.concat(F.lit("new/"), "path")))
+    return [df.select("path", "length", "modified_us", "md5") for df in (old, new)]
+
+
+@query("dataset_diff_by_tree", _DIFF)
+def dataset_diff_by_tree(spark, sf_dir):
+    targets = [shared_dir(spark, "version") for _ in range(2)]
+    for manifest, target in zip(edited_files(spark, sf_dir), targets):
+        versions.save_version(manifest, target)
+    return versions.diff(spark, *targets)
+
+
+@query("dataset_tree", f"""WITH {FILES},
+leaf AS (SELECT left(md5(path), 2) AS prefix, md5(string_agg(path || ':' || md5, chr(10) ORDER BY path || ':' || md5)) AS hash, count(*) AS n
+  FROM files GROUP BY 1),
+node AS (SELECT left(prefix, 1) AS prefix, md5(string_agg(prefix || ':' || hash, chr(10) ORDER BY prefix || ':' || hash)) AS hash, sum(n)::BIGINT AS n
+  FROM leaf GROUP BY 1)
+SELECT 2::INT AS level, * FROM leaf UNION ALL SELECT 1, * FROM node
+UNION ALL SELECT 0, '', md5(string_agg(prefix || ':' || hash, chr(10) ORDER BY prefix || ':' || hash)), sum(n)::BIGINT FROM node""")
+def dataset_tree(spark, sf_dir):
+    return versions.tree(datasets.file_hashes(files(spark, sf_dir)), 2)
+
+
 @query("split_assignment", """SELECT doc_id, CASE WHEN b < 800 THEN 'train' WHEN b < 950 THEN 'val' ELSE 'test' END AS split
 FROM (SELECT doc_id, ('0x' || left(md5(doc_id::VARCHAR), 8))::BIGINT % 1000 AS b FROM documents)""")
 def split_assignment(spark, sf_dir):

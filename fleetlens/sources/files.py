@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlens.operators.logs import pod_metadata
 
 
+def below(root: str) -> Column:
+    """The path of a scanned file without its scheme and the folder ``root``."""
+    return F.substr(F.regexp_replace("path", r"^[a-z0-9]+:/{0,2}(?=/)", ""), F.lit(len(root.rstrip("/")) + 2))
+
+
 def scan_files(spark: SparkSession, root: str, pattern: str | None = None, content: bool = False) -> DataFrame:
     """Every file below ``root``: path relative to it, length, time. Bytes are read only on request."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    prefix = root.rstrip("/") + "/"
-    relative = F.regexp_replace("path", r"^[a-z0-9]+:/{0,2}(?=/)", "")
     return reader.load(root).select(
-        F.substr(relative, F.lit(len(prefix) + 1)).alias("path"),
-        "length", "modificationTime", *(["content"] if content else []),
+        below(root).alias("path"), "length", "modificationTime", *(["content"] if content else []),
     )
 
 
