@@ -14,6 +14,8 @@ holds for every following emission.
    every slice is entered. A drone's slices are bounded by time, not by its number of alerts.
 3. ``replay``: each slice emits, starting from its ``s``.
 
+That is for drones with very many alerts of a type; the alerts of all others are walked as they are.
+
 Only times and periods pass through these steps. The alerts join back by time at the end.
 """
 
@@ -23,7 +25,7 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.operators.grouped import Group, map_groups, repeat
 from fleetlens.session import written
@@ -31,6 +33,8 @@ from fleetlens.session import written
 KEY = ["drone_id", "alert_type"]
 CRITICAL_S, WARNING_S = 10.0, 30.0
 DEFAULT_SLICE_US = 600_000_000
+#: Instants of one drone and type that are walked at once; more are walked slice by slice.
+WHOLE = 200_000
 
 
 def emission_rows(t: np.ndarray, period: np.ndarray, last: int) -> list[int]:
@@ -111,22 +115,39 @@ def _replay(group: Group) -> Group:
     }
 
 
-def cooldown(
-    alerts: DataFrame, critical_s: float = CRITICAL_S, warning_s: float = WARNING_S,
-    slice_us: int = DEFAULT_SLICE_US,
-) -> DataFrame:
-    """Alerts left after the cooldown, per drone and alert type.
+def _walk(group: Group) -> Group:
+    """All instants of one drone and type."""
+    times = emission_times(group["us"], group["period"], 0)
+    return {
+        **_labels(group, len(times)), "us": np.asarray(times, dtype="int64"),
+        "last_us": np.asarray([0, *times][: len(times)], dtype="int64"),
+    }
 
-    An alert is emitted if strictly more than its own severity's period has passed since the
-    last emitted alert. Before the first emission that time is 0. Alerts of no drone or no type are a key of
-    their own. An alert without a time cannot be judged: it goes out, and silences nothing. The alerts are
-    written out first, since three steps read them and each would otherwise score the telemetry again.
+
+def _same(left: str, right: str) -> Column:
+    return reduce(and_, (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in KEY))
+
+
+_EMITTED = "drone_id string, alert_type string, us bigint, last_us bigint"
+
+
+def _emissions(instants: DataFrame, slice_us: int, whole: int) -> DataFrame:
+    """The instants that are emitted, each with the emission before it.
+
+    Keys of few instants are walked in one pass. The instants are counted for it; only where a key has more than
+    ``whole`` of them are that key's cut into slices.
     """
-    written_out = written(alerts, "alerts")
-    alerts = written_out.filter(F.col("us").isNotNull())
-    period = F.when(F.col("severity") == "critical", int(critical_s * 1e6)).otherwise(int(warning_s * 1e6)).cast("bigint")
-    # rows of one instant collapse to the easiest of them to emit, before any shuffle
-    instants = alerts.groupBy(*KEY, "us").agg(F.min(period).alias("period")).select(
+    counts = instants.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+    hot = written(counts.filter(F.col("n") > whole).select(*KEY), "hot-alerts")
+    if hot.isEmpty():
+        return map_groups(instants, KEY, ["us"], _walk, _EMITTED)
+    few = instants.alias("i").join(hot.alias("h"), _same("i", "h"), "left_anti")
+    many = instants.alias("i").join(hot.alias("h"), _same("i", "h"), "left_semi")
+    return map_groups(few, KEY, ["us"], _walk, _EMITTED).unionByName(_sliced_emissions(many, slice_us))
+
+
+def _sliced_emissions(instants: DataFrame, slice_us: int) -> DataFrame:
+    instants = instants.select(
         *KEY, "us", "period",
         F.expr(f"us div {slice_us}").alias("slice"),
         F.expr(f"(us div {slice_us}) * {slice_us}").alias("slice_start"),
@@ -143,10 +164,26 @@ def cooldown(
     seeds = entries.select(*by_slice, F.lit(0).cast("bigint").alias("period"), "entry", F.lit(0).alias("kind"),
                            F.lit(0).cast("bigint").alias("us"))
     rows = instants.select(*by_slice, "period", F.lit(0).cast("bigint").alias("entry"), F.lit(1).alias("kind"), "us")
-    emitted = map_groups(
-        seeds.unionByName(rows), by_slice, ["kind", "us"], _replay,
-        "drone_id string, alert_type string, us bigint, last_us bigint",
-    )
+    return map_groups(seeds.unionByName(rows), by_slice, ["kind", "us"], _replay, _EMITTED)
+
+
+def cooldown(
+    alerts: DataFrame, critical_s: float = CRITICAL_S, warning_s: float = WARNING_S,
+    slice_us: int = DEFAULT_SLICE_US, whole: int = WHOLE,
+) -> DataFrame:
+    """Alerts left after the cooldown, per drone and alert type.
+
+    An alert is emitted if strictly more than its own severity's period has passed since the
+    last emitted alert. Before the first emission that time is 0. Alerts of no drone or no type are a key of
+    their own. An alert without a time cannot be judged: it goes out, and silences nothing. The alerts are
+    written out first, since several steps read them and each would otherwise score the telemetry again.
+    """
+    written_out = written(alerts, "alerts")
+    alerts = written_out.filter(F.col("us").isNotNull())
+    period = F.when(F.col("severity") == "critical", int(critical_s * 1e6)).otherwise(int(warning_s * 1e6)).cast("bigint")
+    # rows of one instant collapse to the easiest of them to emit, before any shuffle
+    instants = alerts.groupBy(*KEY, "us").agg(F.min(period).alias("period"))
+    emitted = _emissions(instants, slice_us, whole)
     names = [c for c in alerts.columns if c not in (*KEY, "us")]
     passed = emitted.select(*[F.col(c).alias(f"_{c}") for c in (*KEY, "us")], "last_us")
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*KEY, "us")))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fleetlens import fixtures
 from fleetlens.operators import fleet, series
@@ -336,6 +337,97 @@ def rule_consumer_lag(spark, sf_dir):
     return rules.evaluate(lag, rule, ["partition"])
 
 
+# Every rule over the series that its own operators give. Limits that these tables never reach are lowered.
+LOWERED = [replace(r, threshold={"SwarmDroneCountLow": 140.0, "ConsumerLag": 50.0, "DiskUsageHigh": 0.18}.get(r.alert, r.threshold))
+           for r in rules.RULES.values()]
+_LOWERED_VALUES = "(VALUES " + ", ".join(
+    f"('{r.alert}', '{r.metric}', '{r.op}', {r.threshold}::DOUBLE, {r.for_s}, '{r.severity}', '{r.team}', {_text(r.summary)}, {_text(r.description)})"
+    for r in LOWERED) + ") AS r(alert, metric, op, threshold, for_s, severity, team, summary_template, description_template)"
+
+
+def _series_of(metric: str, source: str, *labels: str, value: str = "value") -> str:
+    named = [f"{label}::VARCHAR AS {label}" if label in labels else f"NULL::VARCHAR AS {label}" for label in ALL_LABELS]
+    return f"SELECT '{metric}' AS metric, {', '.join(named)}, tick, {value}::DOUBLE AS value FROM {source}"
+
+
+def _filled(template: str) -> str:
+    text = template
+    for label in ALL_LABELS:
+        text = f"replace({text}, '{{{label}}}', coalesce({label}, ''))"
+    return f"replace(replace({text}, '{{percentage}}', R2(value * 100)::VARCHAR || '%'), '{{value}}', R2(value)::VARCHAR)"
+
+
+_DRONE, _JOB = ("drone_id", "swarm_id"), ("job_name",)
+_EVERY_SERIES = f"""WITH {SCORED}{SAMPLES[len(TELEMETRY):]}, one AS (SELECT * FROM sample WHERE metric IN ('drone_battery_percent', 'drone_altitude_meters')),
+{grid_sql("one", "metric, drone_id, swarm_id", "g_gauge")}{CONNECTED[len(TELEMETRY):]},
+{grid_sql("link", "drone_id, swarm_id", "g_link")},
+fleet AS (SELECT tick, count(*) FILTER (value = 1)::DOUBLE AS value FROM g_link GROUP BY tick), {FRAMES},
+lat AS (SELECT drone_id, (us // 15000000 + 1) * 15000000 AS sample_us, sum(latency_s::DECIMAL(18,8))::DOUBLE / count(*) AS value
+  FROM frame GROUP BY drone_id, us // 15000000), {grid_sql("lat", "drone_id", "g_lat")},
+motor AS (SELECT drone_id, swarm_id, us, unnest(motor_rpm) AS rpm, generate_subscripts(motor_rpm, 1) - 1 AS i FROM tele),
+rpm AS (SELECT drone_id, swarm_id, 'motor_' || i AS motor_id, (us // 5000000 + 1) * 5000000 AS sample_us, arg_max(rpm, us) AS value
+  FROM motor GROUP BY drone_id, swarm_id, i, us // 5000000), {grid_sql("rpm", "drone_id, swarm_id, motor_id", "g_rpm")},
+mean AS (SELECT *, avg(value) OVER (PARTITION BY drone_id, swarm_id, tick) AS mu FROM g_rpm),
+dev AS (SELECT drone_id, swarm_id, motor_id, tick, CASE WHEN mu <> 0 THEN abs(value - mu) / mu END AS value FROM mean),
+health AS (SELECT drone_id, swarm_id, (us // 5000000 + 1) * 5000000 AS sample_us, arg_max(overall_score, us) * 100 AS value
+  FROM scored GROUP BY drone_id, swarm_id, us // 5000000), {grid_sql("health", "drone_id, swarm_id", "g_health")}{_RATIO[len(EVENTS):]},
+{grid_sql("counter", "job_name", "g_count")}, up AS (SELECT job_name, sample_us, floor(value / 10) AS value FROM counter),
+{grid_sql("up", "job_name", "g_up")}{_INCREASE[len(COUNTERS):]}, inc AS (SELECT job_name, sample_us, increase AS value FROM grown),
+{grid_sql("inc", "job_name", "g_inc")}{OFFSETS[len(EVENTS):]}, {grid_sql("head", "partition", "gh")}, {grid_sql("done", "partition", "gd")},
+lag_of AS (SELECT partition::VARCHAR AS "group", tick, gh.value - gd.value AS value FROM gh JOIN gd USING (partition, tick)),
+every AS (
+  {_series_of("drone_battery_percent", "g_gauge WHERE metric = 'drone_battery_percent'", *_DRONE)}
+  UNION ALL {_series_of("drone_altitude_meters", "g_gauge WHERE metric = 'drone_altitude_meters'", *_DRONE)}
+  UNION ALL {_series_of("drone_connected", "g_link", *_DRONE)} UNION ALL {_series_of("connected_drones", "fleet")}
+  UNION ALL {_series_of("inference_latency_seconds", "g_lat", "drone_id")}
+  UNION ALL {_series_of("drone_motor_deviation", "dev", *_DRONE, "motor_id")}
+  UNION ALL {_series_of("drone_health_score", "g_health", *_DRONE)}
+  UNION ALL {_series_of("consumer_lag", "lag_of", "group").replace("group::VARCHAR AS group", '"group"')}
+  UNION ALL {_series_of("job_restarts", "g_count", *_JOB)} UNION ALL {_series_of("job_uptime", "g_up", *_JOB)}
+  UNION ALL {_series_of("checkpoint_failures_increase", "g_inc", *_JOB)} UNION ALL {_series_of("disk_usage_ratio", "ratio", *_JOB)}),
+ruled AS (SELECT g.*, r.* EXCLUDE (metric) FROM every g JOIN {_LOWERED_VALUES} ON g.metric = r.metric),
+{state_sql("(op = '<' AND value < threshold) OR (op = '>' AND value > threshold) OR (op = '==' AND value = threshold)",
+           'alert, drone_id, swarm_id, motor_id, "group", job_name', "for_s", "ruled")}
+SELECT alert, drone_id, swarm_id, motor_id, job_name, tick, since, state, severity, {_filled("summary_template")} AS summary,
+  {_filled("description_template")} AS description FROM stated"""
+_EVERY_SERIES = _EVERY_SERIES.replace("NULL::VARCHAR AS group", 'NULL::VARCHAR AS "group"').replace("coalesce(group, '')", """coalesce("group", '')""")
+
+
+@query("all_rules_over_own_series", _EVERY_SERIES)
+def all_rules_over_own_series(spark, sf_dir):
+    """All thirteen rules in one evaluation, each over the series of its own operators."""
+    t = fixtures.telemetry(spark, sf_dir)
+    end = series.grid_end(t)
+    gauges = series.on_grid(series.scrape(t, ["battery_percent", "altitude_m"]), ["metric", *LABELS], end_us=end)
+    link = series.on_grid(series.connected_samples(t), LABELS)
+    latency = series.on_grid(rules.mean_series(fixtures.frames(spark, sf_dir), ["drone_id"], "latency_s"), ["drone_id"])
+    motors = rules.motor_deviation(series.on_grid(series.scrape_motors(t), [*LABELS, "motor_id"], end_us=end))
+    scores = scored(spark, sf_dir).withColumn("drone_health_score", F.col("overall_score") * 100)
+    health = series.on_grid(series.scrape(scores, ["drone_health_score"]).drop("metric"), LABELS, end_us=end)
+    head = offsets(spark, sf_dir)
+    done = head.withColumn("value", F.col("value") - F.col("partition") * 20)
+    lag = series.combine(series.on_grid(head, ["partition"]), series.on_grid(done, ["partition"]), ["partition"], "difference")
+    c = counters(spark, sf_dir)
+    counts = series.on_grid(c, ["job_name"])
+    up = series.on_grid(c.withColumn("value", F.floor(F.col("value") / 10).cast("double")), ["job_name"])
+    grown = series.increase(c, ["job_name"]).select("job_name", "sample_us", F.col("increase").alias("value"))
+    every = [
+        (gauges, None), (link, "drone_connected"), (rules.connected_count(link), "connected_drones"), (latency, "inference_latency_seconds"),
+        (motors, "drone_motor_deviation"), (health, "drone_health_score"),
+        (lag.withColumn("group", F.col("partition").cast("string")), "consumer_lag"), (counts, "job_restarts"), (up, "job_uptime"),
+        (series.on_grid(grown, ["job_name"]), "checkpoint_failures_increase"), (_ratio(spark, sf_dir), "disk_usage_ratio"),
+    ]
+
+    def shaped(grid, metric):
+        grid = grid if metric is None else grid.withColumn("metric", F.lit(metric))
+        labels = [F.col(c) if c in grid.columns else F.lit(None).cast("string").alias(c) for c in ALL_LABELS]
+        return grid.select("metric", *labels, "tick", F.col("value").cast("double").alias("value"))
+
+    grids = reduce(DataFrame.unionByName, [shaped(g, m) for g, m in every])
+    active = rules.evaluate_all(grids, LOWERED, ALL_LABELS)
+    return active.select("alert", *LABELS, "motor_id", "job_name", "tick", "since", "state", "severity", "summary", "description")
+
+
 @query("stale_data", f"""WITH {TELEMETRY},
 seen AS (SELECT drone_id, us AS sample_us, us::DOUBLE AS value FROM tele WHERE drone_id <> 'drone-0003'),
 {grid_sql("seen", "drone_id", lookback=None, end="(SELECT (max(us) + 14999999) // 15000000 * 15000000 FROM tele)")}

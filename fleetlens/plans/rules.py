@@ -105,7 +105,11 @@ def evaluate_all(
     met = F.lit(False)
     for op, compare in COMPARE.items():
         met = met | ((F.col("op") == op) & compare(F.col("value"), F.col("threshold")))
-    active = grid.join(table, "metric").filter(met)
+    # Rows that meet none of their metric's rules go before they are repeated for each of them.
+    any_met = F.lit(False)
+    for r in rules:
+        any_met = any_met | ((F.col("metric") == r.metric) & COMPARE[r.op](F.col("value"), F.lit(r.threshold)))
+    active = grid.filter(any_met).join(table, "metric").filter(met)
     stated = with_state(active, ["alert", *labels], F.col("for_s"), step_s)
     return annotate(stated, labels)
 

@@ -21,8 +21,9 @@ def greedy(rows):
     return out
 
 
-def run(spark, rows, slice_us=600 * S):
-    return {r.event_id for r in cooldown(spark.createDataFrame(rows, SCHEMA), slice_us=slice_us).collect()}
+def run(spark, rows, slice_us=600 * S, whole=0):
+    """By slices, unless ``whole`` says how many alerts of a key are walked at once."""
+    return {r.event_id for r in cooldown(spark.createDataFrame(rows, SCHEMA), slice_us=slice_us, whole=whole).collect()}
 
 
 @pytest.mark.parametrize("slice_s", [7, 45, 10_000])
@@ -30,7 +31,7 @@ def test_equals_greedy_rule_with_a_hot_drone(spark, slice_s):
     rng = random.Random(slice_s)
     rows = [(rng.choice(["hot"] * 6 + ["x", "y"]), rng.choice(["heat", "motor"]), i, rng.randrange(0, 1500) * S // 2,
              rng.choice(["warning", "critical"])) for i in range(900)]
-    assert run(spark, rows, slice_s * S) == greedy(rows)
+    assert run(spark, rows, slice_s * S) == greedy(rows) == run(spark, rows, slice_s * S, whole=120) == run(spark, rows, whole=10**6)
 
 
 def test_exact_periods_are_not_enough(spark):
@@ -71,5 +72,5 @@ def test_step_function_equals_replay():
 def test_alerts_without_a_time_or_a_drone(spark):
     rows = [("d", "k", 1, 40 * S, "warning"), ("d", "k", 2, None, "warning"), ("d", "k", 3, 41 * S, "warning"), (None, "k", 4, 40 * S, "warning"),
             (None, "k", 5, 41 * S, "critical"), (None, None, 6, 40 * S, "critical"), (None, "k", 7, None, "warning"), ("d", "k", 8, None, "warning")]
-    assert run(spark, rows) == {1, 2, 4, 6, 7, 8}
+    assert run(spark, rows) == run(spark, rows, whole=2) == run(spark, rows, whole=100) == {1, 2, 4, 6, 7, 8}
     assert run(spark, [("d", "k", 1, None, "warning")]) == {1} and cooldown(spark.createDataFrame([], SCHEMA)).count() == 0
