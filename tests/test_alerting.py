@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from fleetlens.streaming import alerting, jobs
 from fleetlens.streaming.alerting import SILENCE, Watch
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 S = 1_000_000
 SCHEMA = "event_id bigint, drone_id string, swarm_id string, us bigint, battery_percent double, connected boolean"
 WATCHES = [Watch("low", "battery_percent", "<", 30.0, 30), Watch("lost", "connected", "==", 0.0, 15, stale_s=30),
@@ -79,7 +81,7 @@ def rows_of(seed, n=260, span=900):
     return rows
 
 
-@pytest.mark.parametrize("seed, cuts", [(1, [90, 91, 180]), (2, [60])])
+@pytest.mark.parametrize("seed, cuts", [(1, [90, 91])])
 def test_ticks_equal_plain_rules_over_restarts(spark, tmp_path, seed, cuts):
     rows = rows_of(seed)
     end = max(r[3] for r in rows)

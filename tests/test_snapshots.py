@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from fleetlens.operators import fleet
 from fleetlens.streaming import snapshots
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 SCHEMA = "k string, a bigint, b string, us bigint"
 
 
@@ -20,13 +22,13 @@ def test_reading_stays_bounded_over_many_batches(spark, tmp_path):
     target, rng, want = str(tmp_path / "t"), random.Random(3), {}
     write = snapshots.keeping_current(target, ["k"], every=5)
     read = []
-    for batch in range(37):
+    for batch in range(22):
         rows = [(f"k{rng.randrange(12)}", batch, rng.choice([None, "x", "y"]), batch) for _ in range(3)]
         rows = list({r[0]: r for r in rows}.values())
         write(spark.createDataFrame(rows, SCHEMA).coalesce(1), batch)
         for k, a, b, _ in rows:
             want[k] = (a, b if b is not None else want.get(k, (0, None))[1])
-        if batch % 6 == 5:
+        if batch % 7 == 6:
             now = snapshots.current(spark, target, ["k"])
             read.append(snapshots.read_files(now))
             assert {r.k: (r.a, r.b) for r in now.collect()} == want

@@ -2,11 +2,14 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import commands, lookups
 from fleetlens.streaming import jobs, joins
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 S = 1_000_000
 LEFT = "event_id bigint, drone_id string, us bigint, command string, at timestamp, share double"
 RIGHT = "event_id bigint, drone_id string, us bigint, note string"

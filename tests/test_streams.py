@@ -1,10 +1,13 @@
 """Streams over several files: late rows, restarts, delivery statistics, window boundaries."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import anomalies, windows
 from fleetlens.streaming import jobs
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 S = 1_000_000
 SCHEMA = ("event_id bigint, drone_id string, swarm_id string, us bigint, timestamp_s double, ts timestamp, battery_percent double, "
           "battery_voltage double, altitude_m double, velocity_ms double, latitude double, longitude double, "
