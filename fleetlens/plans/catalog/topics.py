@@ -179,8 +179,8 @@ def alerts_topic(spark, sf_dir):
 SELECT drone_id, partition::INT AS partition, "offset" FROM log WHERE event_id % 8 >= 4 ORDER BY partition, "offset" LIMIT 50""")
 def first_messages(spark, sf_dir):
     damaged = topics.as_log(damaged_log(spark, sf_dir).drop("timestamp"), "telemetry", partition=F.expr(f"{USER_OF_KEY} % 6"))
-    good, _ = decode.decode_telemetry(topics.with_provenance(damaged))
-    return topics.first_messages(good, 50).select("drone_id", "_meta.partition", "_meta.offset")
+    first = topics.first_decoded(topics.with_provenance(damaged), "telemetry", 50)
+    return first.select("drone_id", "_meta.partition", "_meta.offset")
 
 
 @query("keyed_json", f"""WITH {TELEMETRY}

@@ -73,3 +73,9 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hadoop_folder(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path and the path, through Hadoop's interface, so that any store will do."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder

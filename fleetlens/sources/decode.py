@@ -11,6 +11,8 @@ CORRUPT = "_corrupt_record"
 
 # Error types of the error counter.
 SYNTAX_ERROR, PROCESSING_ERROR = "json_decode", "processing"
+#: Failures of the broker's client; they end a query, and are counted by ``jobs.DeliveryStats``.
+KAFKA_ERROR = "kafka_error"
 
 
 def ingest_us(df: DataFrame, ingest_ts: str | None = None) -> Column:

@@ -9,12 +9,14 @@ the records; nothing here makes them up.
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlens.functions.columns import ColumnLike, col
 from fleetlens.operators.ordered import DEFAULT_SLICE_US, with_history
 from fleetlens.schemas import INFERENCE_WRITER_DEFAULTS, TOPICS, WRITER_DEFAULTS
+from fleetlens.session import hadoop_folder, written
 from fleetlens.sources.decode import decode
 
 RECORD = "topic string, partition int, offset bigint, timestamp timestamp, key string, value string"
@@ -65,6 +67,23 @@ def retained(spark: SparkSession, topic: str, source: str, today: str) -> DataFr
     return scan_topic(spark, topic, source, since.isoformat())
 
 
+def drop_expired(spark: SparkSession, topic: str, source: str, today: str) -> list[str]:
+    """Delete the days of a folder topic that its retention no longer covers; returns them. Topics without a retention keep all.
+
+    Maintenance for between runs: a reader that began before may still want the files.
+    """
+    kept_s = TOPICS[topic].retention_s
+    files, folder = hadoop_folder(spark, f"{source}/topic={TOPICS[topic].name}")
+    if kept_s is None or not files.exists(folder):
+        return []
+    since = (datetime.date.fromisoformat(today) - datetime.timedelta(seconds=kept_s)).isoformat()
+    days = [(m[1], s.getPath()) for s in files.listStatus(folder) if (m := re.fullmatch(r"day=(\d{4}-\d\d-\d\d)", s.getPath().getName()))]
+    expired = [(day, path) for day, path in days if day < since]
+    for _, path in expired:
+        files.delete(path, True)
+    return sorted(day for day, _ in expired)
+
+
 def scan_topic_stream(
     spark: SparkSession, topic: str, source: str | dict[str, str], max_per_trigger: int | None = MAX_PER_TRIGGER
 ) -> DataFrame:
@@ -92,8 +111,23 @@ def read_topic(
     spark: SparkSession, topic: str, source: str | dict[str, str], limit: int | None = None, raw: bool = False
 ) -> DataFrame:
     """Decoded records with ``_meta``; with ``limit``, the first that many which decode. ``raw`` as in :func:`decode`."""
-    good, _ = decode(with_provenance(scan_topic(spark, topic, source)), topic, raw=raw)
-    return good if limit is None else first_messages(good, limit)
+    records = with_provenance(scan_topic(spark, topic, source))
+    return decode(records, topic, raw=raw)[0] if limit is None else first_decoded(records, topic, limit, raw)
+
+
+def first_decoded(records: DataFrame, topic: str, n: int, raw: bool = False) -> DataFrame:
+    """The first ``n`` records that decode, by partition and offset, without decoding the others.
+
+    Somewhat more than ``n`` records are taken in their order, each task handing over that many at most, and decoded;
+    if too few of them are good, four times as many are, until there are enough or no more.
+    """
+    taken = max(2 * n, 100)
+    while True:
+        some = written(records.orderBy("_meta.partition", "_meta.offset").limit(taken), "first-records")
+        good, _ = decode(some, topic, raw=raw)
+        if good.limit(n).count() >= n or some.count() < taken:
+            return first_messages(good, n)
+        taken *= 4
 
 
 def read_rejects(spark: SparkSession, topic: str, source: str | dict[str, str]) -> DataFrame:

@@ -15,6 +15,7 @@ from fleetlens.functions.health import motor_cv
 from fleetlens.operators import anomalies, fleet, lookups, windows
 from fleetlens.operators.windows import WATERMARK
 from fleetlens.sources import topics
+from fleetlens.sources.decode import KAFKA_ERROR
 from fleetlens.streaming import snapshots
 from fleetlens.streaming.processor import ADDED, PREV, FixFilter, HealthProcessor
 
@@ -238,7 +239,7 @@ def sessions_stream(df: DataFrame, gap_s: int = 300, delay: str = WATERMARK) ->
 
 
 class DeliveryStats(StreamingQueryListener):
-    """Records read, rows that came too late, and errors, per query, over all of its batches.
+    """Records read, rows that came too late, and errors, those of the broker apart, per query, over all of its batches.
 
     Register it with ``spark.streams.addListener`` before the query starts; a query's own progress keeps
     its last hundred batches only.
@@ -260,7 +261,9 @@ class DeliveryStats(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        self.totals[str(event.runId)].update({"ended": 1, "delivery_errors": int(event.exception is not None)})
+        told = event.exception or ""
+        broker = "org.apache.kafka" in told or "KafkaException" in told
+        self.totals[str(event.runId)].update({"ended": 1, "delivery_errors": int(bool(told)), KAFKA_ERROR: int(broker)})
 
     def of(self, query: StreamingQuery, wait_s: float = 10.0) -> dict[str, int]:
         """A query's totals. Events come a little later than they happen: those of an ended query are waited for."""
@@ -268,7 +271,7 @@ class DeliveryStats(StreamingQueryListener):
         totals = self.totals[str(query.runId)]
         while not query.isActive and not totals["ended"] and time.monotonic() < until:
             time.sleep(0.05)
-        return {name: totals[name] for name in ("messages_read", "dropped_late", "delivery_errors")}
+        return {name: totals[name] for name in ("messages_read", "dropped_late", "delivery_errors", KAFKA_ERROR)}
 
 
 def delivery_stats(spark: SparkSession) -> DeliveryStats:

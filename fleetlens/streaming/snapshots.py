@@ -15,24 +15,19 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fleetlens.functions.columns import order_key
+from fleetlens.session import hadoop_folder
 
 FOLD_EVERY, BUCKETS = 20, 16
 
 
-def _folder(spark: SparkSession, path: str):
-    """The file system of a path and the path, through Hadoop's interface, so any store will do."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
-
-
 def _numbered(spark: SparkSession, path: str, name: str) -> list[int]:
     """Numbers of the finished ``name=N`` folders below a path, ascending."""
-    files, folder = _folder(spark, path)
+    files, folder = hadoop_folder(spark, path)
     if not files.exists(folder):
         return []
     found = [re.fullmatch(rf"{name}=(\d+)", status.getPath().getName()) for status in files.listStatus(folder)]
     numbers = [int(m[1]) for m in found if m]
-    return sorted(n for n in numbers if files.exists(_folder(spark, f"{path}/{name}={n}/_SUCCESS")[1]))
+    return sorted(n for n in numbers if files.exists(hadoop_folder(spark, f"{path}/{name}={n}/_SUCCESS")[1]))
 
 
 def newest_per_key(rows: DataFrame, keys: Sequence[str], order: str = "batch_id") -> DataFrame:
@@ -84,7 +79,7 @@ def fold(
         for path, name, numbers in (("snapshots", "upto", before[:-1]), ("changes", "batch_id", [
                 n for n in _numbered(spark, f"{target}/changes", "batch_id") if n <= before[-1]])):
             for n in numbers:
-                files, folder = _folder(spark, f"{target}/{path}/{name}={n}")
+                files, folder = hadoop_folder(spark, f"{target}/{path}/{name}={n}")
                 files.delete(folder, True)
 
 

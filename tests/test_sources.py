@@ -1,10 +1,13 @@
 """Decoding, topics, file trees and logs."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import datasets, logs, normalise
 from fleetlens.operators.commands import ROUTES, TOOL_ROUTES, route
+from fleetlens.schemas import TOPICS
 from fleetlens.sources import decode, files, topics
 
 GOOD = '{"drone_id": "d1", "swarm_id": "s", "timestamp": 1.5, "battery_percent": 50, "position": {"lat": 1, "lon": 2}, "motor_rpm": [1, 2, 3, 4], "connected": true}'
@@ -182,3 +185,38 @@ def test_local_frame(spark):
                                "battery_level double, battery_voltage_current double, motor_speeds array<double>")
     r = normalise.from_local_frame(df).first()
     assert (r.drone_id, r.velocity_ms, r.altitude_m, r.temperature_c, r.signal_dbm, r.connected) == ("drone-007", 5.0, 0.0, 27.5, -40.0, False)
+
+
+def test_first_records_that_decode_among_many_that_do_not(spark):
+    good = '{"drone_id": "d%d", "timestamp": 1}'
+    rows = [("drone.telemetry", i % 3, i, None, "k", good % i if i % 50 == 49 else "broken") for i in range(1500)]
+    records = topics.with_provenance(spark.createDataFrame(rows, topics.RECORD))
+    def first(n):
+        return [(r._meta.partition, r._meta.offset) for r in topics.first_decoded(records, "telemetry", n).collect()]
+    want = sorted((i % 3, i) for i in range(1500) if i % 50 == 49)
+    assert sorted(first(4)) == want[:4] and sorted(first(25)) == want[:25] and sorted(first(99)) == want and first(0) == []
+
+
+def test_expired_days_are_dropped(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    rows = [("drone.telemetry", 0, d, datetime.datetime(2024, 1, d, 12), "k", '{"drone_id": "d", "timestamp": 1}') for d in range(1, 21)]
+    records = spark.createDataFrame(rows, topics.RECORD)
+    topics.write_topic(records, "telemetry", folder)
+    kept_days = TOPICS["telemetry"].retention_s // 86_400
+    before = sorted(r.offset for r in topics.retained(spark, "telemetry", folder, "2024-01-20").collect())
+    gone = topics.drop_expired(spark, "telemetry", folder, "2024-01-20")
+    assert gone == [f"2024-01-{d:02}" for d in range(1, 20 - kept_days)]
+    assert sorted(r.offset for r in topics.scan_topic(spark, "telemetry", folder).collect()) == before == list(range(20 - kept_days, 21))
+    assert topics.drop_expired(spark, "telemetry", folder, "2024-01-20") == [] == topics.drop_expired(spark, "alerts", str(tmp_path / "none"), "2024-01-20")
+
+
+def test_broker_errors_are_counted_apart():
+    from types import SimpleNamespace
+
+    from fleetlens.streaming.jobs import DeliveryStats
+
+    stats = DeliveryStats()
+    for run, told in (("a", None), ("b", "org.apache.kafka.common.errors.TimeoutException: no node"), ("c", "java.lang.ArithmeticException")):
+        stats.onQueryTerminated(SimpleNamespace(runId=run, exception=told))
+    errors = {run: (c["delivery_errors"], c["kafka_error"]) for run, c in stats.totals.items()}
+    assert errors == {"a": (0, 0), "b": (1, 1), "c": (1, 0)}
