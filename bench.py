@@ -27,6 +27,7 @@ from fleetlens.sources import topics  # noqa: E402
 from fleetlens.streaming import jobs  # noqa: E402
 
 LIVE_S, LIVE_RATE, LIVE_FILES = 20, 100, 2  # seconds, records a second, files a second
+LIVE_PARTITIONS = 2  # of the state, for five drones
 
 HEADLINE = [
     "fleet_health_report", "health_scores", "alerts", "alert_cooldown", "tumbling_health", "sliding_trend",
@@ -55,7 +56,7 @@ def throughput(spark: SparkSession, sf_dir: str) -> dict[str, float]:
 
 
 def latency(spark: SparkSession) -> dict[str, float]:
-    """Arrival to score, while records arrive at a steady rate; the job runs without a trigger."""
+    """Arrival to score, while records arrive at a steady rate; the job runs without a trigger, its state in few partitions."""
     folder, checkpoint = shared_dir(spark, "bench-live"), shared_dir(spark, "bench-live-state")
     lags: list[float] = []
 
@@ -71,7 +72,7 @@ def latency(spark: SparkSession) -> dict[str, float]:
         lags.extend(time.time() - us / 1e6 for us in seen)
 
     put(0, 10)
-    with jobs.data_batches_only(spark):
+    with jobs.data_batches_only(spark), jobs.state_partitions(spark, LIVE_PARTITIONS):
         query = jobs.health_stream(arriving(spark, folder)).writeStream.option("checkpointLocation", checkpoint).foreachBatch(score).start()
     query.processAllAvailable()
     lags.clear()

@@ -41,6 +41,22 @@ def data_batches_only(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(NO_DATA_BATCHES, before)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None) -> Iterator[None]:
+    """Start a query whose state has ``n`` partitions (None: as many as the session shuffles into).
+
+    A checkpoint keeps the number it began with. Every partition costs each micro-batch a fixed time, a Python
+    step and a commit, so a fleet that one or two tasks can serve is scored sooner with one or two.
+    """
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    if n is not None:
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """State beyond memory, with state expiry; needed by the stateful step."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -103,16 +119,17 @@ def write_outputs(target: str) -> Callable[[DataFrame, int], None]:
 
 
 def run_health_job(telemetry: DataFrame, target: str, checkpoint: str, ttl_s: int = anomalies.STATE_TTL_S,
-                   **trigger) -> StreamingQuery:
+                   partitions: int | None = None, **trigger) -> StreamingQuery:
     """Start the health job; ``availableNow=True`` processes what is there and stops.
 
     Without a trigger a batch starts as soon as the one before is done, so a score waits for one batch.
+    ``partitions`` as in :func:`state_partitions`.
     """
     writer = _triggered(
         health_stream(telemetry, ttl_s).writeStream.queryName("health")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(write_outputs(target)), trigger)
-    with data_batches_only(telemetry.sparkSession):
+    with data_batches_only(telemetry.sparkSession), state_partitions(telemetry.sparkSession, partitions):
         return writer.start()
 
 
