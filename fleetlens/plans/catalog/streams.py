@@ -340,8 +340,8 @@ def current_after_many_batches(spark, sf_dir):
     """Drones' last records kept current over a batch for each of many files; silent ones go after five minutes."""
     t = fixtures.telemetry(spark, sf_dir)
     folder, target, checkpoint = (shared_dir(spark, f"current-{n}") for n in ("in", "out", "state"))
-    t.repartitionByRange(24, "us").sortWithinPartitions("us").write.parquet(folder)
-    write = snapshots.keeping_current(target, ["drone_id"], every=5, keep_s=300, order="place", of=lambda batch: snapshots.last_rows(batch, ["drone_id"]))
+    t.repartitionByRange(10, "us").sortWithinPartitions("us").write.parquet(folder)
+    write = snapshots.keeping_current(target, ["drone_id"], every=4, keep_s=300, order="place", of=lambda batch: snapshots.last_rows(batch, ["drone_id"]))
     stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     jobs.run_foreach(stream, write, checkpoint, availableNow=True).awaitTermination()
     newest = snapshots.current(spark, target, ["drone_id"], keep_s=300, order="place")

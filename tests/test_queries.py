@@ -15,7 +15,9 @@ def duck():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(spark, duck, name):
+def test_query(spark, duck, name, request):
+    if name.startswith(("streamed", "current")):
+        request.getfixturevalue("few_partitions")
     problem, _ = difference(QUERIES[name](spark, SF_DIR), duck, ORACLES[name])
     assert problem is None, problem
 
