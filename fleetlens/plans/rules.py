@@ -71,10 +71,10 @@ def with_state(true_ticks: DataFrame, labels: Sequence[str], for_s: int | Column
     """
     step = step_s * SECOND
     series = Window.partitionBy(*labels).orderBy("tick")
-    run = F.col("tick") - F.row_number().over(series) * F.lit(step)
+    run = F.col("tick") - F.row_number().over(series).cast("bigint") * F.lit(step)
     runs = true_ticks.withColumn("_run", run)
     since = F.min("tick").over(Window.partitionBy(*labels, "_run"))
-    needed = (F.lit(for_s) if isinstance(for_s, int) else for_s) * F.lit(SECOND)
+    needed = (F.lit(for_s) if isinstance(for_s, int) else for_s).cast("bigint") * F.lit(SECOND)
     return (
         runs.withColumn("since", since)
         .withColumn("state", F.when(F.col("tick") - F.col("since") >= needed, "firing").otherwise("pending"))

@@ -38,6 +38,13 @@ def test_gap_inside_and_past_lookback(spark):
     assert absent == {("d", 0): "pending", ("d", 15): "pending", ("d", 60): "pending"}
 
 
+def test_long_alerts_and_durations(spark):
+    """More ticks in a series, and more seconds to hold, than an int has microseconds for."""
+    rows = [("d", t, 10) for t in range(0, 15 * 300, 15)]
+    got = states(spark, rows, end_s=15 * 299, rule=rules.Rule("Low", "m", "<", 15.0, 3000, "critical", "ops", "", ""))
+    assert got == {("d", t): "firing" if t >= 3000 else "pending" for t in range(0, 15 * 300, 15)}
+
+
 def test_series_are_apart(spark):
     got = states(spark, [("a", 0, 10), ("b", 15, 10)], end_s=30)
     assert got[("a", 30)] == "firing" and got[("b", 30)] == "pending"
