@@ -6,6 +6,7 @@ import re
 import struct
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,26 @@ SHARD_PIECES, SHARD_ENTRIES = 1024, 4_000_000
 KEYS, TERM_BITS, SAMPLED = 3, 17, 64
 # BM25's usual constants.
 K1, B = 1.2, 0.75
-#: Words whose ids a task remembers, and characters that are split into words at a time.
-REMEMBERED, BLOCK = 250_000, 4_000_000
+#: Words and pieces whose ids a task remembers, characters that are split into words at a time, and rows and
+#: words that are put together at a time.
+REMEMBERED, BLOCK, OUT_ROWS, LAID = 400_000, 8_000_000, 1000, 200_000
+#: Times at most that the postings of used documents are taken out of a shard's index.
+DROPS = 32
 
 # How the tokenizer cuts a word, for characters up to U+017F: a contraction, letters, one
 # numeral, or a run of other characters.
 _NUMERALS = "\\d²³¹¼½¾"
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W_{_NUMERALS}]+|[{_NUMERALS}]|(?:[^\w]|_)+")
+_LETTER = rf"[^\W_{_NUMERALS}]"
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_LETTER}+|[{_NUMERALS}]|(?:[^\w]|_)+")
+
+# Those characters in lower case, and their kinds for cutting whole blocks at once. Words with a
+# strange one are cut one by one: contractions, special tokens and what the normaliser may change.
+_LETTERS, _NUMERAL, _OTHER, _STRANGE = range(4)
+_PLAIN = [chr(c) for c in range(0x180)]
+_LOWER = np.array([ord(c.lower()[0]) for c in _PLAIN], dtype="<u4")
+_KIND = np.array([
+    _STRANGE if c in "'<İ" or not c.isprintable() else _LETTERS if re.match(_LETTER, c.lower()) else
+    _NUMERAL if re.match(f"[{_NUMERALS}]", c) else _OTHER for c in _PLAIN] + [_STRANGE], dtype=np.int8)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -47,9 +61,10 @@ class Words:
     """Token ids of texts by way of their distinct words.
 
     White space only separates words in this tokenizer, so a text's ids are its words' ids one
-    after another. A block's words are numbered, distinct ones are looked up or encoded, and the
-    ids are put together as arrays. Plain lower-case pieces go to the tokenizer's model; any word
-    that its normaliser could change in another way goes through the whole tokenizer.
+    after another. A block's words are numbered, the distinct ones are cut into pieces as arrays,
+    distinct pieces are looked up or go to the tokenizer's model, and the ids are put together as
+    arrays. Any word that the normaliser could change other than to lower case goes through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -71,52 +86,106 @@ class Words:
             ids = self.pieces[piece] = _packed([token.id for token in self.model.tokenize(spelled)])
         return ids
 
-    def _encode(self, word: str) -> bytes:
-        if not word:
-            return b""
-        # Up to U+017F every letter is composed already, and lower case is letter by letter.
-        if max(word) < "ƀ" and "<|" not in word and "İ" not in word and word.isprintable():
-            low = word.lower()
-            return self._piece(low) if low.isalpha() else b"".join(map(self._piece, _PIECE.findall(low)))
-        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            # Up to U+017F every letter is composed already, and lower case is letter by letter.
+            if word and max(word) < "ƀ" and "<|" not in word and "İ" not in word and word.isprintable():
+                ids = b"".join(map(self._piece, _PIECE.findall(word.lower())))
+            else:
+                ids = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            self.words[word] = ids
+        return ids
+
+    def _plain(self, words: pa.Array, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without strange characters, end to end, and each word's number of them."""
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        kind = _KIND[points]
+        at = _begins(pc.utf8_length(words).to_numpy(zero_copy_only=False))
+        first = np.ones(len(points), dtype=bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMERAL)
+        first[at[:-1]] = True
+        begins = np.flatnonzero(first)
+        low = _LOWER[points]
+        until = _begins(1 + (low >= 0x80))  # in bytes
+        data = low.tobytes().decode("utf-32-le").encode()
+        cut = pa.LargeStringArray.from_buffers(
+            len(begins), pa.py_buffer(until[np.append(begins, len(points))]), pa.py_buffer(data)).dictionary_encode()
+        known, table = self.pieces, []
+        for piece in cut.dictionary.to_numpy(zero_copy_only=False).tolist():
+            table.append(known.get(piece) or self._piece(piece))
+        flat, until = _laid_out(*_table(table), cut.indices.to_numpy(zero_copy_only=False))
+        return flat, np.diff(until[np.searchsorted(begins, at)])
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` end to end, and where each text's begin (one more entry than texts)."""
-        if len(self.words) > REMEMBERED or len(self.pieces) > REMEMBERED:
-            self.words, self.pieces = {}, {}
+        if len(self.words) > REMEMBERED:
+            self.words = {}
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
         lists = pc.ascii_split_whitespace(texts)
         numbered = lists.flatten().dictionary_encode()
-        known, table = self.words, []
-        for word in numbered.dictionary.to_numpy(zero_copy_only=False).tolist():
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self._encode(word)
-            table.append(ids)
-        size = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        flat = np.frombuffer(b"".join(table), "<u4")
-        first = np.concatenate(([0], np.cumsum(size)))[:-1]
-        word = numbered.indices.to_numpy(zero_copy_only=False)
-        count = size[word]
-        until = np.concatenate(([0], np.cumsum(count)))
-        out = flat[np.repeat(first[word] - until[:-1], count) + np.arange(until[-1])]
+        words = numbered.dictionary.cast(pa.large_string())
+        points, lengths = _points(words), pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(words)), lengths)
+        plain = lengths > 0
+        plain[owner[_KIND[points] == _STRANGE]] = False
+        flat, size = self._plain(words.filter(pa.array(plain)), points[plain[owner]])
+        others, sizes = _table([self._word(word) for word in words.filter(pa.array(~plain)).to_pylist()])
+        count = np.empty(len(words), np.int64)
+        count[plain], count[~plain] = size, sizes
+        first = np.empty(len(words), np.int64)
+        first[plain], first[~plain] = _begins(size)[:-1], len(flat) + _begins(sizes)[:-1]
+        out, until = _laid_out(np.concatenate([flat, others]), count, numbered.indices.to_numpy(zero_copy_only=False), first)
         return out, until[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
 
+def _begins(size: np.ndarray) -> np.ndarray:
+    """Where entries of these sizes begin, end to end, and where the last one ends."""
+    return np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+
+
+def _points(words: pa.Array) -> np.ndarray:
+    """Code points of all words end to end; those from U+0180 on count as that one."""
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset:][:len(words) + 1] if len(words) else [0, 0]
+    text = words.buffers()[2].slice(at[0], at[-1] - at[0]).to_pybytes().decode() if at[-1] > at[0] else ""
+    return np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), 0x180)
+
+
+def _table(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
+def _laid_out(flat: np.ndarray, size: np.ndarray, index: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a table's entries in the order of ``index``, end to end, and where each begins."""
+    first = _begins(size)[:-1] if first is None else first
+    until = _begins(size[index])
+    out = np.empty(until[-1], "<u4")
+    for a in range(0, len(index), LAID):
+        at = until[a:a + LAID + 1]
+        shift = np.repeat(first[index[a:a + LAID]] - at[:-1], np.diff(at))
+        out[at[0]:at[-1]] = flat[shift + np.arange(at[0], at[-1])]
+    return out, until
+
+
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Slices of an array of texts of about ``BLOCK`` characters each."""
-    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-    start, held = 0, 0
-    for i, n in enumerate(size):
-        held += n
-        if held >= BLOCK:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(size):
-        yield start, len(size)
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of batches in blocks of about ``BLOCK`` characters of the second column."""
+    held, size = [], 0
+    for batch in batches:
+        start = 0
+        for i, n in enumerate(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).tolist()):
+            size += n
+            if size >= BLOCK:
+                yield pa.concat_batches([*held, batch.slice(start, i + 1 - start)])
+                start, held, size = i + 1, [], 0
+        held.append(batch.slice(start))
+    if size or any(map(len, held)):
+        yield pa.concat_batches(held)
 
 
 _TOKENS = "tokens long, ids binary, term_docs array<struct<term: int, docs: long>>"
@@ -135,19 +204,19 @@ def tokenise(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_I
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, type_ = Words(path), np.zeros(1 << 17, dtype=np.int64), pa.int64()
-        for batch in batches:
-            type_ = batch.schema.field(0).type
-            texts = batch.column(1)
-            for start, stop in _blocks(texts):
-                flat, at = words.ids(texts.slice(start, stop - start))
-                rows, sizes = [], []
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                    ids = np.append(flat[a:b], np.uint32(end_id))
-                    counts[np.unique(ids)] += 1
-                    rows.append(ids.astype("<u4").tobytes())
-                    sizes.append(len(ids))
+        end = np.array([end_id], dtype="<u4")
+        for block in _blocks(batches):
+            type_ = block.schema.field(0).type
+            flat, at = words.ids(block.column(1))
+            for start in range(0, len(block), OUT_ROWS):
+                docs = block.column(0).slice(start, OUT_ROWS)
+                rows = []
+                for a, b in pairwise(at[start:start + OUT_ROWS + 1].tolist()):
+                    ids = np.append(flat[a:b], end)
+                    counts[bag(ids)[0]] += 1
+                    rows.append(ids.tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, stop - start), pa.array(sizes, pa.int64()), pa.array(rows, pa.binary()),
+                    [docs, pa.array(np.diff(at[start:start + OUT_ROWS + 1]) + 1), pa.array(rows, pa.binary()),
                      pa.nulls(len(rows), term_docs)], ["doc_id", "tokens", "ids", "term_docs"])
         used = np.flatnonzero(counts)
         if len(used):
@@ -184,11 +253,17 @@ class Shard:
         self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.piece])
         self.terms, self.first = np.unique(term, return_index=True)
         self.last = np.append(self.first[1:], len(term))
-        order = np.argsort(self.piece, kind="stable")
-        self.of_piece = np.searchsorted(self.terms, term[order])
-        self.starts = np.searchsorted(self.piece[order], np.arange(len(bags) + 1))
+        self.of_piece = np.searchsorted(self.terms, flat)
+        self.starts = _begins([len(terms) for terms, _ in bags])
         self.used = np.zeros(len(bags), dtype=bool)
 
+    def drop_used(self) -> None:
+        """Take the postings of used pieces out; the others keep their order, and so their scores."""
+        kept = ~self.used[self.piece]
+        before = _begins(kept)
+        self.piece, self.weight = self.piece[kept], self.weight[kept]
+        self.first, self.last = before[self.first], before[self.last]
+
     def neighbours(self, seed: int) -> Iterator[int]:
         """Unused pieces by BM25 against all terms of the seed, best first, ties in order."""
         terms = self.of_piece[self.starts[seed]:self.starts[seed + 1]]
@@ -213,14 +288,17 @@ def content_keys(bags: list[tuple], idf: np.ndarray, shared: np.ndarray, mean: f
     A key is a row of min-hashes, each a term: the one of the least exponential draw over its BM25 weight. Two
     documents agree in one as likely as their weights overlap. Terms of a single document are left out.
     """
-    draws = np.random.Generator(np.random.PCG64(29)).standard_exponential((KEYS, len(idf)))
+    draws = np.random.Generator(np.random.PCG64(29)).standard_exponential((KEYS, len(idf))).T.copy()
+    worth, norms = idf * shared, K1 * (1 - B + B * np.array([tf.sum() for _, tf in bags]) / mean)
     keys = []
-    for terms, tf in bags:
-        weight = idf[terms] * shared[terms] * tf / (tf + K1 * (1 - B + B * tf.sum() / mean))
-        some = weight > 0
+    for (terms, tf), norm in zip(bags, norms.tolist()):
+        weight = worth[terms] * tf / (tf + norm)
+        if not weight.all():
+            some = weight > 0
+            terms, weight = terms[some], weight[some]
         key = 0
-        if some.any():
-            for term in terms[some][(draws[:, terms[some]] / weight[some]).argmin(axis=1)].tolist():
+        if len(terms):
+            for term in terms[(draws[terms].T / weight).argmin(axis=1)].tolist():
                 key = key << TERM_BITS | term
         keys.append(key)
     return keys
@@ -273,7 +351,7 @@ def pack_pieces(tails: list[np.ndarray], index: Shard, open_: list, sequence: in
     """
     room = sequence - sum(length for *_, length in open_)
     window, seeds = list(open_), iter(range(len(tails)))
-    seed = None
+    seed, asked = None, 0
 
     def put(piece: int, start: int) -> Iterator[list]:
         nonlocal room, window, seed
@@ -294,7 +372,9 @@ def pack_pieces(tails: list[np.ndarray], index: Shard, open_: list, sequence: in
             index.used[seed] = True
             yield from put(seed, 0)
             continue
-        of, closed = seed, False
+        of, closed, asked = seed, False, asked + 1
+        if asked % (len(tails) // DROPS + 1) == 0:
+            index.drop_used()
         for piece in index.neighbours(of):
             index.used[piece] = True
             for full in put(piece, 0):

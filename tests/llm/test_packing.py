@@ -39,6 +39,26 @@ def test_every_character_below_u3000(tokenizer):
     assert [flat[at[i]:at[i + 1]].tolist() for i in range(len(words))] == want
 
 
+def test_plain_words_are_cut_together(tokenizer):
+    """Only words with a strange character are cut alone, and slices of a longer array give the same ids."""
+    texts = pa.array(["skipped", "The river, the RIVER: 12½ naïve_été...x", "", " don't <|x 日本 ", "River's end.\n(river)"]).slice(1)
+    words = packing.Words(packing.vocabulary_path())
+    flat, at = words.ids(texts)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert [flat[at[i]:at[i + 1]].tolist() for i in range(4)] == want
+    assert set(words.words) - {""} == {"don't", "<|x", "日本", "River's"}
+
+
+def test_blocks_join_and_cut_batches(monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 10)
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids), pa.array(["x" * n for n in sizes])], ["doc_id", "text"])
+               for ids, sizes in [([1, 2], [4, 0]), ([3], [3]), ([4, 5, 6], [3, 25, 2]), ([7], [0])]]
+    assert [b.column(0).to_pylist() for b in packing._blocks(batches)] == [[1, 2, 3, 4], [5], [6, 7]]
+    empty = pa.RecordBatch.from_arrays([pa.array([8, 9]), pa.array(["", ""])], ["doc_id", "text"])
+    assert [b.column(0).to_pylist() for b in packing._blocks([empty, empty])] == [[8, 9, 8, 9]]
+    assert list(packing._blocks([])) == []
+
+
 def check(rows, docs, tokenizer, sequence=2048):
     """Pieces put together again are the documents; sequences are full, gapless and hardly padded."""
     by, left = defaultdict(list), Counter()
@@ -100,6 +120,23 @@ def test_index_against_plain_bm25():
         assert all(a >= b - 1e-6 for a, b in zip(want, want[1:]))
 
 
+def test_dropped_postings_leave_the_other_scores(monkeypatch):
+    rng = np.random.default_rng(3)
+    tails = [rng.integers(0, 60, rng.integers(1, 40)) for _ in range(90)]
+    idf = rng.random(100) + 0.1
+    whole, less = (packing.Shard(tails, idf, 20.0) for _ in range(2))
+    for index in (whole, less):
+        index.used[::3] = True
+    less.drop_used()
+    assert len(less.piece) < len(whole.piece)
+    assert all(list(less.neighbours(seed)) == list(whole.neighbours(seed)) for seed in range(0, 90, 4))
+    found = []
+    for drops in (1, 90):
+        monkeypatch.setattr(packing, "DROPS", drops)
+        found.append(list(packing.pack_pieces(tails, packing.Shard(tails, idf, 20.0), [], 64)))
+    assert found[0] == found[1]
+
+
 def test_neighbours_share_a_window(spark):
     """Documents on two subjects, mixed in the table, are packed by subject."""
     rng = np.random.default_rng(2)
