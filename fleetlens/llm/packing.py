@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
@@ -30,8 +31,8 @@ K1, B = 1.2, 0.75
 #: Words and pieces whose ids a task remembers, characters that are split into words at a time, and rows and
 #: words that are put together at a time.
 REMEMBERED, BLOCK, OUT_ROWS, LAID = 400_000, 8_000_000, 1000, 200_000
-#: Times at most that the postings of used documents are taken out of a shard's index.
-DROPS = 32
+#: Weights of a shard's frequent terms that are held as a matrix of terms and documents.
+CELLS = 4_000_000
 
 # How the tokenizer cuts a word, for characters up to U+017F: a contraction, letters, one
 # numeral, or a run of other characters.
@@ -79,19 +80,21 @@ class Words:
         rest = iter(range(256, 512))
         self.alphabet = {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            spelled = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
-            ids = self.pieces[piece] = _packed([token.id for token in self.model.tokenize(spelled)])
-        return ids
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces end to end, and each one's number of them; new ones go to the model."""
+        known = self.pieces
+        new = [piece for piece in pieces if piece not in known]
+        spelled = (p if p.isascii() else "".join(map(self.alphabet.__getitem__, p.encode())) for p in new)
+        for piece, tokens in zip(new, map(self.model.tokenize, spelled)):
+            known[piece] = array("I", [token.id for token in tokens]).tobytes()
+        return _table([*map(known.__getitem__, pieces)])
 
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
             # Up to U+017F every letter is composed already, and lower case is letter by letter.
             if word and max(word) < "ƀ" and "<|" not in word and "İ" not in word and word.isprintable():
-                ids = b"".join(map(self._piece, _PIECE.findall(word.lower())))
+                ids = self._pieces(_PIECE.findall(word.lower()))[0].tobytes()
             else:
                 ids = _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
             self.words[word] = ids
@@ -112,10 +115,8 @@ class Words:
         data = low.tobytes().decode("utf-32-le").encode()
         cut = pa.LargeStringArray.from_buffers(
             len(begins), pa.py_buffer(until[np.append(begins, len(points))]), pa.py_buffer(data)).dictionary_encode()
-        known, table = self.pieces, []
-        for piece in cut.dictionary.to_numpy(zero_copy_only=False).tolist():
-            table.append(known.get(piece) or self._piece(piece))
-        flat, until = _laid_out(*_table(table), cut.indices.to_numpy(zero_copy_only=False))
+        table = self._pieces(cut.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat, until = _laid_out(*table, cut.indices.to_numpy(zero_copy_only=False))
         return flat, np.diff(until[np.searchsorted(begins, at)])
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -256,21 +257,26 @@ class Shard:
         self.of_piece = np.searchsorted(self.terms, flat)
         self.starts = _begins([len(terms) for terms, _ in bags])
         self.used = np.zeros(len(bags), dtype=bool)
-
-    def drop_used(self) -> None:
-        """Take the postings of used pieces out; the others keep their order, and so their scores."""
-        kept = ~self.used[self.piece]
-        before = _begins(kept)
-        self.piece, self.weight = self.piece[kept], self.weight[kept]
-        self.first, self.last = before[self.first], before[self.last]
+        # Weights of the most frequent terms by piece; postings are for the others.
+        count = self.last - self.first
+        self.row = np.full(len(count), -1)
+        frequent = np.sort(np.argsort(-count, kind="stable")[:CELLS // len(bags)])
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), len(bags)))
+        row = np.repeat(self.row, count)
+        self.dense[row[row >= 0], self.piece[row >= 0]] = self.weight[row >= 0]
 
     def neighbours(self, seed: int) -> Iterator[int]:
         """Unused pieces by BM25 against all terms of the seed, best first, ties in order."""
         terms = self.of_piece[self.starts[seed]:self.starts[seed + 1]]
-        first, count = self.first[terms], self.last[terms] - self.first[terms]
-        until = np.cumsum(count)
-        at = np.repeat(first - until + count, count) + np.arange(until[-1] if len(until) else 0)
-        score = np.bincount(self.piece[at], self.weight[at], len(self.used))
+        row = self.row[terms]
+        score = self.dense[row[row >= 0]].sum(axis=0)
+        rare = terms[row < 0]
+        if len(rare):
+            first, count = self.first[rare], self.last[rare] - self.first[rare]
+            until = np.cumsum(count)
+            at = np.repeat(first - until + count, count) + np.arange(until[-1])
+            score += np.bincount(self.piece[at], self.weight[at], len(self.used))
         score[self.used] = -1
         few = min(64, len(score))  # mostly enough to fill a window
         yield from self._open(np.argpartition(-score, few - 1)[:few], score)
@@ -351,7 +357,7 @@ def pack_pieces(tails: list[np.ndarray], index: Shard, open_: list, sequence: in
     """
     room = sequence - sum(length for *_, length in open_)
     window, seeds = list(open_), iter(range(len(tails)))
-    seed, asked = None, 0
+    seed = None
 
     def put(piece: int, start: int) -> Iterator[list]:
         nonlocal room, window, seed
@@ -372,9 +378,7 @@ def pack_pieces(tails: list[np.ndarray], index: Shard, open_: list, sequence: in
             index.used[seed] = True
             yield from put(seed, 0)
             continue
-        of, closed, asked = seed, False, asked + 1
-        if asked % (len(tails) // DROPS + 1) == 0:
-            index.drop_used()
+        of, closed = seed, False
         for piece in index.neighbours(of):
             index.used[piece] = True
             for full in put(piece, 0):

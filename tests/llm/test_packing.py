@@ -120,21 +120,18 @@ def test_index_against_plain_bm25():
         assert all(a >= b - 1e-6 for a, b in zip(want, want[1:]))
 
 
-def test_dropped_postings_leave_the_other_scores(monkeypatch):
+def test_frequent_terms_as_a_matrix(monkeypatch):
+    """However many of the terms are in it, the best neighbours and their order stay."""
     rng = np.random.default_rng(3)
     tails = [rng.integers(0, 60, rng.integers(1, 40)) for _ in range(90)]
     idf = rng.random(100) + 0.1
-    whole, less = (packing.Shard(tails, idf, 20.0) for _ in range(2))
-    for index in (whole, less):
-        index.used[::3] = True
-    less.drop_used()
-    assert len(less.piece) < len(whole.piece)
-    assert all(list(less.neighbours(seed)) == list(whole.neighbours(seed)) for seed in range(0, 90, 4))
     found = []
-    for drops in (1, 90):
-        monkeypatch.setattr(packing, "DROPS", drops)
-        found.append(list(packing.pack_pieces(tails, packing.Shard(tails, idf, 20.0), [], 64)))
-    assert found[0] == found[1]
+    for cells in (0, 90 * 20, 4_000_000):
+        monkeypatch.setattr(packing, "CELLS", cells)
+        index = packing.Shard(tails, idf, 20.0)
+        assert index.dense.size == min(cells, 90 * 60)
+        found.append([list(index.neighbours(seed)) for seed in range(0, 90, 4)])
+    assert found[0] == found[1] == found[2]
 
 
 def test_neighbours_share_a_window(spark):
