@@ -11,18 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
-from fleetlens.functions.health import motor_cv
+from fleetlens.functions.health import motor_cv, motor_mean
 from fleetlens.operators import anomalies, fleet, lookups, windows
 from fleetlens.operators.windows import WATERMARK
 from fleetlens.sources import topics
 from fleetlens.sources.decode import KAFKA_ERROR
 from fleetlens.streaming import snapshots
-from fleetlens.streaming.processor import ADDED, PREV, FixFilter, HealthProcessor
+from fleetlens.streaming.processor import KINDS, PREV, FixFilter, with_drone_state
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-ANOMALY_KINDS = ["rapid_battery_drain", "motor_imbalance", "gps_drift", "overheating"]
 NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
@@ -66,15 +65,13 @@ def use_rocksdb(spark: SparkSession) -> None:
 def health_stream(telemetry: DataFrame, ttl_s: int = anomalies.STATE_TTL_S) -> DataFrame:
     """Scored telemetry with ``emitted``, the alert types of a record that pass the cooldown.
 
-    One shuffle by drone. Works on a stream of decoded telemetry with ``event_id``, ``us``.
+    One shuffle by bucket of drones. Works on a stream of decoded telemetry with ``event_id``, ``us``.
     """
     use_rocksdb(telemetry.sparkSession)
     # Decoded records have a time, or they were quarantined; order means nothing without one.
-    keyed = telemetry.filter(F.col("us").isNotNull()).withColumn("rpm_cv", motor_cv("motor_rpm"))
-    schema = StructType([*keyed.schema.fields, *StructType.fromDDL(ADDED).fields])
-    stated = keyed.groupBy("drone_id").transformWithStateInPandas(
-        HealthProcessor(keyed.columns, ttl_s * 1000), schema, "Append", "ProcessingTime"
-    )
+    timed = telemetry.filter(F.col("us").isNotNull()).withColumn("rpm_mean", motor_mean("motor_rpm"))
+    keyed = timed.withColumn("rpm_cv", motor_cv("motor_rpm", "rpm_mean")).drop("rpm_mean")
+    stated = with_drone_state(keyed, ttl_s * 1000)
     fields = dict(zip(anomalies.PREVIOUS_FIELDS, PREV))
     previous = F.when(F.col("prev_us").isNotNull(), F.struct(*[F.col(v).alias(k) for k, v in fields.items()]))
     rows = stated.withColumn("prev", previous).drop(*PREV)
@@ -99,21 +96,19 @@ def cooled_alerts(scored: DataFrame) -> DataFrame:
 def write_outputs(target: str) -> Callable[[DataFrame, int], None]:
     """Scores, flagged scores and cooled alerts of a micro-batch, each under its batch id.
 
-    The scored batch is kept while the three outputs are written. A repeated batch overwrites
-    its own folder, so a restart after a failure leaves no duplicates.
+    The batch is scored once: flagged scores and alerts are taken from the scores as written. A repeated batch
+    overwrites its own folder, so a restart after a failure leaves no duplicates.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            def out(df: DataFrame, name: str) -> None:
-                df.write.mode("overwrite").parquet(f"{target}/{name}/batch_id={batch_id}")
+        def out(df: DataFrame, name: str) -> str:
+            path = f"{target}/{name}/batch_id={batch_id}"
+            df.write.mode("overwrite").parquet(path)
+            return path
 
-            out(batch, "scores")
-            out(anomalies.flagged(batch), "flagged")
-            out(cooled_alerts(batch), "alerts")
-        finally:
-            batch.unpersist()
+        scores = batch.sparkSession.read.schema(batch.schema).parquet(out(batch, "scores"))
+        out(anomalies.flagged(scores), "flagged")
+        out(cooled_alerts(scores), "alerts")
 
     return write
 
@@ -150,7 +145,7 @@ def run_health_to_topics(
         try:
             send(batch, "metrics")
             send(anomalies.flagged(batch), "flagged")
-            kind = F.array_position(F.array(*[F.lit(k) for k in ANOMALY_KINDS]), F.col("alert_type")) - 1
+            kind = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("alert_type")) - 1
             send(cooled_alerts(batch).withColumn("event_id", F.col("event_id") * 4 + kind), "alerts")
         finally:
             batch.unpersist()

@@ -1,10 +1,12 @@
 """Streams over several files: late rows, restarts, delivery statistics, window boundaries."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import anomalies, windows
-from fleetlens.streaming import jobs
+from fleetlens.operators.cooldown import cooldown
+from fleetlens.streaming import jobs, processor
 
 pytestmark = pytest.mark.usefixtures("few_partitions")
 
@@ -150,3 +152,43 @@ def test_stream_with_a_static_lookup(spark, tmp_path):
 
     feed(spark, tmp_path, [[(3, "d", 1, 90, 20)], [(77, "d", 2, 90, 20)]], start)
     assert {r.event_id: r.class_name for r in spark.read.parquet(out).collect()} == {3: "car", 77: "unknown"}
+
+
+def test_many_drones_take_few_calls_of_the_state_step(spark, tmp_path):
+    """A call of the step for each drone made the time of a batch grow with the fleet; its keys are bounded now."""
+    rows = [(i, f"d{i * 7 % 900}", 40 + i // 900 * 11.5 + i % 3, 95 - i // 900 * 1.3, 60 + i % 30) for i in range(3600)]
+    out = str(tmp_path / "out")
+    queries = feed(spark, tmp_path, [rows[:1500], rows[1500:]],
+                   lambda s: jobs.run_health_job(s, out, str(tmp_path / "ck"), availableNow=True))
+    kept = queries[-1].lastProgress.stateOperators[0].numRowsTotal
+    assert 0 < kept <= processor.BUCKETS
+    columns = ["event_id", "overall_score", "drain_rate", "anomaly_flags"]
+    want = anomalies.score(frame(spark, rows))
+    streamed = sorted(tuple(r) for r in spark.read.parquet(f"{out}/scores").select(columns).collect())
+    assert streamed == sorted(tuple(r) for r in want.select(columns).collect())
+    alerts = ["event_id", "alert_type", "severity", "message"]
+    sent = sorted(tuple(r) for r in spark.read.parquet(f"{out}/alerts").select(alerts).collect())
+    assert sent == sorted(tuple(r) for r in cooldown(anomalies.alerts(want)).select(alerts).collect()) and len(sent) > 900
+
+
+def judge(step, stored, now, rows):
+    """Rows of (event_id, drone, second, battery, heat) through the state step at a processing time; what it adds, by record."""
+    states = processor.DroneStates(stored, now)
+    names = ["event_id", "drone_id", "us", "battery_percent", "temperature_c"]
+    table = pa.table({**{n: [int(r[2] * S) if n == "us" else r[names.index(n)] for r in rows] for n in names},
+                      **{n: [0.0] * len(rows) for n in ("latitude", "longitude", "velocity_ms", "rpm_cv")}})
+    got = {r["event_id"]: (r["prev_us"], r["late"], r["emitted"]) for r in step.judged(table, states).to_pylist()}
+    return got, states.stored()
+
+
+def test_state_of_one_drone_expires_beside_that_of_others():
+    step = processor.HealthProcessor(ttl_ms=600_000)
+    got, stored = judge(step, None, 0, [(1, "d", 100, 90, 75), (2, "e", 100, 90, 20), (3, None, 90, 90, 20)])
+    assert got == {1: (None, False, 8), 2: (None, False, 0), 3: (None, False, 0)}
+    got, stored = judge(step, stored, 400_000, [(4, "e", 110, 90, 20), (5, None, 95, 89, 20), (6, None, 80, 89, 75)])
+    assert got == {4: (100 * S, False, 0), 5: (90 * S, False, 1), 6: (None, True, 8)}
+    got, stored = judge(step, stored, 600_000, [(7, "d", 105, 90, 75), (8, "e", 105, 90, 20), (9, "e", 130, 90, 20)])
+    assert got == {7: (None, False, 8), 8: (None, True, 0), 9: (110 * S, False, 0)}  # d's record and cooldown are gone
+    assert set(processor.DroneStates(stored, 600_000).drones) == {"d", "e", None}
+    assert judge(step, stored, 2_000_000, [(10, "x", 1, 90, 20)])[0] == {10: (None, False, 0)}
+    assert processor.DroneStates(judge(step, stored, 2_000_000, [(10, "x", 1, 90, 20)])[1], 2_000_000).drones == ["x"]
