@@ -206,6 +206,26 @@ def test_no_link_is_lost_across_borders(spark, monkeypatch):
     assert len(np.unique(np.flatnonzero(near.any(axis=1)))) > 1000
 
 
+def test_visits_are_not_copied_to_disk(spark, monkeypatch):
+    """Vectors that hardly cluster probe most lists; rows copied to every list went through a shuffle that outgrew the input."""
+    rng = np.random.default_rng(21)
+    u = rng.normal(size=(900, 16))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    u[450:600] = u[:150] + rng.normal(size=(150, 16)) * 0.05
+    rows = [(i, v.tolist()) for i, v in enumerate(u)] + [(1000 + i, u[3].tolist()) for i in range(40)]
+    plans, write = {}, embeddedup.written
+
+    def recorded(df, purpose):
+        plans[purpose] = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+        return write(df, purpose)
+
+    monkeypatch.setattr(embeddedup, "LIST_ROWS", 60)
+    monkeypatch.setattr(embeddedup, "written", recorded)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert told(embeddedup.clusters(table)) == brute_groups([(r["vec_id"], r["embedding"]) for r in table.collect()])
+    assert "Exchange" not in plans["embed-links"]
+
+
 def test_lookup_rules_out_no_link():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 16))
