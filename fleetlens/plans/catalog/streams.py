@@ -128,20 +128,24 @@ def streamed_swarm_health(spark, sf_dir):
 
 
 def run_scored_windows(spark, sf_dir, make, name):
-    """Windows over the health job's scores: a second job reads what the first one writes.
+    """Windows over the health job's scores: a second job reads what the first one writes, where it lies.
 
     The scores are there whole when it starts; a late sentinel then closes the last window.
     """
-    scores = spark.read.parquet(f"{run_health(spark, sf_dir)}/scores").drop("batch_id")
-    folder, target, checkpoint = (shared_dir(spark, f"{name}-{n}") for n in ("in", "out", "state"))
-    scores.write.parquet(folder)
-    stream = spark.readStream.schema(scores.schema).parquet(folder)
-    jobs.run_append(make(stream), target, checkpoint, availableNow=True).awaitTermination()
+    written = run_health(spark, sf_dir)
+    scores = spark.read.parquet(f"{written}/scores").drop("batch_id")
+    target, checkpoint = (shared_dir(spark, f"{name}-{n}") for n in ("out", "state"))
+
+    def run():
+        # Batches of the health job, and the sentinel beside them.
+        stream = spark.readStream.schema(scores.schema).parquet(f"{written}/{{scores/batch_id=*,closing}}")
+        jobs.run_append(make(stream), target, checkpoint, availableNow=True).awaitTermination()
+
+    run()
     newest = scores.agg(F.max("us").alias("m")).scalar()
     closing = scores.limit(1).withColumns({"us": newest + 3_600_000_000, "drone_id": F.lit("sentinel")})
-    closing.withColumn("ts", F.timestamp_micros("us")).select(scores.columns).write.mode("append").parquet(folder)
-    jobs.run_append(make(spark.readStream.schema(scores.schema).parquet(folder)), target, checkpoint,
-                    availableNow=True).awaitTermination()
+    closing.withColumn("ts", F.timestamp_micros("us")).select(scores.columns).write.parquet(f"{written}/closing")
+    run()
     return spark.read.parquet(target).filter("drone_id <> 'sentinel'")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import anomalies, windows
 from fleetlens.operators.cooldown import cooldown
+from fleetlens.plans.catalog import streams
+from fleetlens.sources import topics
 from fleetlens.streaming import jobs, processor
 
 pytestmark = pytest.mark.usefixtures("few_partitions")
@@ -192,3 +194,32 @@ def test_state_of_one_drone_expires_beside_that_of_others():
     assert set(processor.DroneStates(stored, 600_000).drones) == {"d", "e", None}
     assert judge(step, stored, 2_000_000, [(10, "x", 1, 90, 20)])[0] == {10: (None, False, 0)}
     assert processor.DroneStates(judge(step, stored, 2_000_000, [(10, "x", 1, 90, 20)])[1], 2_000_000).drones == ["x"]
+
+
+def test_windows_read_the_scores_where_they_lie(spark, tmp_path, monkeypatch):
+    """All scores were copied once more for the second job; only the closing record is written beside them now."""
+    scores = anomalies.score(frame(spark, [(i, f"d{i % 4}", 5 + i * 1.5, 95 - i * 0.7, 60 + i % 30) for i in range(40)]))
+    for batch in (0, 1):
+        scores.filter(F.col("event_id") % 2 == batch).write.parquet(f"{tmp_path}/health/scores/batch_id={batch}")
+    folders = []
+    monkeypatch.setattr(streams, "run_health", lambda *_: f"{tmp_path}/health")
+    monkeypatch.setattr(streams, "shared_dir", lambda _, purpose: folders.append(purpose) or f"{tmp_path}/{purpose}")
+    got = streams.run_scored_windows(spark, None, jobs.tumbling_stream, "tumbling")
+    want = windows.tumbling(scores)
+    assert sorted(tuple(r) for r in got.select(want.columns).collect()) == sorted(tuple(r) for r in want.collect())
+    assert folders == ["tumbling-out", "tumbling-state"]
+    assert spark.read.parquet(f"{tmp_path}/health/closing").count() == 1
+
+
+def test_many_drones_of_a_topic_without_times(spark, tmp_path):
+    """Records without a time are scored by the time they came in, in as few calls of the state step."""
+    rows = spark.range(1200).selectExpr("id AS event_id", "concat('d', id % 400) AS key", "(id div 400 * 7 + 1) * 1000000L AS us")
+    value = F.concat(F.lit('{"drone_id": "'), F.col("key"), F.lit('", "battery_percent": '), (90 - F.col("us") / 1e6).cast("string"), F.lit("}"))
+    topics.write_topic(topics.as_records(rows.withColumn("value", value), "telemetry"), "telemetry", str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    query = jobs.run_health_job(streams.arriving(spark, str(tmp_path / "in")), out, str(tmp_path / "ck"), availableNow=True)
+    query.awaitTermination()
+    assert 0 < query.lastProgress.stateOperators[0].numRowsTotal <= processor.BUCKETS
+    got = spark.read.parquet(f"{out}/scores").select("event_id", "us", "prev.us", "drain_rate").collect()
+    assert sorted(tuple(r) for r in got) == [
+        (i, (i // 400 * 7 + 1) * S, (i // 400 * 7 - 6) * S if i >= 400 else None, 1.0 if i >= 400 else None) for i in range(1200)]
